@@ -23,7 +23,7 @@ from .common import bounded_batches
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Unicode's White_Space, which the tokenizer's \s stands for (fixed values).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows of one matrix, and the piece length in bytes from which a heap replaces the matrix rounds (the result is the same).
 MATRIX_ROWS, LONG_PIECE = 4096, 512
 #: Encoded words that a Python worker keeps at most.

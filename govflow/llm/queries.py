@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, fingerprint, license_scan
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    base = F.filter("detections", lambda d: d["base"])
+    labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda d: d["label"]))), ",")
+    # Each detection is a piece of evidence of strength priority / 100; the score is the chance that one of them holds.
+    doubt = F.aggregate(F.filter("detections", lambda d: d["resolved"]), F.lit(1.0), lambda x, d: x * (1 - d["priority"] / 100.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda d: d["start_word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda d: d["start_word"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("detections")).alias("labels"),
+        F.round(1 - doubt, 6).alias("score"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents")))
     return decoded.select(
@@ -21,12 +39,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_study(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
+    "op7_fingerprint": op7_fingerprint,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
