@@ -46,3 +46,17 @@ def text_or_empty(column: str = "text") -> Column:
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+#: Keys that a semi-join broadcasts at most: 8 bytes each, a few tens of MB with Spark's hash table.
+BROADCAST_KEYS = 1_000_000
+
+
+def checked_semi_join(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is in ``keys`` (one distinct long column, already written).
+
+    The keys are broadcast where their number, counted here, is small enough; beyond that Spark shuffles both sides.
+    """
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, column, "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, license_scan, packing
+from . import bpe, exact_dedup, fingerprint, language_id, license_scan, near_dedup, packing
 from .common import table
 
 
@@ -39,10 +39,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_study(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
+    "op3_near_dedup": op3_near_dedup,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_fingerprint": op7_fingerprint,
     "op9_exact_dedup": op9_exact_dedup,
 }
