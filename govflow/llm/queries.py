@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, language_id, license_scan, near_dedup, packing
+from . import bpe, exact_dedup, fingerprint, html_extract, language_id, license_scan, lm_score, near_dedup, packing, token_counts
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -55,18 +59,31 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_study(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's tokens to flat files without an index, then find the documents in them again."""
+    files = token_counts.write_flat(table(spark, sf_dir, "documents"))
+    return token_counts.document_counts(token_counts.read_flat(spark, files))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
     "op3_near_dedup": op3_near_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_fingerprint": op7_fingerprint,
+    "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
