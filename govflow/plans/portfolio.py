@@ -228,9 +228,9 @@ def project_page(p):
     return lists.project_page(p.projects, lists.project_filter("A", "RUN, DONE,,", "x"), 2, 5)
 
 
-@query("projects", "SELECT id, name FROM projects WHERE year(approve_date) IN (1992, 1993) AND type = 'HW' AND owner_unit = 'BUILDING'")
+@query("projects", "SELECT id, name FROM projects WHERE year(approve_date) IN (1995, 1997) AND type = 'HW' AND owner_unit = 'BUILDING'")
 def project_years(p):
-    return p.projects.where(lists.project_filter(years="1992,abc,1993,", owner_unit=" BUILDING ") & lists.in_csv("type", "HW")).select("id", "name")
+    return p.projects.where(lists.project_filter(years="1995,abc,1997,", owner_unit=" BUILDING ") & lists.in_csv("type", "HW")).select("id", "name")
 
 
 @query("contracts", "SELECT id, name, contract_type, (contract_amount + change_amount)::DECIMAL(18,2) AS amount FROM contracts ORDER BY CASE WHEN contract_type = 'MAIN' THEN 0 ELSE 1 END, id LIMIT 50")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import portfolio
+from . import portfolio, retrieval, tasks, texts
 
-MODULES = (portfolio,)
+MODULES = (portfolio, texts, retrieval, tasks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
