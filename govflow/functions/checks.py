@@ -1,7 +1,5 @@
 """Checks of numbers in documents: amounts in words, percentages, styles, traceable answers; and a calculator."""
 
-from __future__ import annotations
-
 import ast
 import decimal
 import re
@@ -39,7 +37,11 @@ def amount_in_words(text: str | None) -> decimal.Decimal | None:
 
 def amounts_in_words(text: Column) -> Column:
     """``amount_in_words`` over a column; a scan that keeps state from character to character."""
-    return F.pandas_udf(lambda texts: texts.map(amount_in_words), "decimal(38,2)")(text)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(amount_in_words)
+
+    return F.pandas_udf(run, "decimal(38,2)")(text)
 
 
 def to_decimal(text: Column) -> Column:
@@ -137,4 +139,4 @@ def calculated(expression: Column) -> Column:
     def run(expressions: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) for t in expressions], columns=["value", "error"])
 
-    return F.pandas_udf(run, "value string, error string", F.PandasUDFType.SCALAR)(expression)
+    return F.pandas_udf(run, "value string, error string")(expression)
