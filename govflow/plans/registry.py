@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import portfolio, retrieval, tasks, texts
+from . import documents, portfolio, retrieval, tasks, texts
 
-MODULES = (portfolio, texts, retrieval, tasks)
+MODULES = (portfolio, texts, retrieval, tasks, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
