@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, slices
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Unicode's White_Space, which the tokenizer's \s stands for (fixed values).
@@ -160,6 +160,9 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for part in slices(texts) for ids in self._encode(part)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         split = [self.words.findall(t) for t in texts]

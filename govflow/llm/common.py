@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so a batch stays far below Spark's default of 10,000 rows.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +40,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+#: Characters of texts that a task splits into words at a time.
+SLICE_CHARS = 8_000_000
+
+
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in parts of bounded size; a longer text is a part of its own."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > SLICE_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
 
 
 def id_bucket(column: str, modulus: int) -> Column:

@@ -220,10 +220,16 @@ def document_scores(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast((head, head_n > 0, np.log10(head_n + 1), head_lp))
     fields = "row long, doc_id long, learn boolean, rare boolean, hash long, m long, known long, logs double, score double"
 
+    names = ["row", "doc_id", "learn", "rare", "hash", "m", "known", "logs", "score"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
     def run(batches):
         at, known, logs, lp = shared.value
+        out: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
             for row, doc_id, learn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held, times = [], []
                 for w, m in Counter(words_of(text)).items():
@@ -236,9 +242,11 @@ def document_scores(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", t
                 m = np.array(times, np.float64)
                 held = np.array(held, np.int64)
                 out.append((row, doc_id, learn, False, row, sum(times), int(m @ known[held]), float(m @ logs[held]), float(m @ lp[held])))
-            columns = list(zip(*out, strict=True)) if out else [()] * 9
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "doc_id", "learn", "rare", "hash", "m", "known", "logs", "score"])
+                if len(out) >= BLOCK:
+                    yield packed(out)
+                    out = []
+        if out:
+            yield packed(out)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), "learn", F.col(text_col).alias("text"))
     parts = rows.mapInArrow(run, fields)
