@@ -50,8 +50,9 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(_words) > CACHE_WORDS:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
+    for w in words:
+        if w not in _words:
+            _words[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
     hashes = np.fromiter(map(_words.__getitem__, words), np.int64, len(words)).view(np.uint64)
     width = min(k, len(words))
     total = np.full(len(words) - width + 1, width, np.uint64)
