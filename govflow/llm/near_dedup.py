@@ -1,7 +1,7 @@
 """Near-duplicates by MinHash: banding, signature verification, exact verification, connected components.
 
-1. Each text becomes a set of word shingles (64-bit hashes), 128 minima of universal hashes, 32 band keys of four
-   minima each, and a signature of four bits a minimum. Equal sets are merged first, by a digest of the set.
+1. Each text becomes a set of word shingles (64-bit hashes) and 512 minima of universal hashes: 32 band keys of four
+   minima each from the first 128, and a signature of four bits from each. Equal sets are merged first, by a digest.
 2. Sets that share a band key are candidates. A bucket is never expanded into its pairs: every member is compared with
    one leader, another in each band. Signatures drop the hopeless; each set keeps its four most alike leaders, which
    are confirmed on the full sets. The links are merged into components.
@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, checked_semi_join, materialize
 from .components import connected_components
 
-HASHES, ROWS = 128, 4
-BANDS = HASHES // ROWS
+HASHES, BANDS, ROWS = 512, 32, 4
 #: Leaders that each set is confirmed against in the first round; the second round is exact whatever this is.
 NEAREST = 4
 WORDS_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Shingles of the sets that a task of the confirmation keeps, 8 bytes each.
+HELD_SHINGLES = 4_000_000
 #: Word hashes that a Python worker keeps.
 CACHE_WORDS = 400_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -63,14 +64,14 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(out, (FACTORS[:, None] * hashes[None, at : at + 4096] + SHIFTS[:, None]).min(axis=1), out=out)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(out, (FACTORS[:, None] * hashes[None, at : at + 1024] + SHIFTS[:, None]).min(axis=1), out=out)
     return out
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
+    for column in least[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         key = mix(key * MIX[0] + column)
     return key.view(np.int64)
 
@@ -108,7 +109,7 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
 
 
 def unlike(a: str, b: str) -> Column:
-    """How many of the 128 four-bit minima of two signatures differ."""
+    """How many of the four-bit minima of two signatures differ."""
     ones = 0x1111111111111111
 
     def differing(s):
@@ -123,9 +124,9 @@ def unlike(a: str, b: str) -> Column:
 
 
 def most_unlike(percent: int) -> int:
-    """Differing minima that a pair at the threshold stays below, but for six standard deviations."""
+    """Differing minima that a pair at the threshold stays below, but for five standard deviations (3 in 10 million)."""
     p = (1 - percent / 100) * 15 / 16
-    return math.ceil(HASHES * p + 6 * math.sqrt(HASHES * p * (1 - p)))
+    return math.ceil(HASHES * p + 5 * math.sqrt(HASHES * p * (1 - p)))
 
 
 def similar_size(a: str, b: str, percent: int) -> Column:
@@ -137,19 +138,27 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union; texts: id, text."""
 
     def run(batches):
-        held: dict[str, np.ndarray] = {}  # the other text of neighbouring rows is often the same
-
-        def of(text):
-            if text not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[text] = shingles(text, k)
-            return held[text]
+        held: dict[int, list[tuple[str, np.ndarray]]] = {}  # sets of the texts that came last, by id
+        size = 0
+
+        def of(i, text):
+            nonlocal size
+            known = held.setdefault(i, [])
+            for other, found in known:
+                if other is text or other == text:
+                    return found
+            found = shingles(text, k)
+            size += len(found)
+            known.append((text, found))
+            if size > HELD_SHINGLES:
+                held.clear()
+                size = 0
+            return found
 
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = of(a), of(b)
+            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, two = of(u, a), of(v, b)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= percent * (len(one) + len(two) - both) > 0)
             keep = pa.array(keep, pa.bool_())
@@ -174,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sets = materialize(sets.select("digest", F.col("x.doc_id").alias("id"), "x.n_shingles", "x.bands", *[f"x.{s}" for s in SIGNATURE]), "distinct-sets")
     light = sets.select("id", "n_shingles", *SIGNATURE)
 
-    members = sets.select(F.explode("bands").alias("band"), "id")
+    members = sets.select(F.posexplode("bands").alias("at", "band"), "id")
     leaders = members.groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(members.join(leaders.select("band", "leader"), "band"), "bucket-members")
     limit = most_unlike(percent)
@@ -198,14 +207,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     parts = connected_components(links)
 
     # What the first round left apart although it shares a bucket.
-    placed = members.select("band", "id").join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.select("at", "band", "id").join(parts, "id", "left").select("at", "band", "id", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = split.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_members = placed.join(largest.select("band", "largest"), "band").join(light, "id")
-    open_members = materialize(open_members.select("band", "component", (F.col("component") != F.col("largest")).alias("minor"), "id", "n_shingles", *SIGNATURE), "open-members")
+    open_members = placed.join(largest.select("band", "largest"), "band").join(sets.select("id", "n_shingles", "bands", *SIGNATURE), "id")
+    open_members = materialize(open_members.select("at", "bands", "band", "component", (F.col("component") != F.col("largest")).alias("minor"), "id", "n_shingles", *SIGNATURE), "open-members")
     a, b = open_members.where("minor").alias("a"), open_members.alias("b")
     apart = (F.col("a.component") != F.col("b.component")) & (~F.col("b.minor") | (F.col("a.id") < F.col("b.id")))
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & apart & similar_size("a", "b", percent) & (unlike("a", "b") <= limit))
+    # A pair counts in the first band that it shares.
+    shared_before = F.arrays_overlap(F.slice("a.bands", F.lit(1), F.col("a.at")), F.slice("b.bands", F.lit(1), F.col("b.at")))
+    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & apart & similar_size("a", "b", percent) & (unlike("a", "b") <= limit) & ~shared_before)
     rest = rest.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
     done = first.select("u", "v").union(first.select("v", "u"))
     more = confirmed(materialize(rest.join(done, ["u", "v"], "left_anti"), "second-pairs"))
