@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by itself: by the element that it
-stands in, its link density, its length and its density of stop words. Short or middling blocks stay ambiguous; in the
-second pass they inherit the label of the nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides each block by itself: by its link density, its
+length and its density of stop words. Where articles (``<article>``, ``<main>``) hold most of the page's text, standing
+in one or beside them shifts that label. Short or middling blocks stay ambiguous; in the second pass they inherit the
+label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from .common import bounded_batches
 #: Limits of the first pass: characters of a short and of a long block, stop-word and link densities.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.25, 0.33
 GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "brief"
+#: No part of an article, and no neighbour to the blocks around it either.
+OUT = "out"
+#: What a block stands in, and how much a character of each label counts when articles are weighed against the rest.
+MAIN, ARTICLE = 1, 2
+WEIGHT = {GOOD: 3, NEAR: 2, BRIEF: 1, BAD: 1}
 
 #: Frequent function words (fixed values).
 STOP_WORDS = {
@@ -68,7 +74,7 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Non-empty blocks in page order. Unclosed elements end where an element around them ends."""
     out: list[Block] = []
-    stack = [("", False, False)]  # holder, inside an article, outside of any
+    stack = [("", 0, False)]  # holder, inside main or an article, outside of any
     parts: list[str] = []
     linked, in_link, own, heading, broken = 0, False, False, False, False
     at = 0
@@ -113,7 +119,7 @@ def blocks(page: str) -> list[Block]:
                     _, inside, outside = stack[-1]
                     mark = tag not in ("html", "body", "main") and marked(m["attrs"] or "")
                     if tag in ("article", "main") and not mark:
-                        inside, outside = True, outside and any(t in OUTSIDE for t, _, _ in stack)
+                        inside, outside = max(inside, ARTICLE if tag == "article" else MAIN), outside and any(t in OUTSIDE for t, _, _ in stack)
                     stack.append((tag, inside, outside or mark or tag in OUTSIDE))
             elif not closing:
                 own, heading = marked(m["attrs"] or ""), tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -128,23 +134,42 @@ def stop_density(text: str) -> float:
     return max(sum(w in stops for w in words) for stops in STOPS) / len(words) if words else 0.0
 
 
-def first_pass(block: Block, has_article: bool) -> str:
-    if block.outside:
-        return BAD
-    links = block.linked / len(block.text)
-    if has_article:
-        # The page says where its article is; in there only lists of links are none of it.
-        return BAD if not block.inside or (links > 0.8 and len(block.text) < LONG) else GOOD
-    if links > LINKS:
+def first_pass(block: Block) -> str:
+    """What links, length and stop words say of a block."""
+    if block.outside or block.linked > LINKS * len(block.text):
         return BAD
     if len(block.text) < SHORT:
-        return BRIEF if links == 0 else BAD
+        return BRIEF if block.linked == 0 else BAD
     density = stop_density(block.text)
     if density >= STOP_HIGH:
         return GOOD if len(block.text) > LONG else NEAR
     return NEAR if density >= STOP_LOW else BAD
 
 
+def article_leads(found: list[Block], labels: list[str]) -> bool:
+    """Whether articles hold most of the page's text, so that they are more than teasers."""
+    held = {True: 0, False: 0}
+    for block, label in zip(found, labels, strict=True):
+        if not block.outside and block.linked <= LINKS * len(block.text):
+            held[block.inside > 0] += WEIGHT[label] * len(block.text)
+    return held[True] > 0 and held[True] >= held[False]
+
+
+def shifted(block: Block, label: str) -> str:
+    """The label of a block on a page whose articles lead: better inside of one, worse beside them."""
+    if not block.inside:
+        return BRIEF if label == GOOD else BAD
+    if block.outside:
+        return OUT
+    if label in (GOOD, NEAR):
+        return GOOD
+    links = block.linked / len(block.text)
+    if links > LINKS:
+        # Lists of links are none of it; main holds such lists more often than an article does.
+        return OUT if block.inside == MAIN or (links > 0.8 and len(block.text) < LONG) else BRIEF
+    return NEAR if block.inside == ARTICLE else BRIEF
+
+
 def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
     """Whether each block is kept. Ambiguous ones take the label that both nearest decided neighbours have; between a
     good and a bad one (or the page's end), near-good blocks are kept, headings go with what follows, the others with
@@ -178,9 +203,14 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
 
 def extract(page: str | None) -> str:
     found = blocks(page or "")
-    has_article = any(b.inside and not b.outside for b in found)
-    keep = second_pass([first_pass(b, has_article) for b in found], [b.heading for b in found])
-    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    labels = [first_pass(b) for b in found]
+    if article_leads(found, labels):
+        labels = [shifted(b, x) for b, x in zip(found, labels, strict=True)]
+        if GOOD not in labels:  # an article of short blocks only
+            labels = [NEAR if x == BRIEF and b.inside else x for b, x in zip(found, labels, strict=True)]
+    told = [(b, x) for b, x in zip(found, labels, strict=True) if x != OUT]
+    keep = second_pass([x for _, x in told], [b.heading for b, _ in told])
+    return "\n".join(b.text for (b, _), k in zip(told, keep, strict=True) if k)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

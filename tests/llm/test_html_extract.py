@@ -21,6 +21,20 @@ def test_pages_without_article_go_by_the_block_rules():
     assert extract(page) == f"Title\n{LONG.strip()}\nBrief one.\n{LONG.strip()}"
 
 
+def test_text_in_divs_beside_article_teasers():
+    text = LONG.strip()
+    page = f"<body><div>{LONG}</div><div>{LONG}</div><div><a href=m>More of the news of the day</a></div><article class=card><h3>Teaser</h3><p>Read on.</p></article><article class=card><p>Another one.</p></article></body>"
+    assert extract(page) == f"{text}\n{text}"
+    assert extract(f"<main><p>{LONG}</p></main><div>{LONG}</div><div>{LONG}</div>") == f"{text}\n{text}\n{text}"
+
+
+def test_block_rules_inside_main():
+    junk = "xqz vbn jkl mnp rst vwx qrs tuv wxy zab cde fgh ijk lmn opq rst uvw xyz abc def"
+    page = f"<main><div>{junk}</div><div>{junk}</div><p><a href=a>All of the other news</a></p><h1>Title</h1><p>{LONG}</p><p>The end.</p><div>Go on: <a href=b>Mail</a> <a href=c>Print</a></div><p>{LONG}</p></main>"
+    assert extract(page).split("\n")[-4:] == ["Title", LONG.strip(), "The end.", LONG.strip()]
+    assert extract("<main><p>Short.</p><p>Brief.</p></main>") == "Short.\nBrief."
+
+
 def test_second_pass():
     assert second_pass([BAD, BRIEF, BAD], [False] * 3) == [False] * 3
     assert second_pass([GOOD, BRIEF, GOOD], [False] * 3) == [True] * 3
