@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "brief"
 #: No part of an article, and no neighbour to the blocks around it either.
 OUT = "out"
 #: What a block stands in, and how much a character of each label counts when articles are weighed against the rest.
-MAIN, ARTICLE = 1, 2
+DOUBTFUL, MAIN, ARTICLE = -1, 1, 2
 WEIGHT = {GOOD: 3, NEAR: 2, BRIEF: 1, BAD: 1}
 
 #: Frequent function words (fixed values).
@@ -40,12 +41,16 @@ SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|
 HOLDERS = frozenset("html body div section article main nav header footer aside form dialog figure fieldset details ul ol dl table tbody thead tr menu center blockquote address".split())
 BREAKS = HOLDERS | frozenset("head p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption summary pre hr option legend label".split())
 OUTSIDE = frozenset("nav header footer aside form dialog menu head fieldset".split())
-#: Words of a class, id or role that mark such elements.
+#: Names of a class, id or role that mark such elements, also put together with words that say nothing of the content.
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsense banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside widget cookie cookies "
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond reply pagination pager toolbar copyright "
     "disclaimer skip hidden complementary contentinfo search form".split()
 )
+FILLERS = frozenset(
+    "js wp site page main global top bottom left right inner outer primary secondary wrap wrapper container box bar block area section group row col column list item items link links button buttons btn icon icons "
+    "media slot unit google content text title label toggle panel posts articles article entry stories reading message policy to".split()
+)
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b[^>]*>.*?(?:</(?P=silent)\b[^>]*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>",
@@ -57,35 +62,46 @@ PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 WORDS = re.compile(r"\w+")
 
 
+@lru_cache(maxsize=10_000)
+def is_mark(name: str) -> bool:
+    """Whether a whole name marks an element: ``sidebar``, ``cookie-notice`` and ``share-buttons`` do, ``no-sidebar`` and
+    ``category-social`` don't."""
+    words = {part.lower() for part in PARTS.findall(name)}
+    return not words.isdisjoint(MARKS) and words <= MARKS | FILLERS
+
+
 def marked(attrs: str) -> bool:
     if not attrs or attrs.isspace():
         return False
-    values = (a or b or c for a, b, c in MARKED.findall(attrs))
-    return any(part.lower() in MARKS for value in values for part in PARTS.findall(value)) or bool(UNSEEN.search(attrs))
+    return any(is_mark(name) for a, b, c in MARKED.findall(attrs) for name in (a or b or c).split())
+
+
+def unseen(attrs: str) -> bool:
+    return bool(attrs) and bool(UNSEEN.search(attrs))
 
 
 class Block:
-    __slots__ = ("text", "linked", "inside", "outside", "heading")
+    __slots__ = ("text", "linked", "inside", "outside", "marked", "heading")
 
-    def __init__(self, text, linked, inside, outside, heading):
-        self.text, self.linked, self.inside, self.outside, self.heading = text, linked, inside, outside, heading
+    def __init__(self, text, linked, inside, outside, marked, heading):
+        self.text, self.linked, self.inside, self.outside, self.marked, self.heading = text, linked, inside, outside, marked, heading
 
 
 def blocks(page: str) -> list[Block]:
     """Non-empty blocks in page order. Unclosed elements end where an element around them ends."""
     out: list[Block] = []
-    stack = [("", 0, False)]  # holder, inside main or an article, outside of any
+    stack = [("", 0, False, False)]  # holder, inside main or an article, outside of any, marked
     parts: list[str] = []
-    linked, in_link, own, heading, broken = 0, False, False, False, False
+    linked, in_link, own, mine, heading, broken = 0, False, False, False, False, False
     at = 0
 
     def flush():
-        nonlocal parts, linked, own, heading
+        nonlocal parts, linked, own, mine, heading
         text = " ".join("".join(parts).split())
         if text:
-            _, inside, outside = stack[-1]
-            out.append(Block(text, linked, inside, (outside and not (heading and inside)) or own, heading))
-        parts, linked, own, heading = [], 0, False, False
+            _, inside, outside, mark = stack[-1]
+            out.append(Block(text, linked, inside, (outside and not (heading and inside)) or own, mark or mine, heading))
+        parts, linked, own, mine, heading = [], 0, False, False, False
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -116,16 +132,31 @@ def blocks(page: str) -> list[Block]:
                     if found:
                         del stack[found:]
                 elif not page.startswith("/>", m.end() - 2):
-                    _, inside, outside = stack[-1]
-                    mark = tag not in ("html", "body", "main") and marked(m["attrs"] or "")
-                    if tag in ("article", "main") and not mark:
-                        inside, outside = max(inside, ARTICLE if tag == "article" else MAIN), outside and any(t in OUTSIDE for t, _, _ in stack)
-                    stack.append((tag, inside, outside or mark or tag in OUTSIDE))
+                    _, inside, outside, mark = stack[-1]
+                    attrs = m["attrs"] or ""
+                    if tag in ("article", "main"):
+                        if not (hidden := tag == "article" and unseen(attrs)):
+                            outside, mark = outside and any(t in OUTSIDE for t, *_ in stack), False
+                            if tag == "article" and marked(attrs):
+                                inside = inside or DOUBTFUL
+                            else:
+                                inside = max(inside, ARTICLE if tag == "article" else MAIN)
+                        stack.append((tag, inside, outside or hidden, mark))
+                    elif tag in ("html", "body"):
+                        stack.append((tag, inside, outside, mark))
+                    else:
+                        stack.append((tag, inside, outside or tag in OUTSIDE or unseen(attrs), mark or marked(attrs)))
             elif not closing:
-                own, heading = marked(m["attrs"] or ""), tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+                attrs, heading = m["attrs"] or "", tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+                own, mine = unseen(attrs), not heading and marked(attrs)
     if at < len(page):
         parts.append(html.unescape(page[at:]))
     flush()
+    # A marked article is one where the page has no other, else like any element; its text stays.
+    lone = not any(b.inside > 0 for b in out)
+    for block in out:
+        if block.inside == DOUBTFUL:
+            block.inside = ARTICLE if lone else 0
     return out
 
 
@@ -150,17 +181,27 @@ def article_leads(found: list[Block], labels: list[str]) -> bool:
     """Whether articles hold most of the page's text, so that they are more than teasers."""
     held = {True: 0, False: 0}
     for block, label in zip(found, labels, strict=True):
-        if not block.outside and block.linked <= LINKS * len(block.text):
+        if not (block.outside or block.marked) and block.linked <= LINKS * len(block.text):
             held[block.inside > 0] += WEIGHT[label] * len(block.text)
     return held[True] > 0 and held[True] >= held[False]
 
 
+def weighed(found: list[Block], labels: list[str]) -> list[str]:
+    """Labels with the marks on or around blocks: a good block falls by one and a heading stays as it is, others are bad.
+    Marks around all the text of a page tell nothing, so they only count beside unmarked text."""
+    if not any(x in (GOOD, NEAR) and not b.marked for b, x in zip(found, labels, strict=True)):
+        return labels
+    return [(NEAR if x == GOOD else x if b.heading else BAD) if b.marked else x for b, x in zip(found, labels, strict=True)]
+
+
 def shifted(block: Block, label: str) -> str:
     """The label of a block on a page whose articles lead: better inside of one, worse beside them."""
     if not block.inside:
-        return BRIEF if label == GOOD else BAD
-    if block.outside:
+        return BRIEF if label == GOOD and not block.marked else BAD
+    if block.outside or (block.marked and label != GOOD and not block.heading):
         return OUT
+    if block.marked and label == GOOD:
+        return NEAR
     if label in (GOOD, NEAR):
         return GOOD
     links = block.linked / len(block.text)
@@ -208,6 +249,8 @@ def extract(page: str | None) -> str:
         labels = [shifted(b, x) for b, x in zip(found, labels, strict=True)]
         if GOOD not in labels:  # an article of short blocks only
             labels = [NEAR if x == BRIEF and b.inside else x for b, x in zip(found, labels, strict=True)]
+    else:
+        labels = weighed(found, labels)
     told = [(b, x) for b, x in zip(found, labels, strict=True) if x != OUT]
     keep = second_pass([x for _, x in told], [b.heading for b, _ in told])
     return "\n".join(b.text for (b, _), k in zip(told, keep, strict=True) if k)

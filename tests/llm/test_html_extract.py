@@ -35,6 +35,23 @@ def test_block_rules_inside_main():
     assert extract("<main><p>Short.</p><p>Brief.</p></main>") == "Short.\nBrief."
 
 
+@pytest.mark.parametrize("name", ["post category-social", "post tag-ads", "post alert", "notices", "no-sidebar has-search"])
+def test_marks_do_not_drop_articles_and_layouts(name):
+    text = LONG.strip()
+    body = f"<h2 id='form-validation'>Form</h2><p>{LONG}</p><h2 id=search>Search</h2><p>Brief one.</p><p>{LONG}</p>"
+    assert extract(f"<body><article class='{name}'>{body}</article><footer>no</footer></body>") == f"Form\n{text}\nSearch\nBrief one.\n{text}"
+    assert extract(f"<body><div class='{name}'>{body}</div></body>") == f"Form\n{text}\nSearch\nBrief one.\n{text}"
+
+
+def test_marks_are_weighed():
+    text = LONG.strip()
+    assert extract(f"<article><p>{LONG}</p><section id='related-work'><h2>Related work</h2><p>Brief.</p></section></article>") == f"{text}\nRelated work\nBrief."
+    assert extract(f"<article><p>{LONG}</p><section class=related><p>{LONG}</p><p>Brief.</p></section></article>") == f"{text}\n{text}"
+    assert extract(f"<div><p>{LONG}</p><p>{LONG}</p><div class='site-notice'>A notice of the day</div><div class=shareButtons>Share it</div><p>{LONG}</p></div>") == f"{text}\n{text}\n{text}"
+    assert extract("<article class=alert><p>Short.</p></article><footer>no</footer>") == "Short."
+    assert extract(f"<article><p>{LONG}</p></article><div class=comments><p>{LONG}</p></div><article hidden><p>{LONG}</p></article>") == text
+
+
 def test_second_pass():
     assert second_pass([BAD, BRIEF, BAD], [False] * 3) == [False] * 3
     assert second_pass([GOOD, BRIEF, GOOD], [False] * 3) == [True] * 3
