@@ -52,6 +52,14 @@ def test_marks_are_weighed():
     assert extract(f"<article><p>{LONG}</p></article><div class=comments><p>{LONG}</p></div><article hidden><p>{LONG}</p></article>") == text
 
 
+def test_self_closed_and_custom_elements_keep_what_follows():
+    for empty in ("<svg class='i'/>", "<svg class=i/>", "<math/>", "<svg />", '<svg title="a>b" />'):
+        assert extract(f"<article><p>one</p>{empty}<p>two</p><svg><text>no</text></svg><p>three</p></article>") == "one\ntwo\nthree"
+    for name in ("button-group", "object-view", "title-bar", "svg-icon"):
+        assert extract(f"<article><p>one</p><{name} a=b><p>two</p></{name}><p>three</p></article>") == "one\ntwo\nthree"
+    assert extract("<article><p>one</p><script>x</script-y></script ><p>two</p><style\n>z</style><button/>no</button></article>") == "one\ntwo"
+
+
 def test_second_pass():
     assert second_pass([BAD, BRIEF, BAD], [False] * 3) == [False] * 3
     assert second_pass([GOOD, BRIEF, GOOD], [False] * 3) == [True] * 3
