@@ -1,28 +1,42 @@
 """Hybrid retrieval over chunks: keyword scores, cosine similarity, fusion, citations, and how good it is.
 
-Queries are a stated, bounded set (at most ``MOST_QUERIES``, checked); they are scored against all chunks in one pass,
-as columns, so nothing is cross-joined. Ranks within a query keep the best rows of each partition before the shuffle.
+Queries are taken in blocks of about ``BLOCK``, each held against all chunks in one pass, so their number has no bound and
+nothing is cross-joined. Ranks within a query keep the best rows of each partition before the shuffle.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from govflow.functions import text as T
 
-MOST_QUERIES = 1000
+#: Queries of a block, pairs of a batch, and runs of characters (of so many at most) whose terms a task remembers.
+BLOCK, PAIRS, REMEMBERED, BRIEF_RUN = 1000, 500_000, 200_000, 50
 WHOLE_QUERY, MOST_COUNTED, PER_COUNT = 12.0, 5, 0.25
 RECALL, RECALL_LOW, MOST_K = 50, 25, 10
 
 
-def _bounded(queries: DataFrame) -> list:
-    rows = queries.limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; give them in blocks")
-    return rows
+#: Terms stand within one of these.
+RUN = re.compile(r"[a-z0-9\-.]+|[一-鿿]+")
+WORD = re.compile(r"[a-z0-9]")
+
+
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    """All queries, some ``BLOCK`` at a time."""
+    parts = max(1, math.ceil(queries.count() / BLOCK))
+    for i in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).collect()
+        if rows:
+            yield rows
 
 
 def _best(rows: DataFrame, score: str, n: int) -> DataFrame:
@@ -41,33 +55,83 @@ def in_scope(chunks: DataFrame, meta: DataFrame, scope: dict[str, set | None]) -
     return chunks.join(meta.where(where).select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def _terms_of(low: str, vocabulary: dict[str, int], lengths: list[int], known: dict) -> dict[int, int]:
+    """How often each term stands in a text, without overlaps."""
+    counts: dict[int, int] = defaultdict(int)
+    for run, times in Counter(RUN.findall(low)).items():
+        hits = known.get(run)
+        if hits is None:
+            there = {run[i : i + k] for k in lengths for i in range(len(run) - k + 1)} & vocabulary.keys()
+            hits = [(vocabulary[t], run.count(t)) for t in there]
+            if len(known) < REMEMBERED and len(run) <= BRIEF_RUN:
+                known[run] = hits
+        for j, n in hits:
+            counts[j] += n * times
+    return counts
+
+
+def _keyword_block(rows: DataFrame, distinct: DataFrame, asked: list, chunks: int, kind: str) -> DataFrame:
+    terms = sorted({t for q in asked for t in q.terms})
+    vocabulary, lengths = {t: j for j, t in enumerate(terms)}, sorted({len(t) for t in terms})
+    ids, raws = [q.query_id for q in asked], [q.raw for q in asked]
+    words = np.array([sum(bool(WORD.match(t)) for t in q.terms) for q in asked])
+    places: list[list[int]] = [[] for _ in terms]
+    for i, q in enumerate(asked):
+        for t in q.terms:
+            places[vocabulary[t]].append(i)
+
+    def count(batches):
+        known, df = {}, Counter()
+        for batch in batches:
+            for low in batch.column(0).to_pylist():
+                df.update(_terms_of(low, vocabulary, lengths, known).keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], ["term", "df"])
+
+    df = {r.term: r.df for r in rows.select("low").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    idf = [math.log(1 + chunks / (1 + df.get(j, 0))) for j in range(len(terms))]
+
+    def score(batches):
+        known, schema = {}, None
+        where, is_word = [np.array(p) for p in places], [bool(WORD.match(t)) for t in terms]
+        step = max(1, PAIRS // len(ids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                keys, lows = (batch.column(i).slice(at, step) for i in (0, 1))
+                chunk, query, value = [], [], []
+                for k, low in enumerate(lows.to_pylist()):
+                    sums, have = np.zeros(len(ids)), np.zeros(len(ids), int)
+                    for j, n in sorted(_terms_of(low, vocabulary, lengths, known).items()):
+                        sums[where[j]] += idf[j] * (1 + min(n, MOST_COUNTED) * PER_COUNT)
+                        if is_word[j]:
+                            have[where[j]] += 1
+                    # A text with the whole query has all of its words.
+                    for i in np.flatnonzero(have == words):
+                        if raws[i] and raws[i] in low:
+                            sums[i] += WHOLE_QUERY
+                    hit = np.flatnonzero(sums > 0)
+                    chunk.append(np.full(len(hit), k))
+                    query.append(hit)
+                    value.append(sums[hit])
+                found = pa.array(ids).take(pa.array(np.concatenate(query)))
+                yield pa.RecordBatch.from_arrays([found, keys.take(pa.array(np.concatenate(chunk))), pa.array(np.concatenate(value))], ["query_id", "chunk_key", "kw_score"])
+
+    return distinct.mapInArrow(score, f"query_id {kind}, chunk_key {dict(rows.dtypes)['chunk_key']}, kw_score double")
+
+
 def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_key, kw_score of chunks with a score: 12 for the whole query, and for each term
     ln(1 + n / (1 + df)) * (1 + 0.25 * min(occurrences, 5)). n and df count every chunk given.
 
-    queries: query_id, text. Chunks of one key count each for n and df, and have one row.
+    queries: query_id, text; any number of them. Chunks of one key count each for n and df, and have one row.
     """
-    asked = _bounded(queries.select("query_id", T.normal_query(F.col("text")).alias("raw"), T.query_terms(F.col("text")).alias("terms")))
-    asked = [q for q in asked if q.raw or q.terms]
-    low = F.lower(T.fold(F.col("text"))).alias("low")
-    rows = chunks.select("chunk_key", low)
-    if not asked:
-        return rows.select(F.lit(None).cast("long").alias("query_id"), "chunk_key", F.lit(0.0).alias("kw_score")).where(F.lit(False))
-    terms = sorted({t for q in asked for t in q.terms})
-    found = rows.agg(F.count(F.lit(1)), *[F.count_if(F.col("low").contains(F.lit(t))) for t in terms]).first()
-    idf = {t: F.log(F.lit(1.0) + F.lit(found[0] / (1 + df))) for t, df in zip(terms, found[1:], strict=True)}
-
-    def score(q) -> Column:
-        parts = [F.when(F.col("low").contains(F.lit(q.raw)), F.lit(WHOLE_QUERY)).otherwise(F.lit(0.0))] if q.raw else []
-        for t in q.terms:
-            n = T.occurrences(F.col("low"), F.lit(t))
-            parts.append(F.when(n > 0, idf[t] * (1 + F.least(n, F.lit(MOST_COUNTED)) * PER_COUNT)).otherwise(F.lit(0.0)))
-        return reduce(lambda a, b: a + b, parts)
-
-    scored = F.array(*[F.struct(F.lit(q.query_id).alias("query_id"), score(q).alias("kw_score")) for q in asked])
+    asked = queries.select("query_id", T.normal_query(F.col("text")).alias("raw"), T.query_terms(F.col("text")).alias("terms")).where("raw <> '' or size(terms) > 0")
+    rows = chunks.select("chunk_key", F.lower(T.fold(F.col("text"))).alias("low"))
+    n, distinct, kind = rows.count(), rows.dropDuplicates(["chunk_key"]), dict(queries.dtypes)["query_id"]
+    blocks = [_keyword_block(rows, distinct, block, n, kind) for block in _blocks(asked)]
+    if not blocks:
+        return rows.select(F.lit(None).cast(kind).alias("query_id"), "chunk_key", F.lit(0.0).alias("kw_score")).where(F.lit(False))
     # Rounded, as sums in another order would break ties in their last bits.
-    out = rows.dropDuplicates(["chunk_key"]).select("chunk_key", F.explode(scored).alias("s")).select("s.query_id", "chunk_key", F.round("s.kw_score", 9).alias("kw_score"))
-    return out.where("kw_score > 0")
+    return reduce(DataFrame.union, blocks).withColumn("kw_score", F.round("kw_score", 9)).where("kw_score > 0")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -81,13 +145,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
+def _cosines(vectors: list, queries: list) -> np.ndarray:
+    """``cosine`` of each vector and query."""
+    out = np.zeros((len(vectors), len(queries)))
+    vectors, queries = ([np.array([] if v is None else v, float) for v in x] for x in (vectors, queries))
+    for size in {len(q) for q in queries} - {0}:
+        mine, asked = ([i for i, v in enumerate(x) if len(v) == size] for x in (vectors, queries))
+        if mine:
+            a, b = np.stack([vectors[i] for i in mine]), np.stack([queries[i] for i in asked])
+            norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))
+            out[np.ix_(mine, asked)] = np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
+    # Rounded, as equal vectors may differ in their last bits by their place in a batch.
+    return np.round(out, 12)
+
+
+def _vector_block(vectors: DataFrame, asked: list, kind: str, k: int | None) -> DataFrame:
+    ids, given = [q.query_id for q in asked], [q.vector for q in asked]
+    step = max(1, PAIRS // len(ids))
+
+    def run(batches):
+        best = [[] for _ in ids]
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                keys, values = (batch.column(i).slice(at, step) for i in (0, 1))
+                scores = _cosines(values.to_pylist(), given)
+                if k is None:
+                    chunk, query = (x.ravel() for x in np.indices(scores.shape))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(query)), keys.take(pa.array(chunk)), pa.array(scores.ravel())], ["query_id", "chunk_key", "vec_score"])
+                    continue
+                names = keys.to_pylist()
+                for i, held in enumerate(best):
+                    column = scores[:, i]
+                    least = np.partition(column, -k)[-k] if len(column) > k else -np.inf
+                    least = max(least, -held[-1][0]) if len(held) == k else least
+                    held += [(-column[j], names[j]) for j in np.flatnonzero(column >= least)]
+                    held.sort()
+                    del held[k:]
+        if k is not None:
+            rows = [(ids[i], name, -score) for i, held in enumerate(best) for score, name in held]
+            yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "chunk_key", "vec_score"), r, strict=True)) for r in rows], schema=pa.schema([("query_id", pa.array(ids).type), ("chunk_key", batch_type), ("vec_score", pa.float64())]))
+
+    batch_type = pa.string() if dict(vectors.dtypes)["chunk_key"] == "string" else pa.int64()
+    return vectors.select("chunk_key", "vector").mapInArrow(run, f"query_id {kind}, chunk_key {dict(vectors.dtypes)['chunk_key']}, vec_score double")
+
+
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_key, vec_score: every vector (chunk_key, vector) against every query (query_id, vector)."""
-    asked = _bounded(queries.select("query_id", "vector"))
-    if not asked:
-        return vectors.select(F.lit(None).cast("long").alias("query_id"), "chunk_key", F.lit(0.0).alias("vec_score")).where(F.lit(False))
-    scored = F.array(*[F.struct(F.lit(q.query_id).alias("query_id"), cosine(F.col("vector"), F.lit([float(x) for x in q.vector])).alias("vec_score")) for q in asked])
-    return vectors.select("chunk_key", F.explode(scored).alias("s")).select("s.query_id", "chunk_key", "s.vec_score")
+    kind = dict(queries.dtypes)["query_id"]
+    blocks = [_vector_block(vectors, block, kind, None) for block in _blocks(queries.select("query_id", "vector"))]
+    if not blocks:
+        return vectors.select(F.lit(None).cast(kind).alias("query_id"), "chunk_key", F.lit(0.0).alias("vec_score")).where(F.lit(False))
+    return reduce(DataFrame.union, blocks)
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``top_k`` of ``vector_scores``; each task keeps the k best of a query, and a block is done before the next."""
+    kind, context, out = dict(queries.dtypes)["query_id"], vectors.sparkSession.sparkContext, []
+    for block in _blocks(queries.select("query_id", "vector")):
+        best = top_k(_vector_block(vectors, block, kind, k), "vec_score", k)
+        out.append(best.checkpoint() if context.getCheckpointDir() else best.localCheckpoint())
+    return reduce(DataFrame.union, out) if out else top_k(vector_scores(vectors, queries), "vec_score", k)
 
 
 def top_k(scores: DataFrame, score: str, k: int) -> DataFrame:

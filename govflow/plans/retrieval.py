@@ -152,3 +152,59 @@ def topk_overlap(t):
     best = retrieval.top_k(retrieval.vector_scores(vectors(t), vector_queries(t)), "vec_score", 10)
     other = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rank") % 3, "rank")))
     return retrieval.agreement(best, other, 5)
+
+
+# -- the whole set: every row whose id is divisible by 20 asks, with its whole text, against all rows; SQL can't follow ----
+
+
+def all_asked(t):
+    return t("benchmark").where("item_id % 20 = 0").select(F.col("item_id").cast("long").alias("query_id"), "text")
+
+
+def all_vector_queries(t):
+    return t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def shown(best):
+    return best.select("query_id", "chunk_key", F.col("rank").cast("long").alias("rank"), F.round("vec_score", 4).alias("vec_score"))
+
+
+@query()
+def keyword_scores_all(t):
+    return retrieval.keyword_scores(texts(t), all_asked(t)).withColumn("kw_score", F.round("kw_score", 4))
+
+
+@query()
+def vector_topk_all(t):
+    return shown(retrieval.vector_top_k(vectors(t), all_vector_queries(t), 10))
+
+
+@query()
+def scope_filtered_search_all(t):
+    rows = vectors(t).withColumn("doc_id", F.col("chunk_key"))
+    live = retrieval.in_scope(rows, rows.select("doc_id", F.col("label").alias("project_id")), {"project_id": {1, 3, 4}})
+    return shown(retrieval.vector_top_k(live, all_vector_queries(t), 5))
+
+
+@query()
+def topk_overlap_all(t):
+    best = retrieval.vector_top_k(vectors(t), all_vector_queries(t), 10)
+    other = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rank") % 3, "rank")))
+    return retrieval.agreement(best, other, 5)
+
+
+def all_hybrid(t):
+    """As ``hybrid``, over all that ask."""
+    near = texts(t).select("chunk_key").crossJoin(F.broadcast(all_asked(t).select("query_id")))
+    made_up = ((F.char_length("chunk_key") * 7 + F.col("query_id") * 3 + F.col("chunk_key").cast("long") * 13) % 97) / 97.0
+    return near.select("query_id", "chunk_key", made_up.alias("vec_score")), retrieval.keyword_scores(texts(t), all_asked(t))
+
+
+@query()
+def fused_candidates_all(t):
+    return retrieval.fused(*all_hybrid(t)).withColumns({"vec_score": F.round("vec_score", 4), "kw_score": F.round("kw_score", 4)})
+
+
+@query()
+def fallback_rank_all(t):
+    return retrieval.ranked(retrieval.fused(*all_hybrid(t)))
