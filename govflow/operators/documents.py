@@ -109,17 +109,23 @@ def reconciled(pending: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def estimated_chunks(pages: Column, chars: Column, size: int = 500) -> Column:
-    """Pages times chunks of a mean page, at least one each."""
-    return (pages * F.greatest(F.lit(1), F.ceil(F.ceil(F.try_divide(chars, pages)) / size))).cast("long")
+    """Pages times chunks of a mean page, at least one each; a document of no pages is one page, of no chunk if empty."""
+    paged = pages * F.greatest(F.lit(1), F.ceil(F.ceil(F.try_divide(chars, pages)) / size))
+    return F.when(pages > 0, paged).otherwise(F.ceil(F.greatest(chars, F.lit(0)) / size)).cast("long")
 
 
-def next_codes(projects: DataFrame, prefix: str, year: int, ahead: int = 5) -> DataFrame:
+def next_codes(projects: DataFrame, prefix: str, year: int) -> DataFrame:
     """code: the first unused prefix-year-number behind the count of such codes, deleted projects included."""
     start = f"{prefix}-{year}-"
+    code = lambda number: F.format_string("%s%03d", F.lit(start), number)
     used = projects.where(F.col("code").startswith(start))
     n = used.agg(F.count(F.lit(1)).alias("n"))
-    tries = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("i")).select("i", F.format_string("%s%03d", F.lit(start), F.col("n") + F.col("i")).alias("code"))
-    return tries.join(used.select("code"), "code", "left_anti").orderBy("i").limit(1).select("code")
+    number = F.substring("code", len(start) + 1, 20).try_cast("long")
+    # Free numbers follow the count or a number in use, so the first one is there.
+    taken = used.select("code", number.alias("i")).where("i is not null").where(F.col("code") == code(F.col("i"))).select("i").distinct()
+    behind = taken.join(F.broadcast(n), F.col("i") > F.col("n")).select("i")
+    tries = n.select(F.col("n").alias("i")).union(behind).select((F.col("i") + 1).alias("i"))
+    return tries.join(taken, "i", "left_anti").agg(F.min("i").alias("i")).select(code(F.col("i")).alias("code"))
 
 
 def answer_rates(answers: DataFrame) -> DataFrame:

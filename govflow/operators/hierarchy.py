@@ -42,18 +42,26 @@ def subtree_sizes(projects: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     return ancestors(projects, depth).groupBy(F.col("ancestor_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def on_cycle(projects: DataFrame, hops: int = 20) -> DataFrame:
-    """Ids that reach themselves over at most ``hops`` parents.
+def on_cycle(projects: DataFrame) -> DataFrame:
+    """Ids that reach themselves over any number of parents. An id has one parent at most; with several it is an error.
 
-    A pair is followed once only, so the loop ends early on trees.
+    Pointer doubling: every round doubles the hops and keeps the ids that something reaches, until all ids are reached.
+    The hops then permute the ids, so each is on a cycle.
     """
-    edges = projects.where("parent_id is not null").select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"))
-    step = edges.select(F.col("_id").alias("id"), F.col("_parent").alias("at"))
-    found = step.where("id = at")
-    for _ in range(hops - 1):
-        step = step.where("id <> at").join(edges, step["at"] == F.col("_id")).select("id", F.col("_parent").alias("at")).distinct()
-        found = found.union(step.where("id = at"))
-    return found.select("id").distinct()
+    store = projects.sparkSession.sparkContext.getCheckpointDir()
+    kept = lambda rows: rows.checkpoint() if store else rows.localCheckpoint()
+    pairs = kept(projects.where("parent_id is not null").select("id", F.col("parent_id").alias("at")).distinct())
+    if pairs.groupBy("id").count().where("count > 1").limit(1).count():
+        raise ValueError("an id has several parents")
+    left = pairs.count()
+    while True:
+        reached = kept(pairs.join(pairs.select(F.col("at").alias("id")).distinct(), "id", "left_semi"))
+        before, left = left, reached.count()
+        if left == before:
+            return reached.select("id")
+        onward = reached.select(F.col("id").alias("_id"), F.col("at").alias("_at"))
+        pairs = kept(reached.join(onward, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at")))
+        left = pairs.count()
 
 
 def primary_contract(links: DataFrame, contracts: DataFrame) -> DataFrame:

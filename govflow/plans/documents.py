@@ -116,6 +116,12 @@ def estimated_chunks(p):
     return p.table("documents").where(pages > 0).select("doc_id", documents.estimated_chunks(pages, F.char_length("text")).alias("chunks"))
 
 
+@query()
+def estimated_chunks_all(p):
+    """All documents, those of no pages too."""
+    return p.table("documents").select("doc_id", documents.estimated_chunks(F.col("doc_id") % 4, F.char_length("text")).alias("chunks"))
+
+
 @query("all_projects", "SELECT 'P-1995-' || lpad((SELECT count(*) + 1 FROM all_projects WHERE code LIKE 'P-1995-%')::VARCHAR, 3, '0') AS code")
 def next_code(p):
     """Codes of the view aren't padded, so the first try is free."""
@@ -144,3 +150,12 @@ def cyclic_projects(p):
     """Projects that reach themselves, in a made-up hierarchy with cycles."""
     k = F.col("c_custkey")
     return hierarchy.on_cycle(p.table("customer").where(k < 60).select(k.alias("id"), ((k * k + 3) % 60).alias("parent_id")))
+
+
+@query()
+def cyclic_projects_all(p):
+    """The same over all customers."""
+    k = F.col("c_custkey")
+    rows = p.table("customer")
+    n = rows.agg((F.max(k) + 1).alias("n"))
+    return hierarchy.on_cycle(rows.join(F.broadcast(n), how="cross").select(k.alias("id"), ((k * k + 3) % F.col("n")).alias("parent_id")))
