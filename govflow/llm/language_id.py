@@ -150,7 +150,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def with_letters(docs: DataFrame) -> DataFrame:
-    """The rows whose language can be told, with all their columns: the text has a letter and a language was learned."""
+    """The rows whose text has a letter, so that a language can be told, with all their columns. Where no language was
+    learned, the letters alone decide."""
     profiles = train(docs.where(id_bucket("doc_id", FOLDS) != HELD_OUT))
     model = Profiles(profiles.toPandas())
 
@@ -158,4 +159,10 @@ def with_letters(docs: DataFrame) -> DataFrame:
     def language(text: pd.Series) -> pd.Series:
         return text.map(lambda t: model.predict(t)[0])
 
+    @F.pandas_udf("boolean")
+    def lettered(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: len(grams(t or "")) > 0)
+
+    if not model.langs:
+        return docs.where(lettered(F.col("text")))
     return docs.where(language(F.col("text")) != UNKNOWN)

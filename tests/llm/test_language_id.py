@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from govflow.llm import language_id
 from govflow.llm.common import table
 
@@ -61,3 +63,11 @@ def test_nothing_learned_and_empty_table(spark):
     assert {(r.doc_id, r.lang_pred) for r in language_id.identify(docs).collect()} == {(1, "und"), (2, "und")}
     assert language_id.identify(docs.limit(0)).collect() == []
     assert language_id.with_letters(spark.createDataFrame([(i, "12" if i % 2 else "ab c", "aa") for i in range(8)], docs.schema)).count() == 4
+
+
+def test_unlabelled_tables_keep_texts_with_letters(spark):
+    rows = [(i, f"some text {i}", None) for i in range(30)] + [(30, "12 34", None), (31, None, None), (32, "", None), (33, "漢字", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.with_letters(docs).collect()} == {*range(30), 33}
+    held = docs.where(language_id.held_out()).withColumn("lang", F.lit("en"))
+    assert language_id.with_letters(held).count() == held.where("text rlike '[a-z漢]'").count()
