@@ -159,3 +159,11 @@ def cyclic_projects_all(p):
     rows = p.table("customer")
     n = rows.agg((F.max(k) + 1).alias("n"))
     return hierarchy.on_cycle(rows.join(F.broadcast(n), how="cross").select(k.alias("id"), ((k * k + 3) % F.col("n")).alias("parent_id")))
+
+
+@query()
+def answer_rates_all(p):
+    """Over whole turns, with a number in every second one behind its text."""
+    number = F.concat((F.col("conv_id") + 1000).cast("string"), F.lit(".5"))
+    answer = F.concat_ws("; ", "text", F.when(F.col("turn") % 2 == 0, number))
+    return documents.answer_rates(p.table("conversations").select(F.col("role").alias("kind"), number.alias("expected"), answer.alias("answer"), (F.col("turn") % 3).alias("cited")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from govflow.functions import checks
@@ -212,3 +213,52 @@ def chunk_counters(t):
 @query()
 def chunk_improved(t):
     return chunking.structured_chunks(chunking.pages_of(t("documents")))
+
+
+# -- the whole job: all pages and whole texts, with the made-up values behind them; SQL can't follow -----------------------
+
+
+@query()
+def query_terms_all(t):
+    terms = T.query_terms(F.col("text"))
+    return t("benchmark").select("item_id", F.size(terms).cast("long").alias("n"), F.array_join(F.array_sort(terms), " ").alias("terms"))
+
+
+@query()
+def heading_levels_all(t):
+    """Whole lines as they are."""
+    lines = cleaning.lines_of(chunking.pages_of(t("documents")))
+    return lines.groupBy(T.heading_level(F.col("text")).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def clean_encoding_all(t):
+    lines = cleaning.lines_of(chunking.pages_of(t("documents"))).withColumn("text", F.translate("text", "a,e", "ａ，ｅ"))
+    return cleaning.encoding(lines).select("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+def behind(made_up):
+    return F.concat_ws("\n\n", "text", made_up)
+
+
+@query()
+def percent_sum_check_all(t):
+    k, p = F.col("doc_id"), F.col("page_no")
+    values = F.concat((k % 90).cast("string"), F.lit(" % and "), (100 + p % 4 - k % 90).cast("string"), F.lit("％\n\nalone 7%"))
+    found = checks.percent_sum(chunking.pages_of(t("documents")).withColumn("text", behind(values)))
+    return found.withColumn("paragraph", F.col("paragraph").cast("long"))
+
+
+@query()
+def number_style_check_all(t):
+    k = F.col("doc_id")
+    values = F.concat((1000 + k % 50).cast("string"), F.lit(" and 1,0"), F.lpad((k % 50).cast("string"), 2, "0"))
+    return checks.number_style(t("documents").select("doc_id", behind(values).alias("text")))
+
+
+@query()
+def answer_numbers_all(t):
+    """Each turn, with a number behind it, against the turn before."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    result = checks.traceable(behind(F.concat((F.col("conv_id") + 5).cast("string"), F.lit(".50"))), before)
+    return t("conversations").select("conv_id", "turn", result["status"].alias("status"), F.array_join(result["missing"], ",").alias("missing"))
