@@ -66,11 +66,14 @@ def id_bucket(column: str, modulus: int) -> Column:
 BROADCAST_KEYS = 1_000_000
 
 
+def checked_broadcast(rows: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` (written already, a few numbers each) with a broadcast hint where there are at most ``limit``, counted here."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def checked_semi_join(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """``rows`` whose ``column`` is in ``keys`` (one distinct long column, already written).
 
     The keys are broadcast where their number, counted here, is small enough; beyond that Spark shuffles both sides.
     """
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return rows.join(keys, column, "left_semi")
+    return rows.join(checked_broadcast(keys), column, "left_semi")
