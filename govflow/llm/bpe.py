@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices
+from .common import CACHED_CHARS, bounded_batches, slices
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Unicode's White_Space, which the tokenizer's \s stands for (fixed values).
@@ -173,7 +173,11 @@ class ByteBPE:
         known = self.cache
         for w, ps in zip(new, parts, strict=True):
             known[w] = b"".join([coded[p] for p in ps])
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del known[w]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

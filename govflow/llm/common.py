@@ -8,8 +8,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts can be long, so a batch stays far below Spark's default of 10,000 rows.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; a batch ends at whichever comes first, and holds one row at least.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Longer words are looked up anew each time, so that a worker's table of words is bounded in bytes as in words.
+CACHED_CHARS = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep what one Arrow batch holds small, as document texts have no length limit."""
+    """Keep what one Arrow batch holds small, as document texts have no length limit. These settings of the session stay."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one under /tmp where the setting is absent."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset and Spark runs on one machine, one
+    under /tmp; a cluster without the setting is an error, as its executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return found.rstrip("/")
 
 
+def fresh_name(kind: str) -> str:
+    """A column name that no input has."""
+    return f"{kind}_{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts the lineage.
 

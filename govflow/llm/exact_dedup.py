@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_name, materialize
 
 SALTS = 16
 
@@ -70,7 +70,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_digest"))
+    keep_name, digest_name = fresh_name("keep"), fresh_name("digest")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(keep_name), F.unhex("text_sha256").alias(digest_name))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (digest == F.col("_digest"))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(keep_name)) & (digest == F.col(digest_name))
     return docs.join(kept, on, "left_semi")

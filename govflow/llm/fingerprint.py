@@ -8,6 +8,9 @@ different bytes, its digests are extended by the SHA-256 of the bytes.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,32 +53,60 @@ def clashes(rows: DataFrame) -> DataFrame:
     return several.where("low <> high").select("digest")
 
 
+def _range_number(bounds: list[int], hot: dict[int, int]) -> Column:
+    """The range of a row with columns k and sub_key: how many bounds lie below k, and for hot ids the part by digest.
+
+    The bounds are held in runs, so that a row is compared with about twice the root of their number.
+    """
+    many = 1 << 32
+    if not bounds:
+        return F.lit(0).cast("long")
+    step = math.isqrt(len(bounds)) + 1
+    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda of: F.size(F.filter(of, lambda b: b < F.col("k"))).cast("long")
+    run = below(F.lit([r[0] for r in runs])) - 1
+    # The runs as one array of arrays; run -1 is before the first bound.
+    nested = F.array(*[F.lit(r) for r in runs])
+    number = F.when(run < 0, F.lit(0).cast("long")).otherwise(run * step + below(F.get(nested, run.cast("int")))) * many
+    if not hot:
+        return number
+    share = F.conv(F.substring("sub_key", 1, 8), 16, 10).cast("long")
+    parts = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair]), F.col("k"))
+    return F.when(F.col("sub_key") == "", number).otherwise(number + 1 + F.floor(share * parts / many).cast("long"))
+
+
 def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and what the next document holds (next_text, next_digest, next_sha), in ascending id.
 
     Null ids come first. Among repeated ids the order is by digest. After the last comes the first. Documents are dealt
-    to ranges of ids between approximate quantiles; the first ids of the ranges (as many as there are ranges) go through
-    the driver, and each range gets a copy of the row that follows it, so no range needs another.
+    to ranges of ids between approximate quantiles, four for each shuffle partition. An id that fills several ranges, as
+    null may, is dealt to as many by digest. The first keys of the ranges (as many as there are ranges) go through the
+    driver, and each range gets a copy of the row that follows it, so no range needs another.
     """
     spark = docs.sparkSession
-    ranges = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2000)
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    points = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    bounds = sorted(set(points or []))
-    of_range = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col("k")))
-    first = sorted(tuple(r) for r in docs.select(key.alias("k")).groupBy(of_range.alias("r")).agg(F.min("k")).collect())
-    ahead = [(k, before) for (before, _), (_, k) in zip([first[-1], *first[:-1]], first, strict=True)] if first else []
-    copies = F.broadcast(spark.createDataFrame(ahead, "k long, before int"))
+    points = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges))).first()[0]
+    filled = Counter(points or [])
+    bounds, hot = sorted(filled), {k: n for k, n in filled.items() if n > 1}
     form = canonical(F.col(text_col))
+    # The digest of a row whose id fills several ranges; else empty, and the text is not read for it.
+    sub_key = F.when(F.col("k").isin(list(hot)), wide_digest(form)).otherwise("") if hot else F.lit("")
+    keyed = docs.select(key.alias("k"), F.col(text_col)).select("k", sub_key.alias("sub_key"))
+    of_range = _range_number(bounds, hot)
+    first = sorted((r.r, *r.least) for r in keyed.groupBy(of_range.alias("r")).agg(F.min(F.struct("k", "sub_key")).alias("least")).collect())
+    ahead = [(k, s, before) for (before, *_), (_, k, s) in zip([first[-1], *first[:-1]], first, strict=True)] if first else []
+    copies = F.broadcast(spark.createDataFrame(ahead, "k long, sub_key string, before long"))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         key.alias("k"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         form.alias("form"),
     ).select("doc_id", "k", "text", wide_digest(F.col("form")).alias("digest"), F.unhex(F.sha2(F.col("form").cast("binary"), 256)).alias("sha"))
+    rows = rows.withColumn("sub_key", F.when(F.col("k").isin(list(hot)), F.col("digest")).otherwise("") if hot else F.lit(""))
     own = F.struct(of_range.alias("r"), F.lit(False).alias("guard"))
     guard = F.struct(F.col("before").alias("r"), F.lit(True).alias("guard"))
-    placed = rows.join(copies, "k", "left").withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guard))))
+    placed = rows.join(copies, ["k", "sub_key"], "left").withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guard))))
     order = Window.partitionBy("at.r").orderBy("at.guard", "k", "digest", "text")
     ahead_of = {name: F.lead(name).over(order).alias(f"next_{name}") for name in ("text", "digest", "sha")}
     return placed.select("doc_id", "text", "digest", "sha", "at", *ahead_of.values()).where("not at.guard").drop("at")

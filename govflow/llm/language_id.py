@@ -7,6 +7,7 @@ n-grams of how far their ranks are apart, where an n-gram that a profile lacks c
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_bucket
+from .common import bounded_batches, fresh_name, id_bucket
 
 #: N-grams of a profile, and of a document.
 PROFILE = 400
@@ -24,6 +25,7 @@ UNKNOWN = "und"
 #: Distinct n-grams that a task counts before it hands them on.
 TASK_GRAMS = 2_000_000
 #: Stands for "no character" in a packed n-gram; above all code points.
+CUT = re.compile(r"\s")
 ABSENT = np.int64((1 << 21) - 1)
 
 
@@ -48,6 +50,28 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate([(ABSENT << 42) | (ABSENT << 21) | one, (ABSENT << 42) | two, three])
 
 
+#: Characters of a text that are counted at a time.
+SLICE = 1_000_000
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text, ascending, and their counts. Long texts are cut at white space, which no n-gram spans."""
+    if len(text) <= SLICE:
+        return np.unique(grams(text), return_counts=True)
+    keys, counts, at = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    while at < len(text):
+        cut = CUT.search(text, at + SLICE)
+        end = cut.end() if cut else len(text)
+        keys, counts = merged([(keys, counts), np.unique(grams(text[at:end]), return_counts=True)])
+        at = end
+    return keys, counts
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def top(keys: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.ndarray:
     """The n most frequent keys (ascending keys given); ties by key."""
     return keys[np.argsort(-counts, kind="stable")[:n]]
@@ -63,10 +87,6 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
     def count(batches):
         held: dict[str, list] = {}
 
-        def merged(parts):
-            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
-
         def rows():
             for lang, parts in held.items():
                 keys, n = merged(parts)
@@ -75,7 +95,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
         for batch in batches:
             new: dict[str, list] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new.setdefault(lang, []).append(np.unique(grams(text), return_counts=True))
+                new.setdefault(lang, []).append(gram_counts(text))
             for lang, parts in new.items():
                 held[lang] = [merged(held.get(lang, []) + parts)]
             if sum(len(k) for parts in held.values() for k, _ in parts) > TASK_GRAMS:
@@ -104,7 +124,7 @@ class Profiles:
         self.ranks[at, np.searchsorted(self.langs, frame.lang.to_numpy())] = frame["rank"].to_numpy()
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        keys, counts = np.unique(grams(text or ""), return_counts=True)
+        keys, counts = gram_counts(text or "")
         if not len(keys) or not self.langs:
             return UNKNOWN, 0.0
         own = top(keys, counts, self.far)
@@ -149,20 +169,31 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def with_letters(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a letter, so that a language can be told, with all their columns. Where no language was
-    learned, the letters alone decide."""
+def with_language(docs: DataFrame) -> DataFrame:
+    """The rows whose language can be told, with all their columns; a null ``lang`` becomes the predicted one.
+
+    Rows of null texts, or texts without a letter, go. A given ``lang`` stays as it is. Where no language was learned,
+    as in a table without labels, all rows with a letter stay, and a null ``lang`` stays null.
+    """
     profiles = train(docs.where(id_bucket("doc_id", FOLDS) != HELD_OUT))
     model = Profiles(profiles.toPandas())
 
+    def tell(text: str | None) -> str | None:
+        if not model.langs:
+            return UNKNOWN if len(grams(text or "")) else None
+        found = model.predict(text)[0]
+        return None if found == UNKNOWN else found
+
     @F.pandas_udf("string")
     def language(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: model.predict(t)[0])
+        return text.map(tell)
+
+    bounded_batches(docs.sparkSession)
+    name = fresh_name("lang")
+    # Not deterministic to the optimizer, or it would run once more for the filter.
+    told = docs.withColumn(name, language.asNondeterministic()(F.col("text"))).where(F.col(name).isNotNull())
+    known = F.coalesce(F.col("lang"), F.nullif(F.col(name), F.lit(UNKNOWN))).cast(docs.schema["lang"].dataType)
+    return told.select(*[known.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
-    @F.pandas_udf("boolean")
-    def lettered(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: len(grams(t or "")) > 0)
 
-    if not model.langs:
-        return docs.where(lettered(F.col("text")))
-    return docs.where(language(F.col("text")) != UNKNOWN)
+with_letters = with_language

@@ -6,7 +6,7 @@ of its words' and of the end symbol's. The vocabulary's own scores are merge ran
 they are the prior of the piece probabilities, which the counts over the training documents then move.
 
 Word counts and word probabilities are tables by word. The most frequent words (a fixed number) are broadcast and added
-up where a document is read; all other words of a document are joined by hash.
+up where a document is read; all other words of a document are joined by hash and word.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 #: Frequent words that are broadcast at most, 20 MB or so.
 HEAD = 200_000
-#: Distinct words that a task counts before it hands them on, and words of one lattice block.
-TASK_WORDS, BLOCK = 500_000, 50_000
+#: Distinct words that a task counts before it hands them on, and their bytes.
+TASK_WORDS, TASK_BYTES = 500_000, 64 << 20
+#: Words, and their bytes, that are handed on or scored at a time; cells (words times characters) of one lattice.
+BLOCK, BLOCK_BYTES, CELLS = 50_000, 8 << 20, 1 << 20
 #: Weight of the vocabulary's prior, in pieces.
 PRIOR = 32_000.0
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -64,12 +66,12 @@ class Lattice:
             elif not (model.is_control(i) or model.is_unknown(i)):
                 kept[model.id_to_piece(i)] = log_probs[i]
         self.longest = max(map(len, kept))
-        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]), dtype=np.uint64)
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]), dtype=np.uint64)
         self.keys, self.values = [], []
         for n in range(1, self.longest + 1):
             pieces = [p for p in kept if len(p) == n]
             codes = np.array([[ord(c) for c in p] for p in pieces], np.uint64).reshape(len(pieces), n)
-            hashes = (codes * self.powers[:n][::-1]).sum(axis=1, dtype=np.uint64) if pieces else np.empty(0, np.uint64)
+            hashes = (codes * powers[:n][::-1]).sum(axis=1, dtype=np.uint64) if pieces else np.empty(0, np.uint64)
             order = np.argsort(hashes)
             self.keys.append(hashes[order])
             self.values.append(np.array([kept[p] for p in pieces])[order] if pieces else np.empty(0))
@@ -91,27 +93,36 @@ class Lattice:
         for i, w in enumerate(words):
             by_length.setdefault(len(w) + 1, []).append(i)
         for n, rows in by_length.items():
-            codes = np.array([[ord(START), *map(ord, words[i])] for i in rows], np.uint64)
-            out[rows] = self._forward(codes, n)
+            step = max(1, CELLS // n)
+            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                out[part] = self._forward(np.array([[ord(START), *map(ord, words[i])] for i in part], np.uint32), n)
         return out
 
-    def _forward(self, codes: np.ndarray, n: int) -> np.ndarray:
-        prefix = np.zeros((len(codes), n + 1), np.uint64)
-        for i in range(n):
-            prefix[:, i + 1] = prefix[:, i] * BASE + codes[:, i]
-        edges = []
-        for k in range(1, min(self.longest, n) + 1):
-            edges.append(self._piece(k, prefix[:, k:] - prefix[:, : n + 1 - k] * self.powers[k]))
+    def _edges(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Log probabilities of the pieces of 1, 2, ... characters that begin at each column."""
+        codes = codes.astype(np.uint64)
+        hashes, edges = np.zeros_like(codes), []
+        for k in range(1, min(self.longest, codes.shape[1]) + 1):
+            hashes = hashes[:, : codes.shape[1] - k + 1] * BASE + codes[:, k - 1 :]
+            edges.append(self._piece(k, hashes))
         lacking = np.isneginf(edges[0])
         if lacking.any():  # a character that is no piece is spelled in bytes
             unknown, at = np.unique(codes[lacking], return_inverse=True)
             edges[0][lacking] = np.array([self._fallback(int(c)) for c in unknown])[at]
+        return edges
+
+    def _forward(self, codes: np.ndarray, n: int) -> np.ndarray:
         alpha = np.full((len(codes), n + 1), -np.inf)
         alpha[:, 0] = 0.0
-        for end in range(1, n + 1):
-            terms = np.stack([alpha[:, end - k] + edges[k - 1][:, end - k] for k in range(1, min(self.longest, end) + 1)])
-            best = terms.max(axis=0)
-            alpha[:, end] = best + np.log(np.exp(terms - best).sum(axis=0))
+        # In windows of ends, so that the edges of a very long word are never held at once.
+        window = max(self.longest, CELLS // len(codes))
+        for begin in range(0, n, window):
+            low, high = max(0, begin - self.longest), min(n, begin + window)
+            edges = self._edges(codes[:, low:high])
+            for end in range(begin + 1, high + 1):
+                terms = np.stack([alpha[:, end - k] + edges[k - 1][:, end - k - low] for k in range(1, min(self.longest, end - low) + 1)])
+                best = terms.max(axis=0)
+                alpha[:, end] = best + np.log(np.exp(terms - best).sum(axis=0))
         return alpha[:, n]
 
 
@@ -121,6 +132,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         held: Counter = Counter()
+        size = 0  # bytes of the words held, at most
 
         def rows():
             words, counts = list(held), list(held.values())
@@ -129,14 +141,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             held.clear()
 
         for batch in batches:
+            size += batch.column(0).nbytes
+            if size > TASK_BYTES:
+                size = batch.column(0).nbytes + sum(map(len, held))
             for text, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if learn:
                     held.update(words_of(text))
                 else:
                     for w in words_of(text):
                         held.setdefault(w, 0)
-                if len(held) > TASK_WORDS:
+                if len(held) > TASK_WORDS or size > TASK_BYTES:
                     yield from rows()
+                    size = batch.column(0).nbytes
         yield from rows()
 
     counted = docs.select(F.col(text_col).alias("text"), "learn").mapInArrow(run, "word binary, n long")
@@ -186,13 +202,14 @@ def word_table(counts: DataFrame, log_probs: np.ndarray, path: str) -> DataFrame
             lp = lattice.log_probs([w.decode("utf-8", "replace") for w in words]) / np.log(10)
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([word_hash(w) for w in words], pa.int64()), pa.array(counts, pa.int64()), pa.array(lp)], ["word", "hash", "n", "lp"])
 
-        words, held = [], []
+        words, held, size = [], [], 0
         for batch in batches:
             words += batch.column(0).to_pylist()
             held += batch.column(1).to_pylist()
-            if len(words) >= BLOCK:
+            size += batch.column(0).nbytes
+            if len(words) >= BLOCK or size >= BLOCK_BYTES:
                 yield scored(words, held)
-                words, held = [], []
+                words, held, size = [], [], 0
         if words:
             yield scored(words, held)
 
@@ -218,10 +235,11 @@ def document_scores(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", t
     head = {w: i for i, w in enumerate(head_rows.column(0).to_pylist())}
     head_n, head_lp = (np.array(head_rows.column(i).to_pylist(), np.float64) for i in (1, 2))
     shared = docs.sparkSession.sparkContext.broadcast((head, head_n > 0, np.log10(head_n + 1), head_lp))
-    fields = "row long, doc_id long, learn boolean, rare boolean, hash long, m long, known long, logs double, score double"
+    # A document has one row for its frequent words (word null, its number for a hash) and one for each other word.
+    fields = "row long, doc_id long, learn boolean, word binary, hash long, m long, known long, logs double, score double"
 
-    names = ["row", "doc_id", "learn", "rare", "hash", "m", "known", "logs", "score"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = ["row", "doc_id", "learn", "word", "hash", "m", "known", "logs", "score"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def packed(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -229,29 +247,30 @@ def document_scores(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", t
     def run(batches):
         at, known, logs, lp = shared.value
         out: list[tuple] = []
+        size = 0
         for batch in batches:
             for row, doc_id, learn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held, times = [], []
                 for w, m in Counter(words_of(text)).items():
                     i = at.get(w)
                     if i is None:
-                        out.append((row, doc_id, learn, True, word_hash(w), m, 0, 0.0, 0.0))
+                        out.append((row, doc_id, learn, w, word_hash(w), m, 0, 0.0, 0.0))
+                        size += len(w)
                     else:
                         held.append(i)
                         times.append(m)
                 m = np.array(times, np.float64)
                 held = np.array(held, np.int64)
-                out.append((row, doc_id, learn, False, row, sum(times), int(m @ known[held]), float(m @ logs[held]), float(m @ lp[held])))
-                if len(out) >= BLOCK:
+                out.append((row, doc_id, learn, None, row, sum(times), int(m @ known[held]), float(m @ logs[held]), float(m @ lp[held])))
+                if len(out) >= BLOCK or size >= BLOCK_BYTES:
                     yield packed(out)
-                    out = []
+                    out, size = [], 0
         if out:
             yield packed(out)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), "learn", F.col(text_col).alias("text"))
     parts = rows.mapInArrow(run, fields)
-    table = words.select("hash", F.lit(True).alias("rare"), "n", "lp")
-    joined = parts.join(table, ["hash", "rare"], "left")
+    joined = parts.join(words.select("hash", "word", "n", "lp"), ["hash", "word"], "left")
     rare = F.col("n").isNotNull()
     return joined.groupBy("row", "doc_id", "learn").agg(
         F.sum("m").alias("tokens"),

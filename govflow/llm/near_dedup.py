@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checked_broadcast, checked_semi_join, materialize
+from .common import CACHED_CHARS, bounded_batches, checked_broadcast, checked_semi_join, fresh_name, materialize
 from .components import connected_components
 
 HASHES, BANDS, ROWS = 256, 32, 4
@@ -61,10 +61,15 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(_words) > CACHE_WORDS:
         _words.clear()
+    long = []
     for w in words:
         if w not in _words:
             _words[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
+            if len(w) > CACHED_CHARS:
+                long.append(w)
     hashes = np.fromiter(map(_words.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    for w in long:
+        del _words[w]
     width = min(k, len(words))
     total = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
@@ -325,5 +330,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    name = fresh_name("keep")
+    stay = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")

@@ -5,7 +5,8 @@ ones are packed. Shards of a bounded number of pieces evolve on islands: each is
 Crossover injects well-filled bins of one parent into the other, removes the bins that hold a piece twice and puts
 the displaced pieces back by best fit. Between epochs each island's best packing moves to the next island of its ring
 (a shuffle by shard and island). The fullest bins of a shard's best packing are final; the pieces of its other bins go
-on to a next round of fewer shards, until one shard has taken them all.
+on to a next round of fewer shards, until one shard has taken them all. Where a round finishes little, less filled bins
+count as final too, so that the worst of all shards are packed together.
 """
 
 from __future__ import annotations
@@ -22,14 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, slices
+from .common import CACHED_CHARS, bounded_batches, materialize, slices
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END = 2048, 0
 #: Pieces of a shard, islands of its ring, packings of an island, epochs between migrations, offspring of an epoch.
-SHARD, ISLANDS, POPULATION, EPOCHS, OFFSPRING = 3000, 2, 4, 2, 4
-#: A bin is final when it is filled to this share; later rounds try to fill the others better.
-WELL_FILLED = 0.995
+SHARD, ISLANDS, POPULATION, EPOCHS, OFFSPRING = 3000, 2, 4, 2, 12
+#: Crossover opens the bins that are less filled than one of these shares, and best-fits displaced pieces by decreasing
+#: size, which it shuffles by up to one of these factors.
+OPENED, SHUFFLED = (0.9, 0.99, 1.0), (0.02, 1.0)
+#: A bin is final when it is filled to this share; later rounds try to fill the others better. The next share holds
+#: from where a round has finished less than a tenth of its pieces.
+WELL_FILLED = (0.995, 0.97, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5, 0.3, 0.0)
+#: Rounds that a sequence's number has room for. A round leaves at most nine tenths of the pieces or takes the next share.
+ROUNDS = 512
 #: Words of which a Python worker keeps the ids.
 CACHE_WORDS = 400_000
 
@@ -51,20 +58,28 @@ class WordTokenizer:
 
     The tokenizer drops white space, and no token runs across it or from a letter to another character. So a text's
     words, or for simple texts its runs of letters and of other characters, are encoded apart. Runs of letters need no
-    normalisation and go to the tokenizer's model directly.
+    normalisation and go to the tokenizer's model directly. The strings of its special tokens are these tokens, as in
+    the library's plain call; they cut a text before anything else.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.tokenizer.encode_special_tokens = True  # what is left between them has none
         self.model = self.tokenizer.model
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = dict(self.special)
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        return WORDS.findall(text) if OTHER_THAN_SIMPLE.search(text) else RUNS.findall(text.lower())
+    def split(self, text: str) -> list[str]:
+        out = []
+        for part in self.parts.split(text):
+            if part in self.special:
+                out.append(part)
+            else:
+                out += WORDS.findall(part) if OTHER_THAN_SIMPLE.search(part) else RUNS.findall(part.lower())
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -74,7 +89,7 @@ class WordTokenizer:
         split = [self.split(t) for t in texts]
         used = {w for words in split for w in words}
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {w: ids for w, ids in self.cache.items() if w in used}
+            self.cache = {w: ids for w, ids in self.cache.items() if w in used} | self.special
         new = used - self.cache.keys()
         letters = re.compile(f"[{LETTERS}]+").fullmatch
         tokenize, cache = self.model.tokenize, self.cache
@@ -87,7 +102,11 @@ class WordTokenizer:
                 others.append(w)
         for w, coded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             cache[w] = np.array(coded.ids, "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del cache[w]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -165,11 +184,13 @@ def crossover(one: list[list[int]], two: list[list[int]], sizes: list[int], capa
     stays = [b for b in one if taken.isdisjoint(b)]
     placed = taken.union(*stays)
     bins = [list(b) for b in (*chosen, *stays)]
-    # The least filled bins are opened up as well, so that best fit has pieces to choose from.
+    # Less filled bins are opened up as well, so that best fit has pieces to choose from.
+    least = capacity * rng.choice(OPENED)
     bins.sort(key=lambda b: -sum(sizes[i] for i in b))
-    while len(bins) > 1 and sum(sizes[i] for i in bins[-1]) < capacity * 0.9:
+    while len(bins) > 1 and sum(sizes[i] for i in bins[-1]) < least:
         placed.difference_update(bins.pop())
-    displaced = sorted((i for i in range(len(sizes)) if i not in placed), key=lambda i: -sizes[i])
+    jitter = rng.choice(SHUFFLED) * rng.random()
+    displaced = sorted((i for i in range(len(sizes)) if i not in placed), key=lambda i: -sizes[i] * (1 + jitter * rng.random()))
     best_fit(displaced, sizes, capacity, bins, [capacity - sum(sizes[i] for i in b) for b in bins])
     return bins
 
@@ -247,11 +268,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     items = materialize(items.select(columns), "packing-items")
     full = items.where(F.col("length") >= capacity).select(*columns, (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    parts, rest, round_no = [full], items.where(F.col("length") < capacity), 0
+    parts, rest, round_no, level = [full], items.where(F.col("length") < capacity), 0, 0
     left = rest.count()
     while left:
+        if round_no == ROUNDS:
+            raise RuntimeError(f"packing took more than {ROUNDS} rounds")
         shards = -(-left // SHARD)
-        last = shards == 1
         # Dealt by a hash of the rows, so each shard has a like mix of sizes.
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_no), *columns, F.monotonically_increasing_id()), F.lit(shards)))
         grouped = dealt.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(columns))).alias("items"))
@@ -260,30 +282,29 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         packed = grouped.select("shard", "items").join(best, "shard").select("shard", F.explode(F.arrays_zip("items", "labels")).alias("x")).select("shard", F.col("x.labels").alias("bin"), "x.items.*")
         bins = packed.groupBy("shard", "bin").agg(F.collect_list(F.struct(columns)).alias("held"), F.sum("length").alias("filled"))
         bins = materialize(bins, "packing-bins")
-        final = bins if last else bins.where(F.col("filled") >= WELL_FILLED * capacity)
-        # Odd numbers: the round in the low bits, above it the bin and the shard.
-        number = ((F.col("shard") * (SHARD * 64) + F.col("bin")) * 64 + round_no) * 2 + 1
-        starts = F.transform("held", lambda x, i: F.struct(x.alias("x"), F.aggregate(F.slice("held", F.lit(1), i), F.lit(0).cast("long"), lambda s, y: s + y["length"]).alias("offset")))
-        placed = final.select(number.alias("sequence_id"), F.explode(starts).alias("p"))
-        parts.append(placed.select(*[F.col(f"p.x.{c}").alias(c) for c in columns], "sequence_id", F.col("p.offset").alias("offset")))
-        if last:
-            break
-        rest = bins.where(F.col("filled") < WELL_FILLED * capacity).select(F.explode("held").alias("x")).select("x.*")
-        before, left, round_no = left, rest.count(), round_no + 1
-        if left > 0.9 * before:  # little was final: later rounds would not fill better
-            parts.append(_unfinished(bins, capacity, columns, round_no))
-            break
+        if shards == 1:
+            level = len(WELL_FILLED) - 1
+        before = left
+        # Pieces that each share would leave open, the first (highest) share first.
+        open_pieces = bins.agg(*[F.coalesce(F.sum(F.when(F.col("filled") < share * capacity, F.size("held"))), F.lit(0)) for share in WELL_FILLED]).first()
+        while level + 1 < len(WELL_FILLED) and open_pieces[level] > 0.9 * before:
+            level += 1
+        left, enough = open_pieces[level], F.col("filled") >= WELL_FILLED[level] * capacity
+        parts.append(_sequences(bins.where(enough), columns, round_no))
+        rest = bins.where(~enough).select(F.explode("held").alias("x")).select("x.*")
+        round_no += 1
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _unfinished(bins: DataFrame, capacity: int, columns: list[str], round_no: int) -> DataFrame:
-    """The bins that are not well filled, as they are."""
-    number = ((F.col("shard") * (SHARD * 64) + F.col("bin")) * 64 + round_no) * 2 + 1
+def _sequences(bins: DataFrame, columns: list[str], round_no: int) -> DataFrame:
+    """The pieces of final bins with their sequence and place. Numbers are odd: the round in the low bits, above it the
+    bin and the shard."""
+    number = ((F.col("shard") * (SHARD * 64) + F.col("bin")) * ROUNDS + round_no) * 2 + 1
     starts = F.transform("held", lambda x, i: F.struct(x.alias("x"), F.aggregate(F.slice("held", F.lit(1), i), F.lit(0).cast("long"), lambda s, y: s + y["length"]).alias("offset")))
-    placed = bins.where(F.col("filled") < WELL_FILLED * capacity).select(number.alias("sequence_id"), F.explode(starts).alias("p"))
+    placed = bins.select(number.alias("sequence_id"), F.explode(starts).alias("p"))
     return placed.select(*[F.col(f"p.x.{c}").alias(c) for c in columns], "sequence_id", F.col("p.offset").alias("offset"))
 
 

@@ -23,8 +23,9 @@ from .common import bounded_batches, shared_dir
 #: end every record with it.
 END_CHAR = "Đ"
 END_ID = int.from_bytes(END_CHAR.encode(), "big")
-#: Tokens of a block; documents that a shard gets at most.
-BLOCK, SHARD_DOCUMENTS = 1 << 18, 4000
+#: Tokens of a block. Bytes of a run of documents that is written at a time, and runs of a file: a file has up to 32 MB
+#: and a document's tokens.
+BLOCK, RUN_BYTES, FILE_RUNS = 1 << 18, 4 << 20, 8
 #: A document of ours begins with its id in as many tokens of 15 bits; a null id has the highest bit pattern.
 ID_TOKENS, ID_BITS = 5, 15
 NULL_ID = (1 << (ID_TOKENS * ID_BITS)) - 1
@@ -38,7 +39,8 @@ def _id_tokens(doc_id: int | None) -> bytes:
 def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
     """Tokenise whole texts and write them as flat files, each a stream of its own; returns their folder.
 
-    A document is its id, its tokens and the end id. A null text counts as empty.
+    A document is its id, its tokens and the end id. A null text counts as empty. Files are cut by bytes between
+    documents, so that a file takes little memory to read, however long its documents are.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -46,14 +48,26 @@ def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def encode(batches):
+        held, size = [], 0
+
+        def packed():
+            # The end id of the last document comes from the writer.
+            return pa.RecordBatch.from_arrays([pa.array([END_CHAR.encode().join(held)], pa.binary())], ["value"])
+
         for batch in batches:
             ids = packing.load(vocabulary).encode_batch(batch.column(1).to_pylist())
-            out = [_id_tokens(i) + np.frombuffer(x, "<u4").astype(">u2").tobytes() for i, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for i, x in zip(batch.column(0).to_pylist(), ids, strict=True):
+                held.append(_id_tokens(i) + np.frombuffer(x, "<u4").astype(">u2").tobytes())
+                size += len(held[-1])
+                if size >= RUN_BYTES:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
 
     path = path or f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
     flat = rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string"))
-    flat.write.option("lineSep", END_CHAR).option("maxRecordsPerFile", SHARD_DOCUMENTS).text(path)
+    flat.write.option("lineSep", END_CHAR).option("maxRecordsPerFile", FILE_RUNS).text(path)
     return path
 
 
@@ -86,8 +100,7 @@ def scan_blocks(files: DataFrame, end_id: int = END_ID, head: int = ID_TOKENS, b
                 types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["stream", "shard", "block", "tokens", "ends", "heads", "first"])
 
-    # One file at a time: a batch of whole files would not have a bound.
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    bounded_batches(files.sparkSession)
     return files.select("stream", "shard", "content").mapInArrow(run, fields)
 
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import unicodedata
 
+import pytest
+
 from govflow.llm import fingerprint
 
 
@@ -59,3 +61,24 @@ def test_shuffled_way_and_clashes(spark, monkeypatch):
     forms = {canon(t or "") for _, t in rows}
     assert len({r.fingerprint for r in got}) == len(forms)
     assert sorted((r.doc_id, r.n_chars, r.near_edited, r.near_next) for r in got if r.doc_id is not None) == sorted((r[0], r[1], r[5], r[6]) for r in usual if r[0] is not None)
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 5 if i % 3 else i, lambda i: None if i % 2 else 10**12])
+def test_ids_that_fill_several_ranges_are_split_by_digest(spark, ids):
+    rows = [(ids(i), f"text number {i} of them") for i in range(300)]
+    got = fingerprint.edit_study(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    digests = {r.t: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame([(i, t, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string, t string")).join(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, t string"), "doc_id").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, digests[r[1]]))
+    want = []
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        q = len(t) // 4
+        want.append((i, digests[t], hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.fingerprint, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_range_numbers_keep_the_order(spark):
+    rng = random.Random(3)
+    bounds = sorted({rng.randrange(-500, 500) for _ in range(130)})
+    rows = [(k, "") for k in range(-510, 510)]
+    got = spark.createDataFrame(rows, "k long, sub_key string").select("k", fingerprint._range_number(bounds, {}).alias("r")).collect()
+    assert all(r.r >> 32 == sum(b < r.k for b in bounds) for r in got)

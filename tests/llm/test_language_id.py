@@ -62,12 +62,30 @@ def test_nothing_learned_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {(r.doc_id, r.lang_pred) for r in language_id.identify(docs).collect()} == {(1, "und"), (2, "und")}
     assert language_id.identify(docs.limit(0)).collect() == []
-    assert language_id.with_letters(spark.createDataFrame([(i, "12" if i % 2 else "ab c", "aa") for i in range(8)], docs.schema)).count() == 4
+    assert language_id.with_language(spark.createDataFrame([(i, "12" if i % 2 else "ab c", "aa") for i in range(8)], docs.schema)).count() == 4
 
 
-def test_unlabelled_tables_keep_texts_with_letters(spark):
+def test_unlabelled_tables_keep_texts_with_language(spark):
     rows = [(i, f"some text {i}", None) for i in range(30)] + [(30, "12 34", None), (31, None, None), (32, "", None), (33, "漢字", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert {r.doc_id for r in language_id.with_letters(docs).collect()} == {*range(30), 33}
+    assert {r.doc_id for r in language_id.with_language(docs).collect()} == {*range(30), 33}
     held = docs.where(language_id.held_out()).withColumn("lang", F.lit("en"))
-    assert language_id.with_letters(held).count() == held.where("text rlike '[a-z漢]'").count()
+    assert language_id.with_language(held).count() == held.where("text rlike '[a-z漢]'").count()
+
+
+def test_null_languages_are_filled_and_given_ones_stay(spark):
+    rows = [(i, "der hund und die katze" if i % 2 else "the dog and the cat", "de" if i % 2 else "en") for i in range(40)]
+    rows += [(50, "die katze und der hund", None), (51, "the cat and the dog", None), (52, "the dog", "de"), (53, "12 34", "en"), (54, None, "de"), (55, "", None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.lang for r in language_id.with_language(docs).collect()}
+    assert kept == {**{i: lang for i, _, lang in rows[:40]}, 50: "de", 51: "en", 52: "de"}
+    assert language_id.with_language(docs).columns == docs.columns
+
+
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcÄΣ") for _ in range(rng.randrange(1, 9))) for _ in range(500)) + "y" * 100
+    whole = language_id.gram_counts(text)
+    monkeypatch.setattr(language_id, "SLICE", 37)
+    keys, counts = language_id.gram_counts(text)
+    assert (keys == whole[0]).all() and (counts == whole[1]).all()

@@ -80,3 +80,22 @@ def test_nothing_learned_and_empty_table(spark):
     row = lm_score.lm_scores(docs).collect()[0]
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
     assert lm_score.lm_scores(docs.limit(0)).collect() == []
+
+
+def test_words_that_share_a_hash_stay_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} same same") for i in range(40)], "doc_id long, text string").repartition(3)
+    plain = sorted(map(tuple, lm_score.lm_scores(docs).collect()))
+    monkeypatch.setattr(lm_score, "HEAD", 0)
+    monkeypatch.setattr(lm_score, "word_hash", lambda word: 7)
+    for a, b in zip(sorted(map(tuple, lm_score.lm_scores(docs).collect())), plain, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_long_words_go_through_the_lattice_in_windows(monkeypatch):
+    rng = random.Random(8)
+    model = lm_score.processor(PATH)
+    lattice = lm_score.Lattice(PATH, np.array([-5.0 - (i % 11) for i in range(model.get_piece_size())]))
+    words = ["".join(rng.choice("abcdeéß中") for _ in range(n)) for n in (1, 2, 5, 40, 40, 300, 1000)]
+    whole = lattice.log_probs(words)
+    monkeypatch.setattr(lm_score, "CELLS", 64)
+    assert lattice.log_probs(words) == pytest.approx(whole, rel=1e-12)

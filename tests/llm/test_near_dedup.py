@@ -64,12 +64,28 @@ def test_against_all_pairs(spark, monkeypatch, k, percent, nearest):
 
 
 def test_keep_one_and_empty_table(spark):
-    docs = spark.createDataFrame([(3, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, "a b c d e f", "z"), (1, None, "n")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(3, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (None, "a b c d e f", "z", 3), (1, None, "n", 4)], "doc_id long, text string, lang string, _keep int")
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns and {(r.doc_id, r.lang) for r in kept.collect()} == {(2, "y"), (None, "z"), (1, "n")}
     assert near_dedup.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_large_group_of_edited_copies_and_clashing_ids(spark):
+    rng = random.Random(31)
+    base = ["b%d" % i for i in range(100)]
+    rows = []
+    for i in range(220):
+        text = list(base) if i else base[:1] + base[1:]
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            text[rng.randrange(100)] = rng.choice(["z%d" % rng.randrange(40), ""])
+        rows.append((1000 + i, " ".join(text)))
+    # Two texts of one id, each near to another text.
+    rows += [(7, " ".join(base[:60])), (7, " ".join(f"q{i}" for i in range(50))), (8, " ".join(f"q{i}" for i in range(51))), (9, " ".join(base[:61]))]
+    for k, percent in ((3, 85), (5, 80)):
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k, percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, k, percent)
+
+
 def test_components_on_random_graphs(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (None, 3)]

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from govflow.llm import packing
@@ -17,7 +18,6 @@ def test_packs_real_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, piece int").repartition(5)
     got = packing.pack_documents(docs).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
@@ -41,13 +41,13 @@ def test_packs_real_documents(spark, monkeypatch):
 
 def test_words_encode_as_whole_texts():
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     model = packing.load(public_tokenizers.path(packing.TOKENIZER))
     rng = random.Random(12)
     simple = "aAbzZ09 .,'\n\t\r-!sStT" + "éÉßÄöŒœŸÿřſŉıĿ" + "\x0b\x1c_|<>"
     wide = simple + "\u0130\u03a3\u03c2e\u0301\u00d7\u00f7\u2014\u201c\u4e2d\u0660\u00b2\u2167\ufb01\u00a0\u2028\U0001f600"
     texts = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 60))) for a in (simple, wide) for _ in range(1500)]
     texts += ["don't", "'s 't 're'll", "x..'s", "a'b'c", "'", "it''s", "O'Neil's", "ΑΣ ΑΣ", "<|endoftext|>"]
+    texts += ["a <|endoftext|> b", "a<|endoftext|>b", "'<|ENDOFTEXT|>", "<|endoftext|><|startoftext|>x", "É<|startoftext|>\u0301", "<|endoftext|", "<|<|endoftext|>|>", "x" * 300 + " <|endoftext|>"]
     for text, ids in zip(texts, model.encode_batch(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
@@ -73,3 +73,34 @@ def test_evolution_beats_a_poor_start():
     poor = [[i] for i in range(60)]
     best = packing.evolve(sizes, [poor, packing.fresh(sizes, 100, rng, 0.0)], 100, rng)[0]
     assert len(best) == 30
+
+
+def test_evolution_beats_best_fit():
+    rng = random.Random(5)
+    saved = 0
+    for _ in range(10):
+        sizes = [rng.randrange(400, 1000) for _ in range(200)]
+        plain = packing.fresh(sizes, 2048, rng, 0.0)
+        population = [plain, *(packing.fresh(sizes, 2048, rng, 0.05) for _ in range(3))]
+        for _ in range(5):
+            population = packing.evolve(sizes, population, 2048, rng)
+        assert len(population[0]) <= len(plain)
+        saved += len(plain) - len(population[0])
+    assert saved >= 10
+
+
+@pytest.mark.parametrize("lengths", [[600], [1100], [2000, 2047], [1, 2047, 1024, 30]])
+def test_rounds_that_finish_little(spark, monkeypatch, lengths):
+    monkeypatch.setattr(packing, "SHARD", 20)
+    rows = [(i, 0, 0, lengths[i % len(lengths)], i) for i in range(140)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(140))
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in held.values():
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0 and sum(spans[-1]) <= 2048
+    plain: list = []
+    packing.best_fit(list(range(140)), sorted((r[3] for r in rows), reverse=True), 2048, plain, [])
+    assert len(held) <= len(plain) + 1

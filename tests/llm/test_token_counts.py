@@ -38,7 +38,9 @@ def test_blocks_and_shards_are_stitched(spark, block):
         assert len(r.head) == 2 or r.n_tokens < 2 or len(streams[r.stream]) > 1 or len(r.head) == len(ids[r.start :])
 
 
-def test_written_documents_come_back(spark, tmp_path):
+@pytest.mark.parametrize("run_bytes", [1, 500, 1 << 22])
+def test_written_documents_come_back(spark, tmp_path, monkeypatch, run_bytes):
+    monkeypatch.setattr(token_counts, "RUN_BYTES", run_bytes)
     rows = [(i, ["some words", "", None, "x " * 3000, "Đ é 中文", "END"][i % 6]) for i in range(60)]
     rows += [(None, "null id"), (-5, "negative"), (2**63 - 1, "largest"), (-(2**63), "smallest"), (7, "again"), (7, "again")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, value int").repartition(3)
