@@ -9,8 +9,8 @@ from govflow.llm.common import materialize
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, or null, have no language and go."""
-    return language_id.with_letters(docs)
+    """Documents whose language can't be told (null, or without a letter) go; a null lang becomes the predicted one."""
+    return language_id.with_language(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
