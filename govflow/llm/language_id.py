@@ -194,6 +194,3 @@ def with_language(docs: DataFrame) -> DataFrame:
     told = docs.withColumn(name, language.asNondeterministic()(F.col("text"))).where(F.col(name).isNotNull())
     known = F.coalesce(F.col("lang"), F.nullif(F.col(name), F.lit(UNKNOWN))).cast(docs.schema["lang"].dataType)
     return told.select(*[known.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
-
-
-with_letters = with_language
