@@ -52,7 +52,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Characters of texts that a task splits into words at a time.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 2_000_000
 
 
 def slices(texts: list[str]) -> Iterator[list[str]]:

@@ -40,7 +40,7 @@ BROADCAST_FREQUENT = 500_000
 #: Shingles of the sets that a task of the confirmation keeps, 8 bytes each, and differences that it hands on at a time.
 HELD_SHINGLES, PART = 4_000_000, 500_000
 #: Word hashes that a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SEEDS = np.random.default_rng(20240607).integers(0, 2**63, (2, HASHES), dtype=np.uint64)
 FACTORS, SHIFTS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]

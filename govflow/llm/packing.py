@@ -38,7 +38,7 @@ WELL_FILLED = (0.995, 0.97, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5, 0.3, 0.0)
 #: Rounds that a sequence's number has room for. A round leaves at most nine tenths of the pieces or takes the next share.
 ROUNDS = 512
 #: Words of which a Python worker keeps the ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 #: Letters of simple texts: besides ASCII a text may hold letters of Latin-1 and Latin Extended-A, which are composed
