@@ -132,7 +132,7 @@ def answer_rates(answers: DataFrame) -> DataFrame:
     """kind, n, number_rate, cited_rate of judged answers (kind, expected, answer, cited): the expected number stands in
     the answer, commas, spaces and units aside, not inside another number; null rates without rows."""
     plain = F.regexp_replace(F.col("answer"), r"[,，\s]", "")
-    hit = F.regexp_instr(plain, F.concat(F.lit(r"(?<![0-9.])"), F.regexp_replace(F.col("expected"), r"\.", r"\\."), F.lit(r"(?![0-9]|\.[0-9])"))) > 0
+    hit = F.regexp_instr(plain, F.concat(F.lit(r"(?<![0-9.])"), F.regexp_replace(F.col("expected"), r"([\\\[\](){}.*+?^$|])", r"\\$1"), F.lit(r"(?![0-9]|\.[0-9])"))) > 0
     rows = answers.withColumn("_hit", F.coalesce(hit, F.lit(False)))
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.try_divide(F.count_if("_hit"), F.count(F.lit(1))), 4).alias("number_rate"), F.round(F.try_divide(F.count_if(F.col("cited") > 0), F.count(F.lit(1))), 4).alias("cited_rate"))
 

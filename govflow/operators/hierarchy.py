@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 #: Ancestors that readers follow at most.
 MAX_DEPTH = 8
 
@@ -48,8 +50,7 @@ def on_cycle(projects: DataFrame) -> DataFrame:
     Pointer doubling: every round doubles the hops and keeps the ids that something reaches, until all ids are reached.
     The hops then permute the ids, so each is on a cycle.
     """
-    store = projects.sparkSession.sparkContext.getCheckpointDir()
-    kept = lambda rows: rows.checkpoint() if store else rows.localCheckpoint()
+    kept = lambda rows: durable(rows, "hops")
     pairs = kept(projects.where("parent_id is not null").select("id", F.col("parent_id").alias("at")).distinct())
     if pairs.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("an id has several parents")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from govflow.functions import text as T
 
+from .durable import durable
+
 #: Queries of a block, pairs of a batch, and runs of characters (of so many at most) whose terms a task remembers.
 BLOCK, PAIRS, REMEMBERED, BRIEF_RUN = 1000, 500_000, 200_000, 50
 WHOLE_QUERY, MOST_COUNTED, PER_COUNT = 12.0, 5, 0.25
@@ -200,10 +202,10 @@ def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``top_k`` of ``vector_scores``; each task keeps the k best of a query, and a block is done before the next."""
-    kind, context, out = dict(queries.dtypes)["query_id"], vectors.sparkSession.sparkContext, []
+    kind, out = dict(queries.dtypes)["query_id"], []
     for block in _blocks(queries.select("query_id", "vector")):
         best = top_k(_vector_block(vectors, block, kind, k), "vec_score", k)
-        out.append(best.checkpoint() if context.getCheckpointDir() else best.localCheckpoint())
+        out.append(durable(best, "vector-top"))
     return reduce(DataFrame.union, out) if out else top_k(vector_scores(vectors, queries), "vec_score", k)
 
 
@@ -212,9 +214,26 @@ def top_k(scores: DataFrame, score: str, k: int) -> DataFrame:
     return _best(scores, score, k)
 
 
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 5, low: bool = False) -> DataFrame:
+    """``fused`` of texts (chunk_key, text) and vectors (chunk_key, vector), for queries (query_id, text) and
+    (query_id, vector). Keyword scores are written once; the cosine is taken of the nearest and of candidates only."""
+    recall = _recall(k, low)
+    kw = durable(keyword_scores(chunks, queries), "keyword-scores")
+    first = vector_top_k(vectors, query_vectors, recall).select("query_id", "chunk_key", F.col("rank").alias("position"))
+    second = _best(kw, "kw_score", max(1, recall // 2)).select("query_id", "chunk_key", (F.col("rank") + recall).alias("position"))
+    both = durable(first.union(second).groupBy("query_id", "chunk_key").agg(F.min("position").cast("long").alias("position")), "candidates")
+    asked = query_vectors.select("query_id", F.col("vector").alias("asked"))
+    rows = both.join(kw, ["query_id", "chunk_key"], "left").join(vectors.select("chunk_key", "vector"), "chunk_key", "left").join(asked, "query_id", "left")
+    return rows.select("query_id", "chunk_key", "position", F.round(cosine(F.col("vector"), F.col("asked")), 12).alias("vec_score"), F.coalesce("kw_score", F.lit(0.0)).alias("kw_score"))
+
+
+def _recall(k: int, low: bool) -> int:
+    return max(min(max(k, 1), MOST_K), RECALL_LOW if low else RECALL)
+
+
 def fused(vec: DataFrame, kw: DataFrame, k: int = 5, low: bool = False) -> DataFrame:
     """query_id, chunk_key, position, vec_score, kw_score: candidates of both kinds, vectors first, each once."""
-    recall = max(min(max(k, 1), MOST_K), RECALL_LOW if low else RECALL)
+    recall = _recall(k, low)
     first = _best(vec, "vec_score", recall).select("query_id", "chunk_key", "vec_score", F.lit(None).cast("double").alias("kw_score"), F.col("rank").alias("position"))
     second = _best(kw, "kw_score", max(1, recall // 2)).select("query_id", "chunk_key", F.lit(None).cast("double").alias("vec_score"), "kw_score", (F.col("rank") + recall).alias("position"))
     both = first.union(second).groupBy("query_id", "chunk_key").agg(F.min("position").alias("position"), F.max("vec_score").alias("vec_score"))
@@ -260,12 +279,16 @@ def judged(cases: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def overall(cases: DataFrame) -> DataFrame:
-    """One row: labelled cases, mean recall, MRR and hit rate over them; null where there are none."""
+    """One row: labelled cases, mean recall, MRR and hit rate over them; null where there are none.
+
+    Recalls and reciprocal ranks have four digits and are added up as decimals, so a mean on a tie rounds up.
+    """
+    mean = lambda c: T.rounded(F.avg(F.col(c).cast("decimal(12,4)")).cast("decimal(20,8)"), 4)
     labelled = cases.where("status <> 'SKIPPED_UNLABELED'")
     return labelled.agg(
         F.count(F.lit(1)).alias("cases"),
-        T.rounded(F.avg("recall"), 4).alias("recall"),
-        T.rounded(F.avg("rr"), 4).alias("mrr"),
+        mean("recall").alias("recall"),
+        mean("rr").alias("mrr"),
         T.rounded(F.try_divide(F.count_if(F.col("status") == "PASS"), F.count(F.lit(1))), 4).alias("hit_rate"),
     )
 

@@ -110,15 +110,8 @@ def reconciled_tasks(p):
     return documents.reconciled(pending, remote)
 
 
-@query("", "SELECT doc_id, ((doc_id % 4) * greatest(1, ceil(ceil(length(text) / (doc_id % 4)) / 500)))::BIGINT AS chunks FROM documents WHERE doc_id % 4 > 0")
+@query("", "SELECT doc_id, (CASE WHEN doc_id % 4 > 0 THEN (doc_id % 4) * greatest(1, ceil(ceil(length(text) / (doc_id % 4)) / 500)) ELSE ceil(greatest(length(text), 0) / 500) END)::BIGINT AS chunks FROM documents")
 def estimated_chunks(p):
-    pages = F.col("doc_id") % 4
-    return p.table("documents").where(pages > 0).select("doc_id", documents.estimated_chunks(pages, F.char_length("text")).alias("chunks"))
-
-
-@query()
-def estimated_chunks_all(p):
-    """All documents, those of no pages too."""
     return p.table("documents").select("doc_id", documents.estimated_chunks(F.col("doc_id") % 4, F.char_length("text")).alias("chunks"))
 
 
@@ -128,10 +121,15 @@ def next_code(p):
     return documents.next_codes(p.all_projects.withColumn("code", F.regexp_replace("code", r"-(\d+)$", "-x$1")), "P", 1995)
 
 
-@query("", "SELECT role AS kind, count(*) AS n, round(count(*) FILTER (turn % 2 = 0) / count(*), 4) AS number_rate, round(count(*) FILTER (turn % 3 > 0) / count(*), 4) AS cited_rate FROM conversations GROUP BY 1")
+@query(
+    "",
+    r"""SELECT kind, count(*) AS n, round(count(*) FILTER (regexp_matches(plain, '(^|[^0-9.])' || replace(expected, '.', '\.') || '($|[^0-9.]|\.($|[^0-9]))')) / count(*), 4) AS number_rate, round(count(*) FILTER (cited > 0) / count(*), 4) AS cited_rate
+    FROM (SELECT role AS kind, turn % 3 AS cited, (conv_id + 1000)::VARCHAR || '.5' AS expected, regexp_replace(concat_ws('; ', text, CASE WHEN turn % 2 = 0 THEN (conv_id + 1000)::VARCHAR || '.5' END), '[,，\s]', '', 'g') AS plain FROM conversations) GROUP BY 1""",
+)
 def answer_rates(p):
+    """Over whole turns, with a number in every second one behind its text."""
     number = F.concat((F.col("conv_id") + 1000).cast("string"), F.lit(".5"))
-    answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("about 1"), F.lit(","), F.lpad((F.col("conv_id") % 1000).cast("string"), 3, "0"), F.lit(".5 units"))).otherwise(F.concat(F.lit("2"), number))
+    answer = F.concat_ws("; ", "text", F.when(F.col("turn") % 2 == 0, number))
     return documents.answer_rates(p.table("conversations").select(F.col("role").alias("kind"), number.alias("expected"), answer.alias("answer"), (F.col("turn") % 3).alias("cited")))
 
 
@@ -145,25 +143,14 @@ def read_page(p):
     return documents.read_page(chunking.pages_of(p.table("documents")), "11", 1, 300)
 
 
-@query("", "SELECT DISTINCT id FROM walk WHERE id = anc", "RECURSIVE edge AS (SELECT c_custkey AS id, (c_custkey * c_custkey + 3) % 60 AS parent_id FROM customer WHERE c_custkey < 60), walk AS (SELECT id, parent_id AS anc, 1 AS hops FROM edge UNION SELECT w.id, e.parent_id, hops + 1 FROM walk w JOIN edge e ON e.id = w.anc WHERE hops < 20)")
+@query(
+    "",
+    "SELECT id FROM walk WHERE id = anc",
+    "RECURSIVE edge AS (SELECT c_custkey AS id, (c_custkey * c_custkey + 3) % (SELECT max(c_custkey) + 1 FROM customer) AS parent_id FROM customer), walk AS (SELECT id, parent_id AS anc FROM edge UNION SELECT w.id, e.parent_id FROM walk w JOIN edge e ON e.id = w.anc)",
+)
 def cyclic_projects(p):
-    """Projects that reach themselves, in a made-up hierarchy with cycles."""
-    k = F.col("c_custkey")
-    return hierarchy.on_cycle(p.table("customer").where(k < 60).select(k.alias("id"), ((k * k + 3) % 60).alias("parent_id")))
-
-
-@query()
-def cyclic_projects_all(p):
-    """The same over all customers."""
+    """Projects that reach themselves, in a made-up hierarchy of all customers with cycles."""
     k = F.col("c_custkey")
     rows = p.table("customer")
     n = rows.agg((F.max(k) + 1).alias("n"))
     return hierarchy.on_cycle(rows.join(F.broadcast(n), how="cross").select(k.alias("id"), ((k * k + 3) % F.col("n")).alias("parent_id")))
-
-
-@query()
-def answer_rates_all(p):
-    """Over whole turns, with a number in every second one behind its text."""
-    number = F.concat((F.col("conv_id") + 1000).cast("string"), F.lit(".5"))
-    answer = F.concat_ws("; ", "text", F.when(F.col("turn") % 2 == 0, number))
-    return documents.answer_rates(p.table("conversations").select(F.col("role").alias("kind"), number.alias("expected"), answer.alias("answer"), (F.col("turn") % 3).alias("cited")))

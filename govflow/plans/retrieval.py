@@ -21,8 +21,8 @@ def query(sql: str = ""):
 
 
 def asked(t):
-    """The stated query set: the first 60 characters of the first benchmark items."""
-    return t("benchmark").where("item_id < 6").select(F.col("item_id").cast("long").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    """The stated query set: every item whose id is divisible by 20, with its whole text."""
+    return t("benchmark").where("item_id % 20 = 0").select(F.col("item_id").cast("long").alias("query_id"), "text")
 
 
 def texts(t):
@@ -31,7 +31,7 @@ def texts(t):
 
 
 KEYWORD = r"""
-    asked AS (SELECT item_id::BIGINT AS query_id, lower(regexp_replace(substring(text, 1, 60), '^\s+|\s+$', '', 'g')) AS raw FROM benchmark WHERE item_id < 6),
+    asked AS (SELECT item_id::BIGINT AS query_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS raw FROM benchmark WHERE item_id % 20 = 0),
     terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(raw, '[a-z0-9][a-z0-9\-.]*')) AS term FROM asked),
     docs AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
     counts AS (SELECT doc_id, term, (length(low) - length(replace(low, term, ''))) // length(term) AS n FROM docs, (SELECT DISTINCT term FROM terms)),
@@ -47,7 +47,7 @@ def keyword_scores(t):
 
 
 VECTOR = """
-    vec AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_key, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS vec_score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q),
+    vec AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_key, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS vec_score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q),
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_score DESC, chunk_key) AS rank FROM vec) WHERE rank <= 10)"""
 
 
@@ -56,18 +56,18 @@ def vectors(t):
 
 
 def vector_queries(t):
-    return t("embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query(f"WITH {VECTOR} SELECT query_id, chunk_key, rank, round(vec_score, 4) AS vec_score FROM top")
 def vector_topk(t):
-    best = retrieval.top_k(retrieval.vector_scores(vectors(t), vector_queries(t)), "vec_score", 10)
+    best = retrieval.vector_top_k(vectors(t), vector_queries(t), 10)
     return best.select("query_id", "chunk_key", F.col("rank").cast("long").alias("rank"), F.round("vec_score", 4).alias("vec_score"))
 
 
 @query(
     """WITH live AS (SELECT vec_id, embedding FROM embeddings WHERE label IN (1, 3, 4)),
-    vec AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_key, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM live e, (SELECT * FROM embeddings WHERE vec_id < 5) q)
+    vec AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_key, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS s FROM live e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
     SELECT query_id, chunk_key, rank, round(s, 4) AS vec_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_key) AS rank FROM vec) WHERE rank <= 5"""
 )
 def scope_filtered_search(t):
@@ -75,36 +75,31 @@ def scope_filtered_search(t):
     rows = vectors(t).withColumn("doc_id", F.col("chunk_key"))
     meta = rows.select("doc_id", F.col("label").alias("project_id"))
     live = retrieval.in_scope(rows, meta, {"project_id": {1, 3, 4}})
-    best = retrieval.top_k(retrieval.vector_scores(live, vector_queries(t)), "vec_score", 5)
+    best = retrieval.vector_top_k(live, vector_queries(t), 5)
     return best.select("query_id", "chunk_key", F.col("rank").cast("long").alias("rank"), F.round("vec_score", 4).alias("vec_score"))
 
 
-FUSED = f"""{KEYWORD}, near AS (SELECT query_id, chunk_key, (length(chunk_key) * 7 + query_id * 3 + chunk_key::BIGINT * 13) % 97 / 97.0 AS vec_score FROM kw),
+FUSED = f"""{KEYWORD}, near AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_key, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS vec_score FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT query_id FROM asked)),
     v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_score DESC, chunk_key) AS r FROM near),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_score DESC, chunk_key) AS r FROM kw WHERE kw_score > 0),
     cand AS (SELECT query_id, chunk_key, min(pos) AS position FROM (SELECT query_id, chunk_key, r AS pos FROM v WHERE r <= 50 UNION ALL SELECT query_id, chunk_key, r + 50 FROM k WHERE r <= 25) GROUP BY 1, 2),
-    fused AS (SELECT c.query_id, c.chunk_key, position, near.vec_score, kw.kw_score FROM cand c JOIN near USING (query_id, chunk_key) JOIN kw USING (query_id, chunk_key))"""
+    fused AS (SELECT c.query_id, c.chunk_key, position, coalesce(near.vec_score, 0) AS vec_score, coalesce(kw.kw_score, 0) AS kw_score FROM cand c LEFT JOIN near USING (query_id, chunk_key) LEFT JOIN kw USING (query_id, chunk_key))"""
 
 
 def hybrid(t):
-    """Keyword scores, and in place of an embedding model a made-up similarity of document and query."""
-    kw = retrieval.keyword_scores(texts(t), asked(t))
-    ids = F.array(*[F.lit(i).cast("long") for i in range(6)])
-    near = texts(t).select("chunk_key", F.explode(ids).alias("query_id")).join(F.broadcast(asked(t).select("query_id")), "query_id", "left_semi")
-    made_up = ((F.char_length("chunk_key") * 7 + F.col("query_id") * 3 + F.col("chunk_key").cast("long") * 13) % 97) / 97.0
-    return near.select("query_id", "chunk_key", made_up.alias("vec_score")), kw
+    """Documents by their words and by the vectors of the same ids; a query's vector is that of its own id."""
+    asked_vectors = t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(asked(t).select("query_id"), "query_id", "left_semi")
+    return retrieval.hybrid(texts(t), vectors(t), asked(t), asked_vectors)
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_key, position, round(vec_score, 4) AS vec_score, round(kw_score, 4) AS kw_score FROM fused")
 def fused_candidates(t):
-    vec, kw = hybrid(t)
-    return retrieval.fused(vec, kw).withColumns({"vec_score": F.round("vec_score", 4), "kw_score": F.round("kw_score", 4)})
+    return hybrid(t).withColumns({"vec_score": F.round("vec_score", 4), "kw_score": F.round("kw_score", 4)})
 
 
 @query(f"WITH {FUSED} SELECT query_id, rank, chunk_key, floor(vec_score * 10000 + 0.5) / 10000 AS score, floor(kw_score * 100 + 0.5) / 100 AS kw_score, false AS reranked FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vec_score * 2 + kw_score, 9) DESC, position) AS rank FROM fused) WHERE rank <= 5")
 def fallback_rank(t):
-    vec, kw = hybrid(t)
-    return retrieval.ranked(retrieval.fused(vec, kw))
+    return retrieval.ranked(hybrid(t))
 
 
 @query(
@@ -139,7 +134,7 @@ def retrieval_eval(t):
     return made_up_cases(t)
 
 
-@query(f"WITH {JUDGED} SELECT count(*) AS cases, floor(avg(recall) * 10000 + 0.5) / 10000 AS recall, floor(avg(rr) * 10000 + 0.5) / 10000 AS mrr, floor(count(*) FILTER (status = 'PASS') / count(*) * 10000 + 0.5) / 10000 AS hit_rate FROM judged WHERE status <> 'SKIPPED_UNLABELED'")
+@query(f"WITH {JUDGED} SELECT count(*) AS cases, floor(sum(round(recall * 10000)::BIGINT) / count(*) + 0.5) / 10000 AS recall, floor(sum(round(rr * 10000)::BIGINT) / count(*) + 0.5) / 10000 AS mrr, floor(count(*) FILTER (status = 'PASS') / count(*) * 10000 + 0.5) / 10000 AS hit_rate FROM judged WHERE status <> 'SKIPPED_UNLABELED'")
 def retrieval_overall(t):
     return retrieval.overall(made_up_cases(t))
 
@@ -149,62 +144,6 @@ def retrieval_overall(t):
         (SELECT chunk_key FROM top a WHERE a.query_id = q.query_id AND rank = 1) = (SELECT chunk_key FROM other b WHERE b.query_id = q.query_id AND rank = 1) AS top1 FROM (SELECT DISTINCT query_id FROM top) q""")
 def topk_overlap(t):
     """A ranking against a permutation of itself."""
-    best = retrieval.top_k(retrieval.vector_scores(vectors(t), vector_queries(t)), "vec_score", 10)
-    other = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rank") % 3, "rank")))
-    return retrieval.agreement(best, other, 5)
-
-
-# -- the whole set: every row whose id is divisible by 20 asks, with its whole text, against all rows; SQL can't follow ----
-
-
-def all_asked(t):
-    return t("benchmark").where("item_id % 20 = 0").select(F.col("item_id").cast("long").alias("query_id"), "text")
-
-
-def all_vector_queries(t):
-    return t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-
-
-def shown(best):
-    return best.select("query_id", "chunk_key", F.col("rank").cast("long").alias("rank"), F.round("vec_score", 4).alias("vec_score"))
-
-
-@query()
-def keyword_scores_all(t):
-    return retrieval.keyword_scores(texts(t), all_asked(t)).withColumn("kw_score", F.round("kw_score", 4))
-
-
-@query()
-def vector_topk_all(t):
-    return shown(retrieval.vector_top_k(vectors(t), all_vector_queries(t), 10))
-
-
-@query()
-def scope_filtered_search_all(t):
-    rows = vectors(t).withColumn("doc_id", F.col("chunk_key"))
-    live = retrieval.in_scope(rows, rows.select("doc_id", F.col("label").alias("project_id")), {"project_id": {1, 3, 4}})
-    return shown(retrieval.vector_top_k(live, all_vector_queries(t), 5))
-
-
-@query()
-def topk_overlap_all(t):
-    best = retrieval.vector_top_k(vectors(t), all_vector_queries(t), 10)
+    best = retrieval.vector_top_k(vectors(t), vector_queries(t), 10)
     other = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rank") % 3, "rank")))
     return retrieval.agreement(best, other, 5)
-
-
-def all_hybrid(t):
-    """As ``hybrid``, over all that ask."""
-    near = texts(t).select("chunk_key").crossJoin(F.broadcast(all_asked(t).select("query_id")))
-    made_up = ((F.char_length("chunk_key") * 7 + F.col("query_id") * 3 + F.col("chunk_key").cast("long") * 13) % 97) / 97.0
-    return near.select("query_id", "chunk_key", made_up.alias("vec_score")), retrieval.keyword_scores(texts(t), all_asked(t))
-
-
-@query()
-def fused_candidates_all(t):
-    return retrieval.fused(*all_hybrid(t)).withColumns({"vec_score": F.round("vec_score", 4), "kw_score": F.round("kw_score", 4)})
-
-
-@query()
-def fallback_rank_all(t):
-    return retrieval.ranked(retrieval.fused(*all_hybrid(t)))

@@ -34,9 +34,9 @@ def fold_text(t):
     return t("benchmark").select("item_id", F.lower(T.fold(F.translate("text", "aeo,", "ａｅｏ，"))).alias("folded"))
 
 
-@query("SELECT item_id, len(list_distinct(regexp_extract_all(lower(substring(text, 1, 60)), '[a-z0-9][a-z0-9\\-.]*'))) AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(substring(text, 1, 60)), '[a-z0-9][a-z0-9\\-.]*'))), ' ') AS terms FROM benchmark")
+@query("SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-.]*'))) AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-.]*'))), ' ') AS terms FROM benchmark")
 def query_terms(t):
-    terms = T.query_terms(F.substring("text", 1, 60))
+    terms = T.query_terms(F.col("text"))
     return t("benchmark").select("item_id", F.size(terms).cast("long").alias("n"), F.array_join(F.array_sort(terms), " ").alias("terms"))
 
 
@@ -51,21 +51,30 @@ def repeat_key(t):
     return lines.groupBy(T.repeat_key(F.col("text")).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query(
-    f"""WITH {LINES} SELECT level, count(*) AS n FROM (SELECT (CASE
+def level_counts(line: str) -> str:
+    return f"""WITH {LINES} SELECT level, count(*) AS n FROM (SELECT (CASE
         WHEN regexp_matches(v, '^#{{1,6}}\\s+\\S.*$') THEN length(regexp_extract(v, '^#+'))
         WHEN regexp_matches(v, '^\\d+(\\.\\d+){{1,3}}\\s*\\S.*$') THEN least(6, 1 + greatest(1, length(regexp_replace(regexp_extract(v, '^[0-9.]*'), '[^.]', '', 'g'))))
         WHEN length(v) BETWEEN 2 AND 30 AND right(v, 1) NOT IN ('。', '！', '？', '；', '!', '?', ';', '…', ':', '：', '）', '】', '"', '”') AND NOT regexp_matches(v, '^\\d+(\\.\\d+)*[\\.、]?\\s*\\S.*$|^[（(][一二三四五六七八九十0-9]+[）)]\\s*.*$') THEN 6
-        ELSE 0 END)::BIGINT AS level FROM (SELECT {STRIP.format("CASE doc_id % 3 WHEN 0 THEN '## ' || text WHEN 1 THEN (doc_id % 9)::VARCHAR || '.2 ' || text ELSE substring(text, 1, 25) END")} AS v FROM doc_lines)) GROUP BY 1"""
-)
+        ELSE 0 END)::BIGINT AS level FROM (SELECT {STRIP.format(line)} AS v FROM doc_lines)) GROUP BY 1"""
+
+
+@query(level_counts("CASE doc_id % 3 WHEN 0 THEN '## ' || text WHEN 1 THEN (doc_id % 9)::VARCHAR || '.2 ' || text ELSE text END"))
 def heading_levels(t):
-    """Over lines that a rule on the id turns into markdown headings, numbered ones or short ones."""
+    """Over lines that a rule on the id turns into markdown headings or numbered ones, and whole lines as they are."""
     k = F.col("doc_id")
-    line = F.when(k % 3 == 0, F.concat(F.lit("## "), F.col("text"))).when(k % 3 == 1, F.concat((k % 9).cast("string"), F.lit(".2 "), F.col("text"))).otherwise(F.substring("text", 1, 25))
+    line = F.when(k % 3 == 0, F.concat(F.lit("## "), F.col("text"))).when(k % 3 == 1, F.concat((k % 9).cast("string"), F.lit(".2 "), F.col("text"))).otherwise(F.col("text"))
     lines = cleaning.lines_of(chunking.pages_of(t("documents")))
     return lines.groupBy(T.heading_level(line).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(level_counts("text"))
+def heading_levels_plain(t):
+    """Lines as they are."""
+    lines = cleaning.lines_of(chunking.pages_of(t("documents")))
+    return lines.groupBy(T.heading_level(F.col("text")).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT doc_id, len(regexp_extract_all(text, '[^。！？；!?;]*[。！？；!?;]|[^。！？；!?;]+$')) AS n FROM (SELECT doc_id, replace(text, '.', '!') AS text FROM documents)")
 def sentence_counts(t):
     return t("documents").select("doc_id", F.size(T.sentences(F.translate("text", ".", "!"))).cast("long").alias("n"))
@@ -81,33 +90,50 @@ def snippets(t):
     return t("documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-@query("""SELECT doc_id, 1::BIGINT AS page_no, 0::BIGINT AS paragraph, (100 + doc_id % 4)::DECIMAL(18,2) AS total, CASE WHEN doc_id % 4 <= 1 THEN 'pass' ELSE 'warn' END AS status FROM documents WHERE doc_id % 2 = 0
-    UNION ALL SELECT doc_id, 1, 0, (50.5 + 49.5), 'pass' FROM documents WHERE doc_id % 2 = 1""")
+def behind(made_up):
+    """Whole texts, with values behind them that a rule on the ids makes up."""
+    return F.concat_ws("\n\n", "text", made_up)
+
+
+@query(
+    f"""WITH {PAGES}, made AS (SELECT doc_id, page_no, concat_ws(chr(10) || chr(10), text, (doc_id % 90)::VARCHAR || ' % and ' || (100 + page_no % 4 - doc_id % 90)::VARCHAR || '％' || chr(10) || chr(10) || 'alone 7%') AS text FROM doc_pages),
+    paras AS (SELECT doc_id, page_no, unnest(string_split_regex(text, '\\n\\s*\\n')) AS p, generate_subscripts(string_split_regex(text, '\\n\\s*\\n'), 1) - 1 AS paragraph FROM made),
+    found AS (SELECT doc_id, page_no, paragraph, list_transform(regexp_extract_all(p, '(\\d+(?:[.．]\\d+)?)\\s*[%％]', 1), lambda x: replace(x, '．', '.')::DECIMAL(38,10)) AS f FROM paras)
+    SELECT doc_id, page_no, paragraph::BIGINT AS paragraph, list_sum(f)::DECIMAL(18,2) AS total, CASE WHEN abs(list_sum(f)::DECIMAL(18,2) - 100) <= 1 THEN 'pass' ELSE 'warn' END AS status FROM found WHERE len(f) >= 2"""
+)
 def percent_sum_check(t):
-    """Over paragraphs with percentages that a rule on the id makes up."""
-    k = F.col("doc_id")
-    even = F.concat((k % 90).cast("string"), F.lit(" % and "), (100 + k % 4 - k % 90).cast("string"), F.lit("％\n\nalone 7%"))
-    pages = t("documents").select("doc_id", F.lit(1).cast("long").alias("page_no"), F.when(k % 2 == 0, even).otherwise(F.lit("50.5% then 49．5%\n \n3")).alias("text"))
-    found = checks.percent_sum(pages)
+    k, p = F.col("doc_id"), F.col("page_no")
+    values = F.concat((k % 90).cast("string"), F.lit(" % and "), (100 + p % 4 - k % 90).cast("string"), F.lit("％\n\nalone 7%"))
+    found = checks.percent_sum(chunking.pages_of(t("documents")).withColumn("text", behind(values)))
     return found.withColumn("paragraph", F.col("paragraph").cast("long"))
 
 
-@query("SELECT doc_id, (1000 + doc_id % 50)::VARCHAR || ' | ' || '1,0' || lpad((doc_id % 50)::VARCHAR, 2, '0') AS styles FROM documents WHERE doc_id % 3 = 0")
+@query(
+    """WITH raws AS (SELECT doc_id, unnest(regexp_extract_all(concat_ws(chr(10) || chr(10), text, (1000 + doc_id % 50)::VARCHAR || ' and 1,0' || lpad((doc_id % 50)::VARCHAR, 2, '0')), '[0-9０-９][0-9０-９,，.．]*')) AS raw FROM documents),
+    plains AS (SELECT DISTINCT doc_id, raw, replace(replace(translate(raw, '．０１２３４５６７８９', '.0123456789'), ',', ''), '，', '') AS plain FROM raws WHERE length(raw) >= 4),
+    kinds AS (SELECT doc_id, plain, string_agg(raw, ' | ' ORDER BY raw) AS style FROM plains GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT doc_id, string_agg(style, '; ' ORDER BY plain) AS styles FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY plain) AS place FROM kinds) WHERE place <= 12 GROUP BY 1"""
+)
 def number_style_check(t):
     k = F.col("doc_id")
-    one, two = (1000 + k % 50).cast("string"), F.concat(F.lit("1,0"), F.lpad((k % 50).cast("string"), 2, "0"))
-    texts = t("documents").select("doc_id", F.when(k % 3 == 0, F.concat(one, F.lit(" and "), two, F.lit(" but 12 and 1,2"))).otherwise(F.concat(one, F.lit(" 7780000 7,780,000.00"))).alias("text"))
-    found = checks.number_style(texts)
-    # Styles are listed by text; put the plain form first, as the checking SQL does.
-    return found.select("doc_id", F.array_join(F.reverse(F.split("styles", r" \| ")), " | ").alias("styles"))
+    values = F.concat((1000 + k % 50).cast("string"), F.lit(" and 1,0"), F.lpad((k % 50).cast("string"), 2, "0"))
+    return checks.number_style(t("documents").select("doc_id", behind(values).alias("text")))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'skip' WHEN turn % 3 = 1 THEN 'pass' ELSE 'warn' END AS status, CASE WHEN turn % 3 = 2 THEN (conv_id + 7)::VARCHAR ELSE '' END AS missing FROM conversations")
+NUMBERS = r"""list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '\d{{1,3}}(?:[,，]\d{{3}})+(?:[.．]\d{{1,2}})?|\d+(?:[.．]\d{{1,2}})?'),
+    lambda x: try_cast(replace(replace(replace(x, '．', '.'), ',', ''), '，', '') AS DECIMAL(38,10))), lambda x: x IS NOT NULL AND x <> 0), lambda x: regexp_replace(regexp_replace(x::VARCHAR, '(\.\d*?)0+$', '\1'), '\.$', '')))"""
+
+
+@query(
+    f"""WITH turns AS (SELECT conv_id, turn, concat_ws(chr(10) || chr(10), text, (conv_id + 5)::VARCHAR || '.50') AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations),
+    told AS (SELECT conv_id, turn, {NUMBERS.format("answer")} AS own, {NUMBERS.format("source")} AS known FROM turns),
+    lacking AS (SELECT conv_id, turn, own, list_sort(list_filter(own, lambda x: NOT list_contains(known, x))) AS missing FROM told)
+    SELECT conv_id, turn, CASE WHEN len(own) = 0 THEN 'skip' WHEN len(missing) = 0 THEN 'pass' ELSE 'warn' END AS status, array_to_string(missing[1:20], ',') AS missing FROM lacking"""
+)
 def answer_numbers(t):
-    c, turn = F.col("conv_id"), F.col("turn")
-    answer = F.when(turn % 3 == 0, "none 0").when(turn % 3 == 1, F.concat((c + 5).cast("string"), F.lit(".50 and 1,200"))).otherwise(F.concat(F.lit("1200 "), (c + 7).cast("string")))
-    source = F.concat((c + 5).cast("string"), F.lit(".5 at 1，200.00"))
-    result = checks.traceable(answer, source)
+    """Each turn, with a number behind it, against the turn before."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    result = checks.traceable(behind(F.concat((F.col("conv_id") + 5).cast("string"), F.lit(".50"))), before)
     return t("conversations").select("conv_id", "turn", result["status"].alias("status"), F.array_join(result["missing"], ",").alias("missing"))
 
 
@@ -167,10 +193,10 @@ def clean_dedupe(t):
     return found.where("duplicate").groupBy("doc_id").agg(F.count(F.lit(1)).alias("duplicates"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, page_no, line_no::BIGINT AS line_no, translate(text, 'a,e', 'a，e') AS text FROM doc_lines WHERE page_no = 1")
+@query(f"WITH {LINES} SELECT doc_id, page_no, line_no::BIGINT AS line_no, translate(text, 'a,e', 'a，e') AS text FROM doc_lines")
 def clean_encoding(t):
     """Letters come back from full width, the comma of sentences doesn't."""
-    lines = cleaning.lines_of(chunking.pages_of(t("documents"))).where("page_no = 1").withColumn("text", F.translate("text", "a,e", "ａ，ｅ"))
+    lines = cleaning.lines_of(chunking.pages_of(t("documents"))).withColumn("text", F.translate("text", "a,e", "ａ，ｅ"))
     return cleaning.encoding(lines).select("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
@@ -213,52 +239,3 @@ def chunk_counters(t):
 @query()
 def chunk_improved(t):
     return chunking.structured_chunks(chunking.pages_of(t("documents")))
-
-
-# -- the whole job: all pages and whole texts, with the made-up values behind them; SQL can't follow -----------------------
-
-
-@query()
-def query_terms_all(t):
-    terms = T.query_terms(F.col("text"))
-    return t("benchmark").select("item_id", F.size(terms).cast("long").alias("n"), F.array_join(F.array_sort(terms), " ").alias("terms"))
-
-
-@query()
-def heading_levels_all(t):
-    """Whole lines as they are."""
-    lines = cleaning.lines_of(chunking.pages_of(t("documents")))
-    return lines.groupBy(T.heading_level(F.col("text")).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def clean_encoding_all(t):
-    lines = cleaning.lines_of(chunking.pages_of(t("documents"))).withColumn("text", F.translate("text", "a,e", "ａ，ｅ"))
-    return cleaning.encoding(lines).select("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no"), "text")
-
-
-def behind(made_up):
-    return F.concat_ws("\n\n", "text", made_up)
-
-
-@query()
-def percent_sum_check_all(t):
-    k, p = F.col("doc_id"), F.col("page_no")
-    values = F.concat((k % 90).cast("string"), F.lit(" % and "), (100 + p % 4 - k % 90).cast("string"), F.lit("％\n\nalone 7%"))
-    found = checks.percent_sum(chunking.pages_of(t("documents")).withColumn("text", behind(values)))
-    return found.withColumn("paragraph", F.col("paragraph").cast("long"))
-
-
-@query()
-def number_style_check_all(t):
-    k = F.col("doc_id")
-    values = F.concat((1000 + k % 50).cast("string"), F.lit(" and 1,0"), F.lpad((k % 50).cast("string"), 2, "0"))
-    return checks.number_style(t("documents").select("doc_id", behind(values).alias("text")))
-
-
-@query()
-def answer_numbers_all(t):
-    """Each turn, with a number behind it, against the turn before."""
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    result = checks.traceable(behind(F.concat((F.col("conv_id") + 5).cast("string"), F.lit(".50"))), before)
-    return t("conversations").select("conv_id", "turn", result["status"].alias("status"), F.array_join(result["missing"], ",").alias("missing"))

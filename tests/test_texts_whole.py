@@ -26,20 +26,20 @@ def got(spark, tables, name):
 
 
 def test_whole_texts(spark, tables):
-    assert got(spark, tables, "query_terms_all") == [(1, 2, "behind word")]
+    assert got(spark, tables, "query_terms") == [(1, 2, "behind word")]
     lines = [(d, i // 10 + 1, i % 10, x) for d, text in enumerate(TEXTS) for i, x in enumerate(text.split("\n"))]
-    assert sorted(got(spark, tables, "clean_encoding_all")) == sorted((d, p, i, x.replace(",", "，")) for d, p, i, x in lines)
+    assert sorted(got(spark, tables, "clean_encoding")) == sorted((d, p, i, x.replace(",", "，")) for d, p, i, x in lines)
     levels = {"short": 6, "## mark": 2, "1.2 part": 2}
     want = [levels.get(x, 6 if 2 <= len(x) <= 30 and not re.match(r"\d", x) else 0) for *_, x in lines]
-    assert dict(got(spark, tables, "heading_levels_all")) == {n: want.count(n) for n in set(want)}
+    assert dict(got(spark, tables, "heading_levels_plain")) == {n: want.count(n) for n in set(want)}
 
 
 def test_numbers_are_read_from_the_texts(spark, tables):
     sums = {(d, p): 90 * sum(x == LINES[4] for e, q, _, x in pages if (e, q) == (d, p)) for pages in [[(d, i // 10 + 1, i, x) for d, t in enumerate(TEXTS) for i, x in enumerate(t.split("\n"))]] for d, p, *_ in pages}
-    found = {(d, p, n): float(total) for d, p, n, total, _ in got(spark, tables, "percent_sum_check_all")}
+    found = {(d, p, n): float(total) for d, p, n, total, _ in got(spark, tables, "percent_sum_check")}
     assert found == {(d, p, 0): float(s) for (d, p), s in sums.items() if s} | {(d, p, 1): 100.0 + p % 4 for d, p in sums}
-    styles = dict(got(spark, tables, "number_style_check_all"))
+    styles = dict(got(spark, tables, "number_style_check"))
     assert styles[1] == "1,001 | 1001; 1,200 | 1200" and styles[4] == "1,004 | 1004"
-    answers = {(c, n): (status, missing) for c, n, status, missing in got(spark, tables, "answer_numbers_all")}
+    answers = {(c, n): (status, missing) for c, n, status, missing in got(spark, tables, "answer_numbers")}
     assert answers[1, 1] == ("warn", "6.5,77") and answers[1, 2] == ("warn", "6.5") and answers[1, 0][0] == "warn"
-    assert {r[0]: r[1:3] for r in got(spark, tables, "answer_rates_all")} == {"user": (3, 1.0), "bot": (2, 0.5)}
+    assert {r[0]: r[1:3] for r in got(spark, tables, "answer_rates")} == {"user": (3, 1.0), "bot": (2, 0.5)}
