@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,14 +102,16 @@ def shared_attachments(projects: DataFrame, attachments: DataFrame) -> DataFrame
     return rows.select(F.col("id").alias("project_id"), "attachment_id", (F.col("level") > 0).alias("shared"))
 
 
-def attachment_projects(attachments: DataFrame, projects: DataFrame, phases: DataFrame, links: DataFrame) -> DataFrame:
-    """attachment_id, project_id by the kind of owner; a contract's is its project of least id; null when unknown."""
+def attachment_projects(attachments: DataFrame, projects: DataFrame, phases: DataFrame, links: DataFrame, payments: DataFrame) -> DataFrame:
+    """attachment_id, project_id by the kind of owner; a contract's is its project of least id; null when unknown, or for a
+    payment of no project."""
     kinds = [
         projects.select(F.lit("PROJECT").alias("biz_type"), F.col("id").alias("biz_id"), F.col("id").alias("project_id")),
         phases.select(F.lit("PROJECT_PHASE").alias("biz_type"), F.col("id").alias("biz_id"), "project_id"),
         links.groupBy(F.col("contract_id").alias("biz_id")).agg(F.min("project_id").alias("project_id")).select(F.lit("CONTRACT").alias("biz_type"), "biz_id", "project_id"),
+        payments.groupBy(F.col("id").alias("biz_id")).agg(F.min("project_id").alias("project_id")).select(F.lit("PAYMENT").alias("biz_type"), "biz_id", "project_id"),
     ]
-    owners = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    owners = reduce(DataFrame.unionByName, kinds)
     return attachments.join(owners, ["biz_type", "biz_id"], "left").select(F.col("id").alias("attachment_id"), "project_id")
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, stats
+from . import details, metrics, stats
 from .hierarchy import visible_contracts
 from .lists import limit_of
 
@@ -152,7 +152,9 @@ class ControlledQuery:
         if "nodeCode" in checked:
             rows = rows.where(F.col("node_code") == checked["nodeCode"])
         columns = ["project_id", "contract_id", "node_code", "plan_amount", "paid_amount", "plan_date", "status"]
-        return rows.select(columns).orderBy(F.asc_nulls_first("contract_id"), "node_code", "plan_date", "plan_amount", F.asc_nulls_first("project_id"), "paid_amount").limit(n)
+        order = [F.asc_nulls_first("contract_id"), "node_code", "plan_date", "plan_amount", F.asc_nulls_first("project_id"), "paid_amount"]
+        # Names are looked up for the rows that stay.
+        return details.with_names(rows.select(columns).orderBy(*order).limit(n), self.portfolio.projects, self.portfolio.contracts).orderBy(*order)
 
     def phase_attachment_count(self, projects: DataFrame, n: int) -> DataFrame:
         rows = metrics.phase_attachments(self.portfolio.phases, self.portfolio.attachments)

@@ -24,17 +24,17 @@ def query(views: str = "", sql: str = "", more: str = ""):
 
 
 OWNED = """owned AS (SELECT a.id AS attachment_id, ai_doc_id, CASE biz_type WHEN 'PROJECT' THEN (SELECT id FROM projects x WHERE x.id = biz_id) WHEN 'PROJECT_PHASE' THEN (SELECT project_id FROM phases x WHERE x.id = biz_id)
-    WHEN 'CONTRACT' THEN (SELECT min(project_id) FROM links x WHERE x.contract_id = biz_id) END AS project_id FROM attachments a),
+    WHEN 'CONTRACT' THEN (SELECT min(project_id) FROM links x WHERE x.contract_id = biz_id) WHEN 'PAYMENT' THEN (SELECT min(project_id) FROM payments x WHERE x.id = biz_id) END AS project_id FROM attachments a),
     task AS (SELECT event_id AS id, event_id % 300 AS attachment_id, event_type AS status FROM events)"""
 
 
 @query(
-    "projects phases links attachments",
+    "projects phases links payments attachments",
     "SELECT d.doc_id::VARCHAR AS doc_id, attachment_id, project_id, (SELECT arg_max(status, id) FROM task WHERE task.attachment_id = owned.attachment_id) AS status FROM documents d LEFT JOIN owned ON ai_doc_id = d.doc_id::VARCHAR",
     OWNED,
 )
 def document_list(p):
-    owners = lists.attachment_projects(p.attachments, p.projects, p.phases, p.links)
+    owners = lists.attachment_projects(p.attachments, p.projects, p.phases, p.links, p.payments)
     tasks = p.table("events").select(F.col("event_id").alias("id"), (F.col("event_id") % 300).alias("attachment_id"), F.col("event_type").alias("status"))
     return documents.document_list(p.table("documents").select(F.col("doc_id").cast("string").alias("doc_id")), p.attachments, owners, tasks)
 

@@ -243,10 +243,10 @@ def attachments_shared(p):
     return lists.shared_attachments(p.projects, p.attachments)
 
 
-@query("projects phases links attachments", """SELECT a.id AS attachment_id, CASE biz_type WHEN 'PROJECT' THEN (SELECT id FROM projects x WHERE x.id = biz_id) WHEN 'PROJECT_PHASE' THEN (SELECT project_id FROM phases x WHERE x.id = biz_id)
-    WHEN 'CONTRACT' THEN (SELECT min(project_id) FROM links x WHERE x.contract_id = biz_id) END AS project_id FROM attachments a""")
+@query("projects phases links payments attachments", """SELECT a.id AS attachment_id, CASE biz_type WHEN 'PROJECT' THEN (SELECT id FROM projects x WHERE x.id = biz_id) WHEN 'PROJECT_PHASE' THEN (SELECT project_id FROM phases x WHERE x.id = biz_id)
+    WHEN 'CONTRACT' THEN (SELECT min(project_id) FROM links x WHERE x.contract_id = biz_id) WHEN 'PAYMENT' THEN (SELECT min(project_id) FROM payments x WHERE x.id = biz_id) END AS project_id FROM attachments a""")
 def attachment_project(p):
-    return lists.attachment_projects(p.attachments, p.projects, p.phases, p.links)
+    return lists.attachment_projects(p.attachments, p.projects, p.phases, p.links, p.payments)
 
 
 @query("projects contracts links", "SELECT id, name FROM contracts WHERE id NOT IN (SELECT contract_id FROM links WHERE project_id IN (SELECT id FROM projects))")
@@ -282,7 +282,7 @@ def cq_contracts(p):
     return scoped(p).run("contracts", {"contractType": "main"}, 500)
 
 
-@query("projects links payments", """SELECT * FROM payments WHERE status = 'PAID' AND (project_id IN (SELECT id FROM scoped) OR contract_id IN (SELECT contract_id FROM seen WHERE project_id IN (SELECT id FROM scoped)))
+@query("projects contracts links payments", """SELECT project_id, contract_id, node_code, plan_amount, paid_amount, plan_date, status, (SELECT name FROM projects x WHERE x.id = project_id) AS project_name, (SELECT name FROM contracts x WHERE x.id = contract_id) AS contract_name FROM payments WHERE status = 'PAID' AND (project_id IN (SELECT id FROM scoped) OR contract_id IN (SELECT contract_id FROM seen WHERE project_id IN (SELECT id FROM scoped)))
     ORDER BY contract_id NULLS FIRST, node_code, plan_date, plan_amount, project_id NULLS FIRST, paid_amount LIMIT 100""", f"{SEEN}, {SCOPED}")
 def cq_payments(p):
     return scoped(p).run("payments", {"status": "Paid"}, 100)

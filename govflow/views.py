@@ -135,6 +135,7 @@ class Portfolio:
         plan = F.col("l_extendedprice").cast(MONEY)
         lines = self.table("lineitem").join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         return lines.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"),
             F.when(F.col("l_linenumber") != 1, F.col("o_custkey")).alias("project_id"),
             F.when(F.col("l_linenumber") != 2, F.col("l_orderkey")).alias("contract_id"),
             F.concat(F.lit("N"), F.col("l_linenumber").cast("string")).alias("node_code"),
@@ -195,7 +196,7 @@ ORACLE_VIEWS = {
         SELECT o_custkey AS project_id, o_orderkey AS contract_id FROM orders
         UNION ALL SELECT c_nationkey::BIGINT + 1000000, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0""",
     "payments": """
-        SELECT CASE WHEN l_linenumber <> 1 THEN o_custkey END AS project_id, CASE WHEN l_linenumber <> 2 THEN l_orderkey END AS contract_id,
+        SELECT (l_orderkey * 10 + l_linenumber)::BIGINT AS id, CASE WHEN l_linenumber <> 1 THEN o_custkey END AS project_id, CASE WHEN l_linenumber <> 2 THEN l_orderkey END AS contract_id,
                'N' || l_linenumber::VARCHAR AS node_code, l_extendedprice::DECIMAL(15,2) AS plan_amount,
                (l_extendedprice::DECIMAL(15,2) * CASE l_returnflag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.5 ELSE 0.0 END)::DECIMAL(15,2) AS paid_amount,
                l_shipdate::DATE AS plan_date, CASE l_returnflag WHEN 'R' THEN 'PAID' WHEN 'A' THEN 'PART' ELSE 'UNPAID' END AS status
