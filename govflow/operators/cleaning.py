@@ -148,8 +148,20 @@ def merge_lines(lines: DataFrame) -> DataFrame:
     return lines.select(columns).groupBy("doc_id", "page_no").applyInPandas(_merged, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def clean(pages: DataFrame, watermark_patterns: tuple[str, ...] = (), merge: bool = True) -> DataFrame:
-    """All rules in order; lines with what removed them. Paragraph duplicates are only marked (see ``paragraphs``)."""
+def table_ranges(cleaned: DataFrame) -> DataFrame:
+    """doc_id, page_no, start, end, rows: runs of table lines, by the numbers that lines have once removed ones are gone."""
+    live = cleaned.where("rule is null").withColumn("_at", F.row_number().over(_page("line_no")) - 1)
+    held = Window.partitionBy("doc_id", "page_no", "table").orderBy("_at")
+    runs = live.withColumn("_run", F.col("_at") - F.row_number().over(held)).where("table")
+    return runs.groupBy("doc_id", "page_no", "_run").agg(F.min("_at").cast("long").alias("start"), F.max("_at").cast("long").alias("end"), F.count(F.lit(1)).alias("rows")).drop("_run")
+
+
+def clean(pages: DataFrame, watermark_patterns: tuple[str, ...] = (), merge: bool = True, enabled: bool = True) -> DataFrame:
+    """All rules in order; lines with what removed them. Paragraph duplicates are only marked (see ``paragraphs``). Where
+    cleaning isn't enabled, all lines come as they are."""
+    if not enabled:
+        none = {"table": F.lit(False), "rule": F.lit(None).cast("string"), "lost_chars": F.lit(0).cast("long"), "total_pages": F.lit(None).cast("int")}
+        return lines_of(pages).withColumns(none)
     rows = watermarks(page_numbers(repeated_edges(tables(encoding(lines_of(pages))))), watermark_patterns)
     counts = rows.select("doc_id", "page_no", "line_no", "lost_chars", "total_pages")
     done = white_space(merge_lines(rows) if merge else rows)

@@ -22,13 +22,17 @@ def leaves(projects: DataFrame) -> DataFrame:
 def ancestors(projects: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """id, ancestor_id, level: every project itself (level 0) and up to ``depth`` ancestors.
 
-    Bounded self-joins; a cycle in dirty data ends at the bound, and repeated pairs are merged to their least level.
+    Ids and parents are written once and joined to themselves until a step finds nobody, so the data's own depth decides.
+    A cycle in dirty data ends at the bound, and repeated pairs are merged to their least level.
     """
-    edges = projects.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"))
-    step = projects.select("id", F.col("id").alias("ancestor_id"), F.lit(0).cast("long").alias("level"))
+    edges = durable(projects.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent")), "parents")
+    step = edges.select(F.col("_id").alias("id"), F.col("_id").alias("ancestor_id"), F.lit(0).cast("long").alias("level"))
     found = step
     for level in range(1, depth + 1):
-        step = step.join(edges, step["ancestor_id"] == F.col("_id")).where("_parent is not null").select("id", F.col("_parent").alias("ancestor_id"), F.lit(level).cast("long").alias("level"))
+        above = edges.where("_parent is not null")
+        step = step.join(above, F.col("ancestor_id") == F.col("_id")).select("id", F.col("_parent").alias("ancestor_id"), F.lit(level).cast("long").alias("level"))
+        if step.isEmpty():
+            break
         found = found.union(step)
     return found.groupBy("id", "ancestor_id").agg(F.min("level").alias("level"))
 

@@ -12,6 +12,10 @@ from .hierarchy import visible_contracts
 from .lists import limit_of
 
 
+#: Ids of a scope that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 class QueryError(ValueError):
     def __init__(self, status: int, message: str):
         super().__init__(message)
@@ -105,7 +109,8 @@ class ControlledQuery:
     def run(self, entity: str, filters: dict | None = None, limit: int | None = None) -> DataFrame:
         checked = validate(entity, filters)
         ids = sorted(self.scope.narrowed(checked.get("projectId")))
-        projects = self.portfolio.projects.where(F.col("id").isin(*ids) if ids else F.lit(False))
+        scoped = self.portfolio.spark.createDataFrame([(i,) for i in ids], "id long")
+        projects = self.portfolio.projects.join(F.broadcast(scoped) if len(ids) <= BROADCAST_IDS else scoped, "id", "left_semi")
         if entity == "stats":
             return getattr(self, checked["kind"])(projects, limit_of(limit))
         return getattr(self, entity)(projects, checked, limit_of(limit))

@@ -208,6 +208,28 @@ def table_rows(t):
     return rows.where("table").groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("rows"))
 
 
+TABLED = "'- ' || page_no::VARCHAR || ' -' || chr(10) || text || chr(10) || 'a | b | c' || chr(10) || '1 | 2 | 3' || chr(10) || '4 | 5 | 6' || chr(10) || 'end'"
+
+
+@query(
+    f"""WITH {PAGES}, tl AS (SELECT doc_id, page_no, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM (SELECT doc_id, page_no, {TABLED} AS text FROM doc_pages)),
+    live AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS place FROM tl WHERE NOT (length({STRIP.format("text")}) > 0 AND (regexp_matches({STRIP.format("text")}, '^[-—–\\s]*\\d{{1,4}}[-—–\\s]*$') OR regexp_matches({STRIP.format("text")}, '(?i)^page\\s+(\\d+)(\\s+of\\s+(\\d+))?$') OR regexp_matches({STRIP.format("text")}, '^(\\d+)\\s*/\\s*(\\d+)$')))),
+    tab AS (SELECT doc_id, page_no, place, place - row_number() OVER (PARTITION BY doc_id, page_no ORDER BY place) AS run FROM live WHERE length(regexp_replace(text, '[^|]', '', 'g')) >= 2)
+    SELECT doc_id, page_no, min(place)::BIGINT AS start, max(place)::BIGINT AS "end", count(*) AS rows FROM tab GROUP BY doc_id, page_no, run HAVING count(*) >= 3"""
+)
+def clean_table_ranges(t):
+    """Pages with a page number before their text and a table behind it."""
+    text = F.concat(F.lit("- "), F.col("page_no").cast("string"), F.lit(" -\n"), "text", F.lit("\na | b | c\n1 | 2 | 3\n4 | 5 | 6\nend"))
+    lines = cleaning.tables(cleaning.lines_of(chunking.pages_of(t("documents")).withColumn("text", text)))
+    return cleaning.table_ranges(cleaning.page_numbers(lines.withColumn("rule", F.lit(None).cast("string"))))
+
+
+@query(f"WITH {LINES} SELECT doc_id, page_no, line_no::BIGINT AS line_no, text FROM doc_lines")
+def clean_disabled(t):
+    rows = cleaning.clean(chunking.pages_of(t("documents")), enabled=False)
+    return rows.where("rule is null and not table").select("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
 @query()
 def clean_all(t):
     """All rules, with lines merged; sequential, so rows only."""
