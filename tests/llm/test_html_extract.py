@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from govflow.llm import html_extract
@@ -89,3 +91,26 @@ def test_frames(spark):
     assert got[(1, "u")].text == "a b" and got[(None, None)].text == "" and got[(2, "v")].n_chars == 0
     assert got[(3, "w")].n_chars == 20_000 * 7 - 1 == len(got[(3, "w")].text)
     assert html_extract.extract_pages(pages.limit(0)).collect() == []
+
+
+def test_second_pass_against_a_plain_search():
+    rng = random.Random(4)
+    for _ in range(400):
+        labels = [rng.choice([GOOD, BAD, NEAR, BRIEF]) for _ in range(rng.randrange(0, 12))]
+        headings = [rng.random() < 0.2 for _ in labels]
+        want = []
+        for i, x in enumerate(labels):
+            # The nearest decided block on each side, the page's ends counting as bad ones farther than any.
+            left = next(((labels[j], i - j) for j in range(i - 1, -1, -1) if labels[j] in (GOOD, BAD)), (BAD, len(labels) + i + 2))
+            right = next(((labels[j], j - i) for j in range(i + 1, len(labels)) if labels[j] in (GOOD, BAD)), (BAD, 2 * len(labels) - i + 1))
+            if x in (GOOD, BAD):
+                want.append(x == GOOD)
+            elif left[0] == right[0]:
+                want.append(left[0] == GOOD or (x == NEAR and GOOD not in labels))
+            else:
+                want.append(x == NEAR or (right[0] if heading_goes_on(headings[i]) else min(left, right, key=lambda s: s[1])[0]) == GOOD)
+        assert second_pass(labels, headings) == want, (labels, headings)
+
+
+def heading_goes_on(heading):
+    return heading
