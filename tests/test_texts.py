@@ -179,3 +179,22 @@ def test_cosine_edge_cases(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", []), ("d", [0.0, 0.0]), ("e", [1.0]), ("f", [-1.0, 0.0])], "chunk_key string, vector array<float>")
     queries = spark.createDataFrame([(1, [2.0, 0.0])], "query_id long, vector array<float>")
     assert {r.chunk_key: r.vec_score for r in retrieval.vector_scores(rows, queries).collect()} == {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": 0.0, "f": -1.0}
+
+
+def test_counters_add_up_what_cleaning_left(spark):
+    texts = ["Report 1\nfirst line of it.\n\n\nsecond \ufffd line.\n- 1 -", "Report 2\na | b | c\n1 | 2 | 3\n4 | 5 | 6\n- 2 -", ""]
+    frame = pages(spark, *texts)
+    cleaned = cleaning.clean(frame)
+    rows = cleaned.collect()
+    left = {}
+    for r in sorted(rows, key=lambda r: (r.page_no, r.line_no)):
+        left.setdefault(r.page_no, [])
+        if r.rule is None:
+            left[r.page_no].append(r.text)
+    after = sum(len("\n".join(lines)) for lines in left.values())
+    got = cleaning.counters(frame, cleaned).collect()
+    assert len(got) == 1
+    before = sum(map(len, texts))
+    assert (got[0].chars_before, got[0].chars_after, got[0].removed_lines) == (before, after, sum(r.rule is not None for r in rows))
+    assert (got[0].table_lines, got[0].lost_chars, got[0].removed_ratio) == (3, 1, round((before - after) / before, 4))
+    assert got[0].removed_lines >= 4 and after < before
