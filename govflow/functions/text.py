@@ -89,6 +89,11 @@ def embed_rev(model: str, dimensions: int) -> str:
     return hashlib.sha1(f"{model}|{dimensions}".encode()).hexdigest()[:8]
 
 
+def task_key(content_hash: Column, pipeline_rev: str) -> Column:
+    """sha1 of the content's hash and the revision: the same task again; a null hash counts as empty."""
+    return F.sha1(F.concat(F.coalesce(content_hash, F.lit("")), F.lit(f"|{pipeline_rev}")))
+
+
 def repeat_key(line: Column) -> Column:
     """A line without white space and digits, in lower case: equal for headers that differ in a page number."""
     return F.lower(F.regexp_replace(F.regexp_replace(line, r"\s+", ""), r"\d+", ""))

@@ -68,11 +68,14 @@ def filtered_payments(payments: DataFrame, contracts: DataFrame, nodes: list[str
 
 
 def availability(asked: list[int], records: DataFrame, objects: DataFrame) -> DataFrame:
-    """id, position, state of at most 50 distinct positive ids in the order asked: missing_record, missing_object or ok."""
-    ids = list(dict.fromkeys(i for i in asked if i and i > 0))[:50]
+    """id, position, state of 1 to 50 distinct positive ids in the order asked: missing_record, missing_object (also for a record
+    without a key) or ok. ValueError for any other ids."""
+    ids = list(dict.fromkeys(asked))
+    if not 1 <= len(ids) <= 50 or min(ids) <= 0:
+        raise ValueError("1 to 50 positive ids have to be asked for")
     frame = records.sparkSession.createDataFrame(list(enumerate(ids)), "position int, id long")
-    rows = F.broadcast(frame).join(records.select("id", "object_key"), "id", "left").join(objects.select("object_key", F.lit(True).alias("_there")), "object_key", "left")
-    state = F.when(F.col("object_key").isNull(), "missing_record").when(F.col("_there").isNull(), "missing_object").otherwise("ok")
+    rows = F.broadcast(frame).join(records.select("id", "object_key", F.lit(True).alias("_known")), "id", "left").join(objects.select("object_key", F.lit(True).alias("_there")), "object_key", "left")
+    state = F.when(F.col("_known").isNull(), "missing_record").when(F.col("_there").isNull(), "missing_object").otherwise("ok")
     return rows.select("id", "position", state.alias("state"))
 
 

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read again, which cuts its lineage and survives the loss of any executor.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table in the folder of spark.checkpoint.dir.
 
-    The folder is that of spark.checkpoint.dir. Where it is unset and Spark runs on one machine, it is one under /tmp; on a
-    cluster that is an error.
+    Where that is unset and Spark runs on one machine, it is one under /tmp; on a cluster that is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read again, which cuts its lineage and survives the loss of any executor."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

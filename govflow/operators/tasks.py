@@ -26,6 +26,8 @@ STAGE_EDGES = {
     "DONE": ("PENDING", "RUNNING"),
     "PARTIAL": ("PENDING", "RUNNING"),
 }
+# The percents of an upload that a stage spans.
+STAGE_SPANS = {"render": (5, 20), "ocr": (20, 95), "check": (95, 96), "embed": (96, 99), "store": (99, 100)}
 STAGES = ("PARSE", "CLEAN", "CHUNK", "EMBED", "INDEX", "RETRIEVE", "GENERATE")
 CHANNEL_WEIGHT = {"QA": 100, "SEARCH": 20, "PARSE": 10, "EMBED": 5}
 LEASE, LEASE_RANGE, STALE_AFTER = 1800, (15, 3600), 300
@@ -133,10 +135,26 @@ def reindex_plan(chunks: DataFrame, vectors: DataFrame, model: str, clean_rev: i
     return rows.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def progress(done: Column, total: Column, begin: float, end: float) -> Column:
-    """Percent of a stage that spans [begin, end] of the whole, one digit."""
-    return F.round(begin + (end - begin) * F.coalesce(F.try_divide(done, total), F.lit(0.0)), 1)
+def stale_sample(chunks: DataFrame, vectors: DataFrame, model: str, clean_rev: int, chunk_rev: int, n: int = 20) -> DataFrame:
+    """The least ``n`` keys of chunks that have vectors, but none of this model and these revisions."""
+    current = (F.col("model") == model) & (F.col("clean_rev") == clean_rev) & (F.col("chunk_rev") == chunk_rev)
+    known = vectors.groupBy("chunk_key").agg(F.bool_or(current).alias("_current")).where(~F.coalesce("_current", F.lit(False)))
+    return chunks.select("chunk_key").join(known.select("chunk_key"), "chunk_key", "left_semi").orderBy("chunk_key").limit(n)
+
+
+def progress(done: Column, total: Column, begin: Column | float, end: Column | float) -> Column:
+    """Percent of a stage that spans [begin, end] of the whole, one digit; no more than its end."""
+    share = F.when(total > 0, F.least(F.lit(1.0), done / total)).otherwise(F.lit(0.0))
+    return F.round(begin + (end - begin) * share, 1)
+
+
+def task_percent(status: Column, stage: Column, done: Column, total: Column) -> Column:
+    """Percent of an upload task: 100 when done, else by the span of its stage; stages without one are the first 5."""
+    span = lambda i, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in STAGE_SPANS.items() for x in (k, float(v[i]))]), stage), F.lit(other))
+    return F.when(status == "DONE", 100.0).otherwise(progress(done, total, span(0, 0.0), span(1, 5.0)))
 
 
 def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:
-    return F.round(F.try_divide(elapsed, done) * (total - done), 1)
+    """By the mean time of what is done, one digit; 0 before anything and once all is done."""
+    left = F.round(F.try_divide(elapsed, done) * (total - done), 1)
+    return F.when((done > 0) & (done < total), left).otherwise(F.lit(0.0))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import details, documents, portfolio, retrieval, tasks, texts
+from . import details, documents, portfolio, retrieval, runs, tasks, texts
 
-MODULES = (portfolio, texts, retrieval, tasks, documents, details)
+MODULES = (portfolio, texts, retrieval, tasks, documents, details, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,9 +9,10 @@ PAGE = "struct<page_no:int,text:string,confidence:double,source:string,chars:int
 DOCUMENT = f"doc_id string, filename string, pages array<{PAGE}>, stages map<string,double>, checks array<map<string,string>>, notes array<string>, _corrupt_record string"
 
 
-def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a folder of JSON files, one document each; files that can't be parsed are left out."""
-    rows = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_json_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents of a folder of JSON files, one document each, or, with ``lines``, one a line, as ``write_documents`` leaves
+    them; what can't be parsed is left out."""
+    rows = spark.read.schema(DOCUMENT).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     return rows.where("_corrupt_record is null and doc_id is not null").drop("_corrupt_record")
 
 
@@ -21,7 +22,7 @@ def document_pages(documents: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Replace the store; Spark's committer shows the files only once all are written."""
+    """Replace the store by files of a document a line; Spark's committer shows them only once all are written."""
     documents.write.mode("overwrite").json(path)
 
 
@@ -65,3 +66,19 @@ def manifest(chunks: DataFrame, most: int = 4000) -> DataFrame:
     """doc_id, content: the chunks of a document as JSON, clipped."""
     held = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "order_in_page", "chunk_key"))).alias("chunks"))
     return held.select("doc_id", F.substring(F.to_json(F.struct("chunks")), 1, most).alias("content"))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append rows of an audit log or of events; what stands there is never changed."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_snapshot(rows: DataFrame, path: str) -> None:
+    """Replace a snapshot of expected figures, one JSON object a row."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """object_key (the path), size, modified, content of the files below a path; what isn't selected isn't read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return rows.select(F.col("path").alias("object_key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
