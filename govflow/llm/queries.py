@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, html_extract, language_id, license_scan, lm_score, near_dedup, packing, token_counts
+from . import bpe, centroids, exact_dedup, fingerprint, html_extract, language_id, license_scan, lm_score, near_dedup, packing, token_counts
 from .common import table
 
 
@@ -73,6 +73,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
@@ -84,11 +88,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_score": op10_lm_score,
+    "op13_centroids": op13_centroids,
 }
 
+def clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain k-means: every vector against every centroid in each round."""
+    steps = [
+        """kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x, list_transform(embedding::DOUBLE[], lambda e: floor(1024 * e)::BIGINT) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+        f"""c0 AS MATERIALIZED (
+            SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1)::INTEGER AS c, v AS w FROM kept
+            QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), x) <= {k})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+            SELECT r, min((d, c)) AS best FROM (
+                SELECT r, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i}) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+                SELECT c, coalesce(w2, w) AS w FROM c{i} LEFT JOIN (
+                    SELECT c, list(m ORDER BY pos) AS w2 FROM (
+                        SELECT best[2] AS c, pos, (sum(e) - ((sum(e) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS m
+                        FROM (SELECT best, unnest(v) AS e, unnest(range(64)) AS pos FROM kept JOIN a{i} USING (r)) GROUP BY 1, 2) GROUP BY c) USING (c))""")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, best[2]::INTEGER AS "cluster", best[1]::BIGINT AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+               (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+        FROM kept JOIN a{rounds} USING (r) JOIN c{rounds} ON c = best[2]"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op13_centroids": clustering_sql(),
 }
