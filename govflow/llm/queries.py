@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, exact_dedup, fingerprint, html_extract, language_id, license_scan, lm_score, near_dedup, packing, token_counts
+from . import bpe, centroids, exact_dedup, fingerprint, html_extract, language_id, license_scan, lm_score, merkle, near_dedup, packing, token_counts
 from .common import table
 
 
@@ -73,6 +73,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked_proofs(table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -88,9 +92,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_score": op10_lm_score,
+    "op11_merkle": op11_merkle,
     "op13_centroids": op13_centroids,
 }
 
+def manifest_sql(levels: int = 20, group_levels: int = 8) -> str:
+    """The tree a level at a time, for groups of at most 2 ** levels documents and 2 ** group_levels groups."""
+    # crc32 a bit at a time.
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: unicode(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", n, "text")) + ")"
+    steps = [
+        f"""doc AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, lang, {leaf("n_chars")} AS leaf,
+            CASE WHEN {crc} % 7 = 0 THEN {leaf("(n_chars::HUGEINT + 1)")} ELSE {leaf("n_chars")} END AS claim FROM documents)""",
+        "p0 AS MATERIALIZED (SELECT k, doc_id, leaf, claim AS h, '' AS proof, coalesce('v' || lang, 'n') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM doc)",
+        "n0 AS MATERIALIZED (SELECT g, r, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p0)",
+    ]
+
+    def raised(i: int) -> None:
+        """Level i + 1 of the nodes, and of the path of each document; a group of one node is left as it is."""
+        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT p.* REPLACE (CASE WHEN m.n = 1 THEN p.h WHEN p.r % 2 = 0 THEN sha256(p.h || coalesce(s.h, '')) ELSE sha256(s.h || p.h) END AS h, p.proof || coalesce(s.h, '') AS proof, p.r // 2 AS r) FROM p{i} p JOIN n{i} m ON m.g = p.g AND m.r = p.r LEFT JOIN n{i} s ON s.g = p.g AND s.r = xor(p.r, 1))")
+        steps.append(f"n{i + 1} AS MATERIALIZED (SELECT g, r, h, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, r // 2 AS r, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h FROM n{i} GROUP BY g, r // 2))")
+
+    for i in range(levels):
+        raised(i)
+    steps.append(f"subroots AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS r FROM n{levels})")
+    steps.append(f"p{levels + 1} AS MATERIALIZED (SELECT p.k, p.doc_id, p.leaf, p.h, p.proof, '' AS g, s.r, s.subroot FROM p{levels} p JOIN subroots s USING (g))")
+    steps.append(f"n{levels + 1} AS MATERIALIZED (SELECT '' AS g, r, subroot AS h, count(*) OVER () AS n FROM subroots)")
+    for i in range(levels + 1, levels + 1 + group_levels):
+        raised(i)
+    last = levels + 1 + group_levels
+    return f"""WITH {", ".join(steps)}
+        SELECT doc_id, leaf, subroot, n.h AS root, sha256(proof) AS proof_sha256, p.h AS folded_root, p.h = n.h AS verified FROM p{last} p, n{last} n"""
+
+
 def clustering_sql(k: int = 8, rounds: int = 10) -> str:
     """Plain k-means: every vector against every centroid in each round."""
     steps = [
@@ -122,5 +157,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_merkle": manifest_sql(),
     "op13_centroids": clustering_sql(),
 }
