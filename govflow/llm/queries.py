@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, exact_dedup, fingerprint, html_extract, language_id, license_scan, lm_score, merkle, near_dedup, packing, token_counts
+from . import bpe, centroids, exact_dedup, fingerprint, html_extract, language_id, license_scan, lm_score, merkle, near_dedup, nearest, packing, token_counts
 from .common import table
 
 
@@ -77,6 +77,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked_proofs(table(spark, sf_dir, "documents"))
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_score": op10_lm_score,
     "op11_merkle": op11_merkle,
+    "op12_nearest": op12_nearest,
     "op13_centroids": op13_centroids,
 }
 
