@@ -1,15 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by itself: by its link density, its
-length and its density of stop words. Where articles (``<article>``, ``<main>``) hold most of the page's text, standing
-in one or beside them shifts that label. Short or middling blocks stay ambiguous; in the second pass they inherit the
-label of the nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass weighs the evidence of each block: its length, its density
+of stop words, its links, and where it stands (in or beside an article that holds most of the page's text, in elements
+or under names of boilerplate). Blocks with clear evidence are good or bad; no article makes a block good by itself. The
+rest stays ambiguous, and in the second pass inherits the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,12 +21,20 @@ from .common import bounded_batches
 
 #: Limits of the first pass: characters of a short and of a long block, stop-word and link densities.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.25, 0.33
-GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "brief"
+GOOD, BAD, NEAR, BRIEF, WEAK = "good", "bad", "near", "brief", "weak"
 #: No part of an article, and no neighbour to the blocks around it either.
 OUT = "out"
+#: Outside of articles because of a form, or of a header, only; an article's own header may hold its headings.
+FORM, HEADER = "form", "header"
+STRENGTH = {False: 0, FORM: 1, HEADER: 2, True: 3}
 #: What a block stands in, and how much a character of each label counts when articles are weighed against the rest.
 DOUBTFUL, MAIN, ARTICLE = -1, 1, 2
-WEIGHT = {GOOD: 3, NEAR: 2, BRIEF: 1, BAD: 1}
+WEIGHT = {GOOD: 3, NEAR: 2, BRIEF: 1, WEAK: 1, BAD: 1}
+#: Evidence against a block: many links, beside articles that hold the text, under a name of boilerplate, in such an element.
+#: From CLEAR on a block is good, from -UNCLEAR down it is bad.
+LINKED, BESIDE, NAMED, BOILERPLATE, CLEAR, UNCLEAR = 3, 3, 4, 6, 3, 2
+#: Words of a page that are needed to tell its own frequent words, how many of them count, their length, and their densities.
+OWN_WORDS, OWN_KINDS, OWN_LENGTH, OWN_LOW, OWN_HIGH = 100, 30, 4, 0.05, 0.12
 
 #: Frequent function words (fixed values).
 STOP_WORDS = {
@@ -41,6 +50,8 @@ SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|
 HOLDERS = frozenset("html body div section article main nav header footer aside form dialog figure fieldset details ul ol dl table tbody thead tr menu center blockquote address".split())
 BREAKS = HOLDERS | frozenset("head p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption summary pre hr option legend label".split())
 OUTSIDE = frozenset("nav header footer aside form dialog menu head fieldset".split())
+#: Of these, the ones that some pages put around all they have.
+FORMS = frozenset(("form", "fieldset"))
 #: Names of a class, id or role that mark such elements, also put together with words that say nothing of the content.
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsense banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside widget cookie cookies "
@@ -60,6 +71,8 @@ MARKED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 UNSEEN = re.compile(r"""(?<![\w-])hidden(?=[\s/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 WORDS = re.compile(r"\w+")
+#: Scripts written without spaces, whose characters say about as much as three letters.
+DENSE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
 @lru_cache(maxsize=10_000)
@@ -81,10 +94,15 @@ def unseen(attrs: str) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "linked", "inside", "outside", "marked", "heading")
+    __slots__ = ("text", "linked", "inside", "outside", "marked", "heading", "length")
 
     def __init__(self, text, linked, inside, outside, marked, heading):
         self.text, self.linked, self.inside, self.outside, self.marked, self.heading = text, linked, inside, outside, marked, heading
+        self.length = len(text) + 2 * len(DENSE.findall(text))
+
+    @property
+    def links(self) -> bool:
+        return self.linked > LINKS * len(self.text)
 
 
 def blocks(page: str) -> list[Block]:
@@ -100,7 +118,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             _, inside, outside, mark = stack[-1]
-            out.append(Block(text, linked, inside, (outside and not (heading and inside)) or own, mark or mine, heading))
+            out.append(Block(text, linked, inside, True if own else False if heading and inside and outside == HEADER else outside, mark or mine, heading))
         parts, linked, own, mine, heading = [], 0, False, False, False
 
     for m in TOKEN.finditer(page):
@@ -136,16 +154,17 @@ def blocks(page: str) -> list[Block]:
                     attrs = m["attrs"] or ""
                     if tag in ("article", "main"):
                         if not (hidden := tag == "article" and unseen(attrs)):
-                            outside, mark = outside and any(t in OUTSIDE for t, *_ in stack), False
+                            outside, mark = outside if any(t in OUTSIDE for t, *_ in stack) else False, False
                             if tag == "article" and marked(attrs):
                                 inside = inside or DOUBTFUL
                             else:
                                 inside = max(inside, ARTICLE if tag == "article" else MAIN)
-                        stack.append((tag, inside, outside or hidden, mark))
+                        stack.append((tag, inside, True if hidden else outside, mark))
                     elif tag in ("html", "body"):
                         stack.append((tag, inside, outside, mark))
                     else:
-                        stack.append((tag, inside, outside or tag in OUTSIDE or unseen(attrs), mark or marked(attrs)))
+                        here = True if unseen(attrs) else FORM if tag in FORMS else HEADER if tag == HEADER else tag in OUTSIDE
+                        stack.append((tag, inside, max(outside, here, key=STRENGTH.get), mark or marked(attrs)))
             elif not closing:
                 attrs, heading = m["attrs"] or "", tag in ("h1", "h2", "h3", "h4", "h5", "h6")
                 own, mine = unseen(attrs), not heading and marked(attrs)
@@ -160,61 +179,84 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def stop_density(text: str) -> float:
-    words = [w.lower() for w in WORDS.findall(text)]
-    return max(sum(w in stops for w in words) for stops in STOPS) / len(words) if words else 0.0
+def known_density(words: list[str]) -> float:
+    return max(sum(w in stops for w in words) for stops in STOPS) / len(words)
+
 
+def densities(found: list[Block]) -> list[int]:
+    """What the stop words of each block say: 2, 1 or -2 for many, some and few; 0 where nothing can be told.
 
-def first_pass(block: Block) -> str:
-    """What links, length and stop words say of a block."""
-    if block.outside or block.linked > LINKS * len(block.text):
+    Where less than a quarter of a page's longer text has stop words of the known languages, its own frequent short words
+    take their place; a page of too few words, or without spaces between them, tells nothing.
+    """
+    words = [[w.lower() for w in WORDS.findall(b.text)] for b in found]
+    is_longer = [b.length >= SHORT and not b.links and bool(w) for b, w in zip(found, words, strict=True)]
+    longer = [w for w, x in zip(words, is_longer, strict=True) if x]
+    total = sum(map(len, longer))
+    if not total or 4 * sum(len(w) for w in longer if known_density(w) >= STOP_LOW) >= total:
+        level = [known_density(w) if w else 0.0 for w in words]
+        return [2 if d >= STOP_HIGH else 1 if d >= STOP_LOW else -2 for d in level]
+    seen = Counter(w for block in longer for w in block if len(w) <= OWN_LENGTH and not w.isdigit())
+    own = {w for w, n in seen.most_common(OWN_KINDS) if n > 1}
+    level = [sum(w in own for w in block) / len(block) if block else 0.0 for block in words]
+    if total < OWN_WORDS or sum(d * len(w) for d, w, x in zip(level, words, is_longer, strict=True) if x) < OWN_LOW * total:
+        return [0] * len(found)
+    return [2 if d >= OWN_HIGH else 1 if d >= OWN_LOW else -2 for d in level]
+
+
+def content(block: Block, density: int) -> int:
+    """The evidence of a block's own text: links, or else length and stop words. A short block has none."""
+    if block.links:
+        return -LINKED
+    if block.length < SHORT:
+        return 0
+    size = 2 if block.length > LONG else 1
+    return size + (density if density else size - 1)
+
+
+def label(score: int) -> str:
+    if score >= CLEAR:
+        return GOOD
+    if score <= -UNCLEAR:
         return BAD
-    if len(block.text) < SHORT:
-        return BRIEF if block.linked == 0 else BAD
-    density = stop_density(block.text)
-    if density >= STOP_HIGH:
-        return GOOD if len(block.text) > LONG else NEAR
-    return NEAR if density >= STOP_LOW else BAD
+    return NEAR if score > 0 else BRIEF if score == 0 else WEAK
 
 
-def article_leads(found: list[Block], labels: list[str]) -> bool:
+def article_leads(found: list[Block], scores: list[int]) -> bool:
     """Whether articles hold most of the page's text, so that they are more than teasers."""
     held = {True: 0, False: 0}
-    for block, label in zip(found, labels, strict=True):
-        if not (block.outside or block.marked) and block.linked <= LINKS * len(block.text):
-            held[block.inside > 0] += WEIGHT[label] * len(block.text)
+    for block, score in zip(found, scores, strict=True):
+        if not (block.outside or block.marked or block.links):
+            held[block.inside > 0] += WEIGHT[label(score)] * len(block.text)
     return held[True] > 0 and held[True] >= held[False]
 
 
-def weighed(found: list[Block], labels: list[str]) -> list[str]:
-    """Labels with the marks on or around blocks: a good block falls by one and a heading stays as it is, others are bad.
-    Marks around all the text of a page tell nothing, so they only count beside unmarked text."""
-    if not any(x in (GOOD, NEAR) and not b.marked for b, x in zip(found, labels, strict=True)):
-        return labels
-    return [(NEAR if x == GOOD else x if b.heading else BAD) if b.marked else x for b, x in zip(found, labels, strict=True)]
-
-
-def shifted(block: Block, label: str) -> str:
-    """The label of a block on a page whose articles lead: better inside of one, worse beside them."""
-    if not block.inside:
-        return BRIEF if label == GOOD and not block.marked else BAD
-    if block.outside or (block.marked and label != GOOD and not block.heading):
-        return OUT
-    if block.marked and label == GOOD:
-        return NEAR
-    if label in (GOOD, NEAR):
-        return GOOD
-    links = block.linked / len(block.text)
-    if links > LINKS:
-        # Lists of links are none of it; main holds such lists more often than an article does.
-        return OUT if block.inside == MAIN or (links > 0.8 and len(block.text) < LONG) else BRIEF
-    return NEAR if block.inside == ARTICLE else BRIEF
+def first_pass(found: list[Block]) -> list[str]:
+    """The label of each block; OUT for what stands within a leading article and is clearly none of it."""
+    scores = [content(b, d) for b, d in zip(found, densities(found), strict=True)]
+    leads = article_leads(found, scores)
+    # A form or names around all the text of a page tell nothing, so they only count beside other text.
+    plain = [b for b, x in zip(found, scores, strict=True) if b.outside in (False, FORM) and (x > 0 or (leads and b.inside > 0 and not b.links))]
+    forms = any(not b.outside for b in plain)
+    names = any(not b.marked for b in plain if not (forms and b.outside))
+    out = []
+    for block, score in zip(found, scores, strict=True):
+        outside = block.outside in (True, HEADER) or (block.outside == FORM and forms)
+        if outside:
+            score -= BOILERPLATE
+        if block.marked and names and not block.heading:
+            score -= NAMED
+        if leads:
+            score += block.inside if block.inside > 0 else -BESIDE
+        told = label(score)
+        out.append(OUT if told == BAD and leads and block.inside > 0 and (outside or block.marked) else told)
+    return out
 
 
 def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
     """Whether each block is kept. Ambiguous ones take the label that both nearest decided neighbours have; between a
-    good and a bad one (or the page's end), near-good blocks are kept, headings go with what follows, the others with
-    the nearer of the two, or the one before."""
+    good and a bad one (or the page's end), near-good blocks are kept and weak ones dropped, headings go with what
+    follows, the others with the nearer of the two, or the one before. Without any good block the near ones are kept."""
     before, gap = [], (BAD, len(labels) + 1)
     for x in labels:
         gap = (gap[0], gap[1] + 1)
@@ -233,8 +275,8 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
             keep.append(x == GOOD)
         elif a == b:
             keep.append(a == GOOD or (x == NEAR and GOOD not in labels))
-        elif x == NEAR:
-            keep.append(True)
+        elif x in (NEAR, WEAK):
+            keep.append(x == NEAR)
         elif heading:
             keep.append(a == GOOD)
         else:
@@ -244,14 +286,7 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
 
 def extract(page: str | None) -> str:
     found = blocks(page or "")
-    labels = [first_pass(b) for b in found]
-    if article_leads(found, labels):
-        labels = [shifted(b, x) for b, x in zip(found, labels, strict=True)]
-        if GOOD not in labels:  # an article of short blocks only
-            labels = [NEAR if x == BRIEF and b.inside else x for b, x in zip(found, labels, strict=True)]
-    else:
-        labels = weighed(found, labels)
-    told = [(b, x) for b, x in zip(found, labels, strict=True) if x != OUT]
+    told = [(b, x) for b, x in zip(found, first_pass(found), strict=True) if x != OUT]
     keep = second_pass([x for _, x in told], [b.heading for b, _ in told])
     return "\n".join(b.text for (b, _), k in zip(told, keep, strict=True) if k)
 

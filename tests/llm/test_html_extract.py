@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 
@@ -114,3 +116,158 @@ def test_second_pass_against_a_plain_search():
 
 def heading_goes_on(heading):
     return heading
+
+
+RUSSIAN = "В начале века город был небольшим, и в нём жили люди, которые не знали, что будет с ними и с их домами. Они работали на реке и на заводе, а по вечерам сидели у огня и говорили о том, что было в их жизни и чего не было. "
+POLISH = "Miasto nie było duże, a ludzie, którzy w nim mieszkali, nie wiedzieli, co się z nimi stanie i co się stanie z ich domami. Pracowali na rzece i w fabryce, a wieczorem siedzieli przy ogniu i mówili o tym, co było w ich życiu i czego nie było. "
+CHINESE = "这座城市历史悠久，许多人在这里生活了一辈子，他们在河边工作，晚上坐在火边谈论过去的日子和将来的打算。后来工厂建成了，年轻人纷纷离开家乡，只有老人还记得从前的街道和桥梁。"
+
+
+@pytest.mark.parametrize("text", [RUSSIAN * 2, POLISH * 2, CHINESE * 3])
+def test_pages_in_other_languages_keep_their_text(text):
+    text = text.strip()
+    menu = "<div><a href=a>Start</a> <a href=b>Kontakt</a></div>"
+    page = f"<body>{menu}<div><p>{text}</p><p>{text}</p></div><div><p>{text}</p></div>{menu}<footer>2024</footer></body>"
+    assert extract(page) == f"{text}\n{text}\n{text}"
+    assert extract(f"<body>{menu}<p>{text}</p></body>") == text
+
+
+def test_cells_and_links_between_paragraphs_stay():
+    text, facts = LONG.strip(), "Population 12,345; area 45 km2; founded 1890; elevation 312 m; postcode 99423; phone 03643"
+    assert extract(f"<body><p>{LONG}</p><table><tr><td>{facts}</td></tr></table><p>{LONG}</p></body>") == f"{text}\n{facts}\n{text}"
+    assert extract(f"<article><p>{LONG}</p><p><a href=a>The whole story of the town</a></p><p>{LONG}</p></article>") == f"{text}\nThe whole story of the town\n{text}"
+
+
+def test_forms_around_a_page():
+    text = LONG.strip()
+    assert extract(f"<body><form><nav><a href=a>Start</a></nav><div><p>{LONG}</p><p>Brief one.</p><p>{LONG}</p></div></form><footer>x</footer></body>") == f"{text}\nBrief one.\n{text}"
+    assert extract(f"<body><p>{LONG}</p><form><p>{LONG}</p></form></body>") == text
+
+
+def test_text_decides_in_and_beside_articles():
+    text, junk = LONG.strip(), "xqz vbn jkl mnp rst vwx qrs tuv wxy zab cde fgh ijk lmn opq rst uvw xyz abc def"
+    links = "<ul><li><a href=a>Other news of the day</a></li><li><a href=b>More of it</a></li></ul>"
+    # Links at the end of an article go, a long text right beside it stays, a short one apart from it goes.
+    assert extract(f"<article><p>{LONG}</p><p>{LONG}</p>{links}</article><footer>no</footer>") == f"{text}\n{text}"
+    assert extract(f"<article><p>{LONG}</p><p>{LONG}</p></article><div>{LONG}</div>") == f"{text}\n{text}\n{text}"
+    assert extract(f"<article><p>{LONG}</p><p>{LONG}</p></article><footer>no</footer><div>Short.</div>") == f"{text}\n{text}"
+    # Noise in main goes, as it does without any.
+    assert extract(f"<main><p>{LONG}</p><p>{LONG}</p><nav>x</nav><ul>{links}</ul><div>{junk}</div></main>") == f"{text}\n{text}"
+
+
+class Plain(HTMLParser):
+    """Blocks of well-formed pages as [text, linked, inside, outside, marked, heading]."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.found, self.text, self.linked, self.link, self.heading = [], [], "", 0, False, False
+
+    def flush(self):
+        words = " ".join(self.text.split())
+        if words:
+            tags = [t for t, _ in self.stack]
+            last = max((i for i, t in enumerate(tags) if t in ("article", "main")), default=-1)
+            names = [n for _, n in self.stack[last + 1 :] if n]  # names around an article say nothing of it
+            inside = 2 if "article" in tags else 1 if "main" in tags else 0
+            self.found.append([words, self.linked, inside, any(t in ("nav", "aside", "footer") for t in tags), bool(names), self.heading])
+        self.text, self.linked, self.heading = "", 0, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = True
+            return
+        self.flush()
+        if tag in ("p", "h2"):
+            self.heading = tag == "h2"
+        else:
+            self.stack.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = False
+            return
+        self.flush()
+        if tag not in ("p", "h2"):
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(data) * self.link
+
+
+def plain_extract(page):
+    """The rules of the operator, one after the other, for English pages without forms; None for pages that are hardly English."""
+    parser = Plain()
+    parser.feed(page)
+    rows = parser.found
+    stops = set(html_extract.STOP_WORDS["en"].split())
+    base, english, all_words = [], 0, 0
+    for text, linked, *_ in rows:
+        words = text.lower().replace(".", "").replace(",", "").split()
+        share = sum(w in stops for w in words) / len(words)
+        if len(text) >= 70 and linked <= 0.33 * len(text):
+            all_words += len(words)
+            english += len(words) * (share >= 0.15)
+        if linked > 0.33 * len(text):
+            base.append(-3)
+        elif len(text) < 70:
+            base.append(0)
+        else:
+            base.append((2 if len(text) > 200 else 1) + (2 if share >= 0.25 else 1 if share >= 0.15 else -2))
+    if 4 * english < all_words:
+        return None
+    weight = Counter()
+    for (text, linked, inside, outside, marked, _), e in zip(rows, base, strict=True):
+        if not outside and not marked and linked <= 0.33 * len(text):
+            weight[inside > 0] += len(text) * (3 if e >= 3 else 2 if e > 0 else 1)
+    leads = weight[True] > 0 and weight[True] >= weight[False]
+    names = any(not r[4] for r, e in zip(rows, base, strict=True) if not r[3] and (e > 0 or (leads and r[2] and e != -3)))
+    kept = []
+    for (text, _, inside, outside, marked, heading), e in zip(rows, base, strict=True):
+        e -= 6 * outside + 4 * (marked and names and not heading)
+        if leads:
+            e += inside if inside else -3
+        if not (e <= -2 and leads and inside and (outside or marked)):
+            kept.append((text, heading, e))
+    out = []
+    for i, (text, heading, e) in enumerate(kept):
+        sides = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(kept) and -2 < kept[j][2] < 3:
+                j += step
+            ends = not 0 <= j < len(kept)
+            sides.append((False if ends else kept[j][2] >= 3, len(kept) + 1 + abs(j - i) if ends else abs(j - i)))
+        (before, far_before), (after, far_after) = sides
+        if e >= 3 or e <= -2:
+            keep = e >= 3
+        elif before == after:
+            keep = before or (e > 0 and all(x[2] < 3 for x in kept))
+        elif e != 0:
+            keep = e > 0
+        else:
+            keep = after if heading else before if far_before <= far_after else after
+        if keep:
+            out.append(text)
+    return "\n".join(out)
+
+
+def test_whole_operator_against_a_plain_version():
+    rng = random.Random(11)
+    texts = [LONG, LONG[:112], "The end of it.", "Brief.", "qx vbn jkl mnp rst " * 5, "qx vbn jkl mnp rst " * 13, "The town of xqz vbn jkl mnp and rst vwx qrs tuv wxy zab cde fgh ijk lmn", "<a href=x>More of the news</a>", "<a href=x>Mail</a> or <a href=y>print it</a>"]
+
+    def element(depth):
+        if depth == 0 or rng.random() < 0.6:
+            tag = rng.choice(["p", "p", "p", "h2"])
+            return f"<{tag}>{rng.choice(texts)}</{tag}>"
+        tag = rng.choice(["div", "div", "section", "article", "main", "nav", "aside", "footer", "div class=sidebar", "section class=comments"])
+        return f"<{tag}>{''.join(element(depth - 1) for _ in range(rng.randrange(1, 5)))}</{tag.split()[0]}>"
+
+    kept = 0
+    for _ in range(1500):
+        page = f"<body><p>{LONG}</p>{''.join(element(3) for _ in range(rng.randrange(1, 7)))}</body>"
+        want = plain_extract(page)
+        if want is not None:
+            assert extract(page) == want, page
+            kept += bool(want)
+    assert kept > 1000
