@@ -11,6 +11,7 @@ up where a document is read; all other words of a document are joined by hash an
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import lru_cache
 
@@ -31,11 +32,14 @@ HEAD = 200_000
 TASK_WORDS, TASK_BYTES = 500_000, 64 << 20
 #: Words, and their bytes, that are handed on or scored at a time; cells (words times characters) of one lattice.
 BLOCK, BLOCK_BYTES, CELLS = 50_000, 8 << 20, 1 << 20
+#: Words of more characters are scored by themselves; characters of such a word whose pieces are looked up at a time.
+LONG_WORD, WINDOW = 256, 1 << 15
 #: Weight of the vocabulary's prior, in pieces.
 PRIOR = 32_000.0
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START = "▁"
+LOG_2 = math.log(2.0)
 
 
 @lru_cache(maxsize=2)
@@ -91,7 +95,10 @@ class Lattice:
         out = np.zeros(len(words))
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by_length.setdefault(len(w) + 1, []).append(i)
+            if len(w) > LONG_WORD:
+                out[i] = self._long(np.frombuffer((START + w).encode("utf-32-le", "surrogatepass"), np.uint32))
+            else:
+                by_length.setdefault(len(w) + 1, []).append(i)
         for n, rows in by_length.items():
             step = max(1, CELLS // n)
             for part in (rows[i : i + step] for i in range(0, len(rows), step)):
@@ -114,17 +121,40 @@ class Lattice:
     def _forward(self, codes: np.ndarray, n: int) -> np.ndarray:
         alpha = np.full((len(codes), n + 1), -np.inf)
         alpha[:, 0] = 0.0
-        # In windows of ends, so that the edges of a very long word are never held at once.
-        window = max(self.longest, CELLS // len(codes))
-        for begin in range(0, n, window):
-            low, high = max(0, begin - self.longest), min(n, begin + window)
-            edges = self._edges(codes[:, low:high])
-            for end in range(begin + 1, high + 1):
-                terms = np.stack([alpha[:, end - k] + edges[k - 1][:, end - k - low] for k in range(1, min(self.longest, end - low) + 1)])
-                best = terms.max(axis=0)
-                alpha[:, end] = best + np.log(np.exp(terms - best).sum(axis=0))
+        edges = self._edges(codes)
+        for end in range(1, n + 1):
+            terms = np.stack([alpha[:, end - k] + edges[k - 1][:, end - k] for k in range(1, min(self.longest, end) + 1)])
+            best = terms.max(axis=0)
+            alpha[:, end] = best + np.log(np.exp(terms - best).sum(axis=0))
         return alpha[:, n]
 
+    def _long(self, codes: np.ndarray) -> float:
+        """The same recursion for one word, with probabilities in place of their logs: each step is one product of a few
+        numbers, and they are scaled by a power of two before they grow small."""
+        m, n = self.longest, len(codes)
+        recent, log = np.zeros(m), 0.0
+        recent[-1] = 1.0
+        for begin in range(0, n, WINDOW):
+            low, high = max(0, begin - m), min(n, begin + WINDOW)
+            # ways[i, j]: the piece that ends behind character begin + i and began m - j characters before.
+            ways = np.zeros((high - begin, m))
+            for k, edge in enumerate(self._edges(codes[None, low:high]), 1):
+                starts = np.arange(max(low, begin + 1 - k), high - k + 1)
+                ways[starts + k - 1 - begin, m - k] = np.exp(edge[0, starts - low])
+            alpha = np.concatenate([recent, np.zeros(high - begin)])
+            for i, way in enumerate(ways):
+                last = alpha[i : i + m]
+                alpha[i + m] = now = way.dot(last)
+                if now < 1e-100:
+                    # The least exponent that brings the largest number in use near one.
+                    used = alpha[i + 1 : i + m + 1]
+                    shift = math.frexp(used.max())[1]
+                    used[:] = np.ldexp(used, -shift)
+                    log += shift * LOG_2
+            recent = alpha[-m:]
+        with np.errstate(divide="ignore"):
+            return log + float(np.log(recent[-1]))
+
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word (bytes), n: how often each word of ``docs`` stands in rows where ``learn`` is true (0 for words of others only)."""

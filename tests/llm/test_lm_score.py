@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -91,11 +92,25 @@ def test_words_that_share_a_hash_stay_apart(spark, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
-def test_long_words_go_through_the_lattice_in_windows(monkeypatch):
+def test_long_words_are_scored_alone(monkeypatch):
     rng = random.Random(8)
     model = lm_score.processor(PATH)
     lattice = lm_score.Lattice(PATH, np.array([-5.0 - (i % 11) for i in range(model.get_piece_size())]))
-    words = ["".join(rng.choice("abcdeéß中") for _ in range(n)) for n in (1, 2, 5, 40, 40, 300, 1000)]
-    whole = lattice.log_probs(words)
-    monkeypatch.setattr(lm_score, "CELLS", 64)
-    assert lattice.log_probs(words) == pytest.approx(whole, rel=1e-12)
+    words = ["".join(rng.choice("abcdeéß中🙂") for _ in range(n)) for n in (1, 2, 5, 40, 40, 300, 1000)] + ["the" * 400, "=" * 700, "𝔘" * 300]
+    monkeypatch.setattr(lm_score, "LONG_WORD", 10_000)
+    rows = lattice.log_probs(words)
+    monkeypatch.setattr(lm_score, "LONG_WORD", 0)
+    for window in (1, 7, 64, 1 << 15):
+        monkeypatch.setattr(lm_score, "WINDOW", window)
+        assert lattice.log_probs(words) == pytest.approx(rows, rel=1e-11)
+
+
+def test_a_word_of_many_characters_takes_seconds():
+    rng = np.random.default_rng(9)
+    model = lm_score.processor(PATH)
+    lattice = lm_score.Lattice(PATH, np.array([-5.0 - (i % 11) for i in range(model.get_piece_size())]))
+    word = "".join(map(chr, rng.integers(97, 123, 600_000)))
+    began = time.process_time()
+    found = lattice.log_probs([word])[0]
+    assert time.process_time() - began < 15
+    assert np.isfinite(found) and found < -600_000
