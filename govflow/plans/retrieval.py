@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from govflow.operators import retrieval
+from govflow.operators import bm25, cells, retrieval
 
 QUERIES, ORACLE = {}, {}
 
@@ -46,6 +46,27 @@ def keyword_scores(t):
     return scores.withColumn("kw_score", F.round("kw_score", 4))
 
 
+BM25 = r"""
+    words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[一-鿿]|[^\x00-\x2F\x3A-\x60\x7B-\x7F一-鿿]+')) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+    len AS (SELECT d.doc_id, coalesce(n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM words GROUP BY 1) USING (doc_id)),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id::BIGINT AS query_id, unnest(regexp_extract_all(lower(text), '[一-鿿]|[^\x00-\x2F\x3A-\x60\x7B-\x7F一-鿿]+')) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY 1, 2),
+    score AS (SELECT query_id, doc_id, round(sum(times * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM len)))), 9) AS score FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc_id) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {BM25} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank, doc_id::VARCHAR AS chunk_key, round(score, 6) AS score FROM score QUALIFY rank <= 10")
+def bm25_topk(t):
+    return bm25.search(bm25.build(texts(t)), asked(t), 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {BM25} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank, doc_id::VARCHAR AS chunk_key, round(score, 6) AS score FROM score JOIN documents USING (doc_id) WHERE lang IN ('de', 'fr') QUALIFY rank <= 10")
+def bm25_in_scope(t):
+    """Only documents of two languages are found; the scores are those of the whole index."""
+    rows = t("documents").select(F.col("doc_id").cast("string").alias("chunk_key"), F.struct("doc_id", "lang").alias("doc_id"), "text")
+    return bm25.search(bm25.build(rows), asked(t), 10, F.col("doc_id.lang").isin("de", "fr")).withColumn("score", F.round("score", 6))
+
+
 VECTOR = """
     vec AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_key, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS vec_score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q),
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_score DESC, chunk_key) AS rank FROM vec) WHERE rank <= 10)"""
@@ -79,6 +100,22 @@ def scope_filtered_search(t):
     return best.select("query_id", "chunk_key", F.col("rank").cast("long").alias("rank"), F.round("vec_score", 4).alias("vec_score"))
 
 
+@query()
+def cell_search(t):
+    """Approximate: labels in scope, queries by id, cells as fitted."""
+    found = cells.search(cells.build(vectors(t)), vector_queries(t), 10, F.col("label").isin(1, 3, 4))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_key", F.round("vec_score", 4).alias("vec_score"))
+
+
+@query(f"WITH {VECTOR} SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS reached FROM top")
+def cell_recall(t):
+    """Whether nine of ten neighbours of the queries, found exactly over all rows, are found through the cells."""
+    exact = retrieval.vector_top_k(vectors(t), vector_queries(t), 10)
+    found = cells.search(cells.build(vectors(t)), vector_queries(t), 10).select("query_id", "chunk_key", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "chunk_key"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
 FUSED = f"""{KEYWORD}, near AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_key, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS vec_score FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT query_id FROM asked)),
     v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_score DESC, chunk_key) AS r FROM near),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_score DESC, chunk_key) AS r FROM kw WHERE kw_score > 0),
