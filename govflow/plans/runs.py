@@ -12,6 +12,7 @@ from govflow.plans import details
 from govflow.plans import tasks as T
 from govflow.plans import texts
 from govflow.sources import documents as store
+from govflow.sources import keyed
 from govflow.streaming import tasks as streaming
 from govflow.views import Portfolio, oracle
 
@@ -236,6 +237,41 @@ def remaining_documents(p):
     return store.without(rows, p.table("events").select(F.col("user_id").alias("doc_id")), "doc_id")
 
 
+KEPT = "kept AS (SELECT doc_id, CASE WHEN c.version >= 1 THEN c.version ELSE 1 END AS version, CASE WHEN c.version >= 1 THEN 'new' ELSE 'old' END AS value FROM documents LEFT JOIN changed c USING (doc_id))"
+
+
+def changed_store(p):
+    """A keyed store after an upsert and a deletion."""
+    k = F.col("doc_id")
+    table = p.table("documents").select(k, F.lit(1).cast("long").alias("version"), F.lit("old").alias("value"))
+    kept = keyed.KeyedStore.create(table, new_path(p.spark, "keyed"), "doc_id", "version")
+    kept.upsert(p.table("documents").where("doc_id % 2 = 0").select(k, (2 - k % 3).alias("version"), F.lit("new").alias("value")))
+    kept.delete(p.table("documents").where("doc_id % 5 = 0").select(k))
+    return kept
+
+
+@query("", "SELECT * FROM kept WHERE doc_id % 5 > 0", f"{CHANGED}, {KEPT}")
+def keyed_documents(p):
+    return changed_store(p).read()
+
+
+@query("", "SELECT * FROM kept WHERE doc_id % 5 > 0 AND doc_id % 7 = 0", f"{CHANGED}, {KEPT}")
+def keyed_lookup(p):
+    """Rows by key, from the buckets of the keys."""
+    return changed_store(p).get(p.table("documents").where("doc_id % 7 = 0").select("doc_id"))
+
+
+@query("", "SELECT doc_id, 2 AS round, n_chars FROM documents WHERE doc_id % 3 > 0")
+def replaced_documents(p):
+    """A document store read back after two writes: the second is what it holds."""
+    path = new_path(p.spark, "versions")
+    rows = p.table("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.array(F.struct(F.lit(1).alias("page_no"), F.col("n_chars").cast("int").alias("chars"))).alias("pages"))
+    store.write_documents(rows, path)
+    store.write_documents(rows.where("doc_id % 3 > 0").withColumn("filename", F.lit("2")), path)
+    found = store.read_json_documents(p.spark, path, lines=True)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("filename").cast("int").alias("round"), F.col("pages")[0]["chars"].cast("long").alias("n_chars"))
+
+
 @query("", "SELECT type, max(revision) + 1 AS revision FROM art GROUP BY 1", ARTIFACTS)
 def next_revisions(p):
     return store.next_revision(artifacts(p), "type")

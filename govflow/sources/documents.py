@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .versions import Folder
+
 PAGE = "struct<page_no:int,text:string,confidence:double,source:string,chars:int,tables:int,seals:int,blocks:array<struct<label:string,bbox:array<double>>>,error:string,note:string>"
 DOCUMENT = f"doc_id string, filename string, pages array<{PAGE}>, stages map<string,double>, checks array<map<string,string>>, notes array<string>, _corrupt_record string"
 
 
 def read_json_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Documents of a folder of JSON files, one document each, or, with ``lines``, one a line, as ``write_documents`` leaves
-    them; what can't be parsed is left out."""
+    """Documents of a folder of JSON files, one document each, or, with ``lines``, one a line; of a store that
+    ``write_documents`` keeps, those of its newest version. What can't be parsed is left out."""
+    path = Folder(spark, path).data() or path
     rows = spark.read.schema(DOCUMENT).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     return rows.where("_corrupt_record is null and doc_id is not null").drop("_corrupt_record")
 
@@ -21,9 +26,20 @@ def document_pages(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "filename", F.explode("pages").alias("p")).select("doc_id", "filename", F.col("p.page_no").cast("long").alias("page_no"), "p.text", "p.source", "p.error")
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """Replace the store by files of a document a line; Spark's committer shows them only once all are written."""
-    documents.write.mode("overwrite").json(path)
+def documents_by_id(spark: SparkSession, path: str, ids: list[str]) -> DataFrame:
+    """doc_id and document of each given id in a folder of files ``<doc_id>.json``: null where the file can't be parsed, no
+    row where there is none. The names select files before any is opened."""
+    names = [f"{i}.json" for i in ids]
+    rows = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    mine = rows.where(F.col("_metadata.file_name").isin(names)).select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("name"), "*")
+    whole = F.col("_corrupt_record").isNull() & F.col("doc_id").isNotNull()
+    return mine.select(F.col("name").alias("doc_id"), F.when(whole, F.struct("filename", "pages", "stages", "checks", "notes")).alias("document"))
+
+
+def write_documents(documents: DataFrame, path: str) -> int:
+    """Replace the store's documents, one a line, and the number of the version: a folder of its own, which readers see
+    once it is whole. A write that fails leaves the version before."""
+    return Folder(documents.sparkSession, path).replace(documents.write.json)
 
 
 def read_vectors(spark: SparkSession, path: str, keys: DataFrame | None = None, **revisions) -> DataFrame:
@@ -47,9 +63,10 @@ def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def upserted(table: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
     """``table`` with ``changes`` applied: for each key the row of the largest version, changes before old rows."""
-    both = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version), F.desc("_new")))
-    return both.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_new")
+    new, place = (f"{kind}_{uuid.uuid4().hex}" for kind in ("new", "place"))  # names that no table has
+    both = table.withColumn(new, F.lit(0)).unionByName(changes.withColumn(new, F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version), F.desc(new)))
+    return both.withColumn(place, rank).where(F.col(place) == 1).drop(place, new)
 
 
 def without(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -73,9 +90,13 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Replace a snapshot of expected figures, one JSON object a row."""
-    rows.write.mode("overwrite").json(path)
+def write_snapshot(rows: DataFrame, path: str) -> int:
+    """Replace a snapshot of expected figures, one JSON object a row, all at once (see ``write_documents``)."""
+    return Folder(rows.sparkSession, path).replace(rows.write.json)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(Folder(spark, path).data())
 
 
 def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
