@@ -69,6 +69,40 @@ def on_cycle(projects: DataFrame) -> DataFrame:
         left = pairs.count()
 
 
+def rolled_up(rows: DataFrame, amount: str = "amount") -> DataFrame:
+    """id, amount of a forest (id, parent_id, amount): a leaf has its own, any other row the sum of all leaves below it and
+    nothing of its own. An id on a cycle has no sum (null); what hangs below it has. Parents that are no row are none.
+
+    Pointer doubling: after round k a row holds its leaves at a distance below 2 ** k, and points to its ancestor at that
+    distance, to which it adds what it holds. So a tree of a thousand levels takes ten rounds, and a row's sums move once
+    a round. An id has one row.
+    """
+    edges = durable(rows.select("id", "parent_id", F.col(amount).alias("own")), "forest")
+    inner = edges.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().select("id", F.lit(True).alias("inner"))
+    held = F.when(F.col("inner"), F.lit(0)).otherwise(F.coalesce("own", F.lit(0))).cast("decimal(38,2)")
+    start = edges.join(inner, "id", "left").select("id", F.col("parent_id").alias("up"), held.alias("held"), F.lit(False).alias("cyclic"))
+    state = _doubled(start, edges.count())
+    if state is None:  # there are cycles; their ids pass nothing on
+        known = edges.select(F.col("id").alias("parent_id"))
+        cyclic = on_cycle(edges.join(known, "parent_id", "left_semi").select("id", "parent_id")).select("id", F.lit(True).alias("found"))
+        cut = start.join(durable(cyclic, "cyclic"), "id", "left")
+        state = _doubled(cut.select("id", F.when(F.col("found").isNull(), F.col("up")).alias("up"), "held", F.coalesce("found", F.lit(False)).alias("cyclic")), edges.count())
+    return state.select("id", F.when(~F.col("cyclic"), F.col("held")).alias(amount))
+
+
+def _doubled(state: DataFrame, rows: int) -> DataFrame | None:
+    """(id, up, held, cyclic) once no row points any further; None if some do after as many rounds as ``rows`` can need."""
+    state = durable(state, "rolled")
+    for _ in range(max(1, rows).bit_length() + 1):
+        if not state.where("up is not null").limit(1).count():
+            return state
+        arriving = state.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("held").alias("more"))
+        onward = state.select(F.col("id").alias("up"), F.col("up").alias("further"))
+        moved = state.join(arriving, "id", "left").join(onward, "up", "left")
+        state = durable(moved.select("id", F.col("further").alias("up"), (F.col("held") + F.coalesce("more", F.lit(0))).cast("decimal(38,2)").alias("held"), "cyclic"), "rolled")
+    return None if state.where("up is not null").limit(1).count() else state
+
+
 def primary_contract(links: DataFrame, contracts: DataFrame) -> DataFrame:
     """project_id, contract_id: the first MAIN contract by id, else the lowest id."""
     rows = links.join(contracts.select(F.col("id").alias("contract_id"), "contract_type"), "contract_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hierarchy import visible_contracts
+from .hierarchy import rolled_up, visible_contracts
 from .stats import RESULT, money
 
 
@@ -25,27 +25,34 @@ def overall_progress(phases: DataFrame) -> DataFrame:
 
 
 def _rolled_up(projects: DataFrame, own: DataFrame, name: str) -> DataFrame:
-    """id, amount: containers have the sum of their children (their own amount doesn't count), others their own."""
-    rows = projects.select("id", "parent_id").join(own, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    children = rows.where("parent_id is not null").groupBy(F.col("parent_id").alias("_parent")).agg(F.sum(name).alias("_sum"))
-    joined = rows.join(children, rows["id"] == F.col("_parent"), "left")
-    return joined.select("id", F.coalesce("_sum", name).cast(RESULT).alias(name))
+    """id, amount: containers have the sum of all leaves below them (their own amount doesn't count), others their own."""
+    rows = projects.select("id", "parent_id").join(own, "id", "left")
+    return rolled_up(rows, name).select("id", F.col(name).cast(RESULT).alias(name))
 
 
-def contract_amounts(projects: DataFrame, contracts: DataFrame) -> DataFrame:
-    """id, contract_amount: of the primary contract with its change, else of the project's own columns; containers sum."""
-    primary = contracts.select(F.col("id").alias("contract_id"), (F.coalesce("contract_amount", F.lit(0)) + F.coalesce("change_amount", F.lit(0))).alias("_of_contract"))
-    own = (F.coalesce("contract_amount", F.lit(0)) + F.coalesce("change_amount", F.lit(0))).alias("_own")
-    rows = projects.select("id", "contract_id", own).join(primary, "contract_id", "left")
-    return _rolled_up(projects, rows.select("id", F.coalesce("_of_contract", "_own").alias("contract_amount")), "contract_amount")
+def contract_amounts(projects: DataFrame, contracts: DataFrame, with_changes: bool = True) -> DataFrame:
+    """id, contract_amount: of the primary contract, with its change or without, else of the project's own columns;
+    containers sum the leaves below them, over any number of levels, and a project on a cycle has null."""
+    amount = F.coalesce("contract_amount", F.lit(0)) + (F.coalesce("change_amount", F.lit(0)) if with_changes else F.lit(0))
+    primary = contracts.select(F.col("id").alias("contract_id"), amount.alias("of_contract"))
+    rows = projects.select("id", "contract_id", amount.alias("of_project")).join(primary, "contract_id", "left")
+    return _rolled_up(projects, rows.select("id", F.coalesce("of_contract", "of_project").alias("contract_amount")), "contract_amount")
 
 
 def paid_amounts(projects: DataFrame, payments: DataFrame) -> DataFrame:
-    """id, paid_amount: of the project's own payments; containers sum their children and ignore their own."""
+    """id, paid_amount: of a leaf's own payments; containers sum the leaves below them and ignore their own."""
     own = payments.where("project_id is not null").groupBy(F.col("project_id").alias("id")).agg(money("paid_amount").alias("paid_amount"))
     return _rolled_up(projects, own, "paid_amount")
 
 
+def phase_lists(projects: DataFrame, phases: DataFrame) -> DataFrame:
+    """id, phases of every project: its phases in order (sort_no, then id), each with its id, name, status and percent; an empty
+    list where there are none."""
+    held = phases.groupBy(F.col("project_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("sort_no", F.col("id").alias("phase_id"), "phase_name", "status", "percent"))).alias("phases"))
+    none = F.array().cast(dict(held.dtypes)["phases"])
+    return projects.select("id").join(held, "id", "left").select("id", F.coalesce("phases", none).alias("phases"))
+
+
 def phase_attachments(phases: DataFrame, attachments: DataFrame) -> DataFrame:
     """phase_id, project_id, n: attachments of each phase, 0 where there are none."""
     held = attachments.where("biz_type = 'PROJECT_PHASE'").groupBy(F.col("biz_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))

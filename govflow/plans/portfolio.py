@@ -20,7 +20,7 @@ def query(views: str, sql: str, more: str = ""):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Portfolio(spark, sf_dir))
         if sql:
-            ORACLE[f.__name__] = oracle(views, sql, more)
+            ORACLE[f.__name__] = oracle(views, sql, more) if views else f"WITH {more} {sql}"
         return f
 
     return add
@@ -140,6 +140,34 @@ def paid_rollup(p):
     return metrics.paid_amounts(p.projects, p.payments)
 
 
+@query("projects contracts", rolled("own_base", "contract_amount"), "own_base AS (SELECT p.id, p.parent_id, coalesce(c.contract_amount, p.contract_amount, 0) AS amount FROM projects p LEFT JOIN contracts c ON c.id = p.contract_id)")
+def contract_amount_base(p):
+    """Without changes."""
+    return metrics.contract_amounts(p.projects, p.contracts, with_changes=False)
+
+
+#: Trees of some levels over the customers, a cycle of three, and its descendants.
+DEEP = """tree AS (SELECT c_custkey AS id, CASE c_custkey WHEN 3 THEN 21 WHEN 21 THEN 150 WHEN 150 THEN 3 ELSE nullif(c_custkey // 5, 0) END AS parent_id, c_acctbal::DECIMAL(18,2) AS amount FROM customer),
+    above AS (SELECT id, parent_id AS anc FROM tree WHERE parent_id IS NOT NULL UNION SELECT a.id, t.parent_id FROM above a JOIN tree t ON t.id = a.anc WHERE t.parent_id IS NOT NULL),
+    ends AS (SELECT id, amount FROM tree WHERE id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL))"""
+
+
+@query("", """SELECT t.id, CASE WHEN EXISTS (SELECT 1 FROM above a WHERE a.id = t.id AND a.anc = t.id) THEN NULL ELSE coalesce(e.amount, s.total, 0) END::DECIMAL(18,2) AS amount
+    FROM tree t LEFT JOIN ends e USING (id) LEFT JOIN (SELECT anc AS id, sum(amount) AS total FROM above JOIN ends USING (id) GROUP BY 1) s USING (id)""", f"RECURSIVE {DEEP}")
+def deep_rollup(p):
+    k = F.col("c_custkey")
+    parent = F.when(k == 3, 21).when(k == 21, 150).when(k == 150, 3).otherwise(F.nullif(F.floor(k / 5), F.lit(0)))
+    rows = p.table("customer").select(k.alias("id"), parent.cast("long").alias("parent_id"), F.col("c_acctbal").cast("decimal(18,2)").alias("amount"))
+    return hierarchy.rolled_up(rows).select("id", F.col("amount").cast("decimal(18,2)").alias("amount"))
+
+
+@query("projects phases", "SELECT p.id, coalesce(string_agg(f.id || ':' || f.status || ':' || f.percent, ',' ORDER BY sort_no, f.id), '') AS phases FROM projects p LEFT JOIN phases f ON f.project_id = p.id GROUP BY 1")
+def project_phases(p):
+    """Each project's ordered list of phases, written out."""
+    told = F.transform("phases", lambda f: F.concat_ws(":", f["phase_id"].cast("string"), f["status"], f["percent"].cast("string")))
+    return metrics.phase_lists(p.projects, p.phases).select("id", F.array_join(told, ",").alias("phases"))
+
+
 ATTACHED = "held AS (SELECT phases.id AS phase_id, project_id, count(a.id) AS n FROM phases LEFT JOIN attachments a ON a.biz_type = 'PROJECT_PHASE' AND a.biz_id = phases.id GROUP BY 1, 2)"
 
 
