@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govflow.functions import text as X
-from govflow.operators import documents, runs, tasks
+from govflow.operators import concurrency, documents, runs, tasks
 from govflow.operators.durable import new_path
 from govflow.plans import details
 from govflow.plans import tasks as T
@@ -272,6 +272,40 @@ def replaced_documents(p):
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("filename").cast("int").alias("round"), F.col("pages")[0]["chars"].cast("long").alias("n_chars"))
 
 
+#: Every event as a call that lasts as many minutes as its value says; each seventh goes on.
+CALLS = "calls AS (SELECT event_type AS model, floor(epoch(ts))::BIGINT AS begin, CASE WHEN event_id % 7 > 0 THEN floor(epoch(ts))::BIGINT + floor(abs(value) * 60)::BIGINT END AS stop FROM events)"
+SWEPT = """steps AS (SELECT model, t, sum(d) AS d FROM (SELECT model, begin AS t, 1 AS d FROM calls WHERE stop IS NULL OR stop > begin UNION ALL SELECT model, stop, -1 FROM calls WHERE stop > begin) GROUP BY 1, 2),
+    level AS (SELECT model, t, sum(d) OVER (PARTITION BY model ORDER BY t) AS n FROM steps), middle AS (SELECT (min(begin) + max(begin)) // 2 AS now FROM calls)"""
+
+
+def began(p):
+    return p.table("events").withColumn("begin", F.unix_timestamp(F.col("ts").cast("timestamp")))
+
+
+@query("", "SELECT model, max(n)::BIGINT AS peak, min(t) FILTER (n = top)::BIGINT AS peak_at, coalesce(arg_max(n, t) FILTER (t <= (SELECT now FROM middle)), 0)::BIGINT AS current FROM (SELECT *, max(n) OVER (PARTITION BY model) AS top FROM level) GROUP BY 1", f"{CALLS}, {SWEPT}")
+def requests_in_flight(p):
+    rows = began(p)
+    now = rows.agg(F.floor((F.min("begin") + F.max("begin")) / 2)).first()[0]
+    calls = rows.select(F.col("event_type").alias("model"), "begin", F.when(F.col("event_id") % 7 > 0, F.col("begin") + F.floor(F.abs("value") * 60)).alias("end"))
+    return concurrency.gauges(calls, "model", float(now or 0)).withColumn("peak_at", F.col("peak_at").cast("long"))
+
+
+GATED = """req AS (SELECT event_id % 20 AS project, floor(epoch(ts))::BIGINT AS queued, floor(epoch(ts))::BIGINT + event_id % 90 AS admitted, floor(epoch(ts))::BIGINT + event_id % 90 + floor(abs(value) * 60)::BIGINT AS finished, CASE WHEN event_id % 11 = 0 THEN 'full' WHEN event_id % 13 = 0 THEN 'timeout' END AS rejected FROM events),
+    open AS (SELECT 'q' AS what, project, queued AS b, CASE WHEN rejected IS NULL THEN admitted ELSE finished END AS e FROM req UNION ALL SELECT 'f', project, admitted, finished FROM req WHERE rejected IS NULL),
+    level AS (SELECT what, project, t, sum(sum(d)) OVER (PARTITION BY what, project ORDER BY t) AS n FROM (SELECT what, project, b AS t, 1 AS d FROM open WHERE e IS NULL OR e > b UNION ALL SELECT what, project, e, -1 FROM open WHERE e > b) GROUP BY 1, 2, 3),
+    gauge AS (SELECT project, max(n) FILTER (what = 'q') AS mq, max(n) FILTER (what = 'f') AS mf, arg_max(n, t) FILTER (what = 'q' AND t <= m) AS q, arg_max(n, t) FILTER (what = 'f' AND t <= m) AS f FROM level, (SELECT (min(queued) + max(queued)) // 2 AS m FROM req) GROUP BY 1),
+    refused AS (SELECT project, string_agg(rejected || '=' || n, ',' ORDER BY rejected) AS rejections FROM (SELECT project, rejected, count(*) AS n FROM req WHERE rejected IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("", "SELECT project, coalesce(q, 0)::BIGINT AS depth, coalesce(mq, 0)::BIGINT AS most_depth, coalesce(f, 0)::BIGINT AS in_flight, coalesce(mf, 0)::BIGINT AS most_in_flight, coalesce(rejections, '') AS rejections FROM (SELECT DISTINCT project FROM req) LEFT JOIN gauge USING (project) LEFT JOIN refused USING (project)", GATED)
+def gate_gauges(p):
+    rows, k = began(p), F.col("event_id")
+    now = rows.agg(F.floor((F.min("begin") + F.max("begin")) / 2)).first()[0]
+    admitted = F.col("begin") + k % 90
+    requests = rows.select((k % 20).alias("project"), F.col("begin").alias("queued"), admitted.alias("admitted"), (admitted + F.floor(F.abs("value") * 60)).alias("finished"), F.when(k % 11 == 0, "full").when(k % 13 == 0, "timeout").alias("rejected"))
+    return concurrency.gate(requests, "project", float(now or 0))
+
+
 @query("", "SELECT type, max(revision) + 1 AS revision FROM art GROUP BY 1", ARTIFACTS)
 def next_revisions(p):
     return store.next_revision(artifacts(p), "type")
