@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .durable import new_path
 from .hierarchy import ancestors, leaves
 from .stats import OPEN
 
@@ -71,19 +74,66 @@ def project_filter(keyword: str = "", statuses: str = "", years: str = "", owner
     return where
 
 
+class Pages:
+    """The pages of ``rows`` in a total order. Rows are dealt to ranges of the order, each a folder, and counted there; a page
+    reads and sorts only the range that holds it (or the few that do), and the counts tell the total."""
+
+    def __init__(self, rows: DataFrame, order: list):
+        self.spark, self.order, self.part, self.schema = rows.sparkSession, order, f"part_{uuid.uuid4().hex}", rows.schema
+        self.path = new_path(self.spark, "pages")
+        rows.repartitionByRange(*order).withColumn(self.part, F.spark_partition_id()).write.partitionBy(self.part).parquet(self.path)
+        self.counts = sorted(map(tuple, self._read().groupBy(self.part).count().collect()))
+        self.total = sum(n for _, n in self.counts)
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField(self.part, IntegerType())])).parquet(self.path)
+
+    def page(self, page: int, size: int) -> DataFrame:
+        """Page ``page`` (from 1), each row with the total number of rows."""
+        first, before, skipped, held = (page - 1) * size, 0, 0, []
+        for part, n in self.counts:
+            if before + n > first and before < first + size:
+                skipped = before if not held else skipped
+                held.append(part)
+            before += n
+        rows = self._read().where(F.col(self.part).isin(held) if held else F.lit(False)).drop(self.part)
+        return rows.orderBy(*self.order).offset(first - skipped if held else 0).limit(size).withColumn("total", F.lit(self.total).cast("long"))
+
+
 def page_of(rows: DataFrame, order: list, page: int = 1, size: int = DEFAULT_LIMIT, most: int = MOST) -> DataFrame:
     """One page (from 1) of ``rows`` in a total order, each row with the total number of rows."""
-    size, page = max(1, min(size, most)), max(1, page)
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return rows.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(total)
+    return Pages(rows, order).page(max(1, page), max(1, min(size, most)))
+
+
+def rows_after(rows: DataFrame, order: list[tuple[str, bool]], last: dict | None, size: int = DEFAULT_LIMIT, most: int = MOST) -> DataFrame:
+    """The ``size`` rows behind the row ``last`` (its values by column; None: the first rows) in a total order of (column,
+    descending), nulls last: the next page without counting or skipping the ones before."""
+    behind, same = F.lit(last is None), F.lit(True)
+    for column, descending in order if last is not None else []:
+        value, c = last[column], F.col(column)
+        if value is not None:
+            behind = behind | (same & (c.isNull() | (c < F.lit(value) if descending else c > F.lit(value))))
+        same = same & c.eqNullSafe(F.lit(value))
+    by = [F.desc_nulls_last(c) if descending else F.asc_nulls_last(c) for c, descending in order]
+    return rows.where(F.coalesce(behind, F.lit(False))).orderBy(*by).limit(max(1, min(size, most)))
+
+
+def top_level(projects: DataFrame, where: Column) -> DataFrame:
+    """Top-level projects under a condition, with the number of their children."""
+    parent = f"parent_{uuid.uuid4().hex}"
+    children = projects.where("parent_id is not null").groupBy(F.col("parent_id").alias(parent)).agg(F.count(F.lit(1)).alias("children"))
+    rows = projects.where("parent_id is null").where(where).join(children, F.col("id") == F.col(parent), "left")
+    return rows.select("id", "code", "name", "status", "create_time", F.coalesce("children", F.lit(0)).cast("long").alias("children"))
 
 
 def project_page(projects: DataFrame, where: Column, page: int, size: int) -> DataFrame:
     """Top-level projects with the number of their children, newest first."""
-    children = projects.where("parent_id is not null").groupBy(F.col("parent_id").alias("_parent")).agg(F.count(F.lit(1)).alias("children"))
-    rows = projects.where("parent_id is null").where(where).join(children, F.col("id") == F.col("_parent"), "left")
-    rows = rows.select("id", "code", "name", "status", "create_time", F.coalesce("children", F.lit(0)).cast("long").alias("children"))
-    return page_of(rows, [F.desc_nulls_last("create_time"), "id"], page, size).drop("create_time")
+    return page_of(top_level(projects, where), [F.desc_nulls_last("create_time"), "id"], page, size).drop("create_time")
+
+
+def project_page_after(projects: DataFrame, where: Column, last: dict | None, size: int) -> DataFrame:
+    """The projects that follow the row ``last`` (create_time, id) of a page of ``project_page``."""
+    return rows_after(top_level(projects, where), [("create_time", True), ("id", False)], last, size)
 
 
 def in_days(column: str, begin: str, end: str) -> Column:

@@ -256,6 +256,19 @@ def project_page(p):
     return lists.project_page(p.projects, lists.project_filter("A", "RUN, DONE,,", "x"), 2, 5)
 
 
+@query("projects", "SELECT id, code, name, status, (SELECT count(*) FROM projects c WHERE c.parent_id = p.id) AS children, (SELECT count(*) FROM projects WHERE parent_id IS NULL) AS total FROM projects p WHERE parent_id IS NULL ORDER BY create_time DESC NULLS LAST, id LIMIT 10 OFFSET 60")
+def project_page_middle(p):
+    """A page in the middle of all top-level projects: only the range that holds it is sorted."""
+    return lists.project_page(p.projects, F.lit(True), 7, 10)
+
+
+@query("projects", "SELECT id, code, name, status, create_time, (SELECT count(*) FROM projects c WHERE c.parent_id = p.id) AS children FROM projects p WHERE parent_id IS NULL ORDER BY create_time DESC NULLS LAST, id LIMIT 10 OFFSET 10")
+def project_page_next(p):
+    """The page behind the tenth project, found by its values."""
+    first = lists.project_page_after(p.projects, F.lit(True), None, 10).collect()
+    return lists.project_page_after(p.projects, F.lit(True), first[-1].asDict() if first else None, 10)
+
+
 @query("projects", "SELECT id, name FROM projects WHERE year(approve_date) IN (1995, 1997) AND type = 'HW' AND owner_unit = 'BUILDING'")
 def project_years(p):
     return p.projects.where(lists.project_filter(years="1995,abc,1997,", owner_unit=" BUILDING ") & lists.in_csv("type", "HW")).select("id", "name")
