@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from govflow.operators import chunking, documents, hierarchy, lists
+from govflow.operators import chunking, documents, hierarchy, judging, lists
 from govflow.operators.stats import RESULT, money
 from govflow.plans import tasks as T
 from govflow.plans import texts
@@ -133,6 +133,45 @@ def answer_rates(p):
     return documents.answer_rates(p.table("conversations").select(F.col("role").alias("kind"), number.alias("expected"), answer.alias("answer"), (F.col("turn") % 3).alias("cited")))
 
 
+PLAIN = r"regexp_replace(regexp_replace(regexp_replace({0}, '[\s\x{{a0}}\x{{2000}}-\x{{200b}}\x{{3000}}]', '', 'g'), '[，,]([0-9]{{3}})($|[^0-9])', '\1\2', 'g'), '([0-9])[元个条份项次户人页天%％]', '\1', 'g')"
+GROUPS = rf"""said AS (SELECT conv_id, turn, {PLAIN.format("text")} AS hay FROM conversations),
+    groups AS (SELECT item_id AS group_id, list_distinct(string_split(lower(text), ' ')[1:2]) AS tokens FROM benchmark),
+    token AS (SELECT group_id, len(tokens) AS n, unnest(tokens) AS token FROM groups),
+    hits AS (SELECT conv_id, turn, group_id FROM said JOIN token ON CASE WHEN regexp_full_match(token, '[0-9]+') THEN regexp_matches(hay, '(^|[^A-Za-z0-9])' || token || '($|[^0-9,]|,($|[^0-9]))') ELSE contains(hay, regexp_replace(token, '\s', '', 'g')) END GROUP BY conv_id, turn, group_id, n HAVING count(*) = n)"""
+
+
+@query("", "SELECT conv_id, turn, count(group_id) AS groups, coalesce(min(group_id), -1) AS least FROM said LEFT JOIN hits USING (conv_id, turn) GROUP BY 1, 2", GROUPS)
+def token_groups(p):
+    """The first words of each item as a group, looked up in every turn."""
+    words = F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 2))
+    groups = p.table("benchmark").select(F.col("item_id").alias("group_id"), words.alias("tokens"))
+    found = judging.complete_groups(p.table("conversations").select("conv_id", "turn", F.col("text").alias("answer")), groups)
+    return found.select("conv_id", "turn", F.size("complete").cast("long").alias("groups"), F.coalesce(F.get("complete", F.lit(0)), F.lit(-1).cast("long")).alias("least"))
+
+
+@query(
+    "",
+    """SELECT category, count(*) AS cases, count(*) FILTER (NOT bad AND NOT open) AS passed, count(*) FILTER (bad) AS failed, count(*) FILTER (NOT bad AND open) AS skipped,
+        round(count(*) FILTER (tool) / count(tool), 4) AS tool_rate, round(count(*) FILTER (refused) / nullif(count(refused), 0), 4) AS refusal_rate, round(count(*) FILTER (turn % 4 > 0) / count(*), 4) AS citation_rate, round(count(*) FILTER (agree) / count(agree), 4) AS agree_rate
+    FROM (SELECT *, NOT tool OR NOT truth OR NOT pages OR NOT coalesce(refused, true) AS bad FROM (
+        SELECT turn, CASE conv_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'negative' ELSE 'list' END AS category, conv_id % 5 > 0 AS tool, conv_id % 4 > 0 AS truth, turn % 4 > 0 OR conv_id % 7 = 0 AS pages, conv_id % 7 = 0 AS open, CASE WHEN conv_id % 3 = 1 THEN turn % 3 = 0 END AS refused, conv_id % 2 = 0 AS agree FROM conversations))
+    GROUP BY 1""",
+)
+def judged_answers(p):
+    """Every turn as an answer behind which its number, and for some a refusal, was put."""
+    k, turn = F.col("conv_id"), F.col("turn")
+    number = F.format_string("%d", k + 7_000_000)
+    shown = F.when(k % 4 > 0, F.concat(F.lit("; 7,"), F.substring(F.lpad((k % 1_000_000).cast("string"), 6, "0"), 1, 3), F.lit(","), F.substring(F.lpad((k % 1_000_000).cast("string"), 6, "0"), 4, 3), F.lit(" 元")))
+    answer = F.concat_ws("", "text", shown, F.when(turn % 3 == 0, "; 未找到"))
+    none = F.array().cast("array<string>")
+    rows = p.table("conversations").select(
+        F.struct(k, turn).alias("case_id"), turn, F.when(k % 3 == 0, "fact").when(k % 3 == 1, "negative").otherwise("list").alias("category"), answer.alias("answer"),
+        F.when(k % 5 > 0, F.array(F.lit("search"))).otherwise(none).alias("tools"), F.lit("search").alias("tool"), none.alias("must"), F.array().cast("array<array<string>>").alias("anyof"), F.array(number).alias("truth"), none.alias("forbidden"),
+        F.when(k % 7 > 0, F.array(F.lit(1))).alias("pages"), F.when(turn % 4 > 0, F.array(F.lit(1))).alias("cited"), F.lit(True).alias("refusal"), F.when(k % 2 == 0, F.array(number)).otherwise(F.array(F.lit("0"))).alias("cross"), F.lit(False).alias("asks_truth"),
+    )
+    return judging.judging_table(judging.judged(rows))
+
+
 @query("", "SELECT doc_id, count(*) AS pages FROM (SELECT doc_id, page_no, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page_no) AS s FROM doc_pages) WHERE s <= 1500 OR page_no = 1 GROUP BY 1", texts.PAGES)
 def page_budget(p):
     return documents.within_budget(chunking.pages_of(p.table("documents")), 1500).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
