@@ -13,6 +13,7 @@ from govflow.plans import tasks as T
 from govflow.plans import texts
 from govflow.sources import documents as store
 from govflow.sources import keyed
+from govflow.streaming import leases
 from govflow.streaming import tasks as streaming
 from govflow.views import Portfolio, oracle
 
@@ -33,10 +34,14 @@ def pick(index, values):
 
 
 def made_tasks(p) -> DataFrame:
+    return made_tasks_of(T.events(p.table)).drop("ts")
+
+
+def made_tasks_of(rows: DataFrame) -> DataFrame:
     """A task for each event: its state, an attachment, for some a document, a holder and a lease."""
-    k, rows = F.col("seq"), T.events(p.table)
+    k = F.col("seq")
     created = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return rows.select(k.alias("id"), (k % 300).alias("attachment_id"), F.col("state").alias("status"), F.when(k % 4 == 0, F.concat(F.lit("d"), k.cast("string"))).alias("doc_id"), F.when(k % 5 > 0, F.concat(F.lit("w"), (k % 3).cast("string"))).alias("claimed_by"), F.when(k % 7 > 0, created).alias("lease_until"))
+    return rows.select("ts", k.alias("id"), (k % 300).alias("attachment_id"), F.col("state").alias("status"), F.when(k % 4 == 0, F.concat(F.lit("d"), k.cast("string"))).alias("doc_id"), F.when(k % 5 > 0, F.concat(F.lit("w"), (k % 3).cast("string"))).alias("claimed_by"), F.when(k % 7 > 0, created).alias("lease_until"))
 
 
 MADE = f"""{T.EVENTS}, tasks AS (SELECT seq AS id, seq % 300 AS attachment_id, state AS status, CASE WHEN seq % 4 = 0 THEN 'd' || seq::VARCHAR END AS doc_id, CASE WHEN seq % 5 > 0 THEN 'w' || (seq % 3)::VARCHAR END AS claimed_by,
@@ -359,6 +364,24 @@ def streamed_counts(p):
     return streamed(p, lambda events: streaming.state_counts(events), "counts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("", ORACLE["renewed_leases"].removeprefix(f"WITH {MADE} "), MADE)
+def streamed_leases(p):
+    """The tasks and heartbeats of ``renewed_leases`` as one stream, a task's state before its heartbeat."""
+    leases.use_timers(p.spark)
+    k, now = F.col("id"), T.middle(p.table).first()[0]
+
+    def judged(events):
+        made = made_tasks_of(events).withColumn("ts", F.col("ts"))
+        caller = F.when(k % 2 == 0, F.concat(F.lit("w"), (k % 6).cast("string"))).otherwise("")
+        empty = lambda kind: F.lit(None).cast(kind)
+        task = F.struct(F.lit(0).cast("long").alias("seq"), F.lit(leases.TASK).alias("kind"), "status", "claimed_by", "lease_until", empty("long").alias("seconds"))
+        beat = F.struct(F.lit(1).cast("long").alias("seq"), F.lit(leases.HEARTBEAT).alias("kind"), empty("string").alias("status"), caller.alias("claimed_by"), empty("long").alias("lease_until"), F.when(k % 9 > 0, k % 9 * 600).alias("seconds"))
+        rows = made.select("id", "ts", F.explode(F.array(task, beat)).alias("e")).select("id", "ts", "e.*", F.lit(now).cast("long").alias("at"), empty("string").alias("reason"))
+        return leases.judged_leases(rows)
+
+    return streamed(p, judged, "leases").where("kind = 'heartbeat'").select("id", "outcome", "lease_until")
+
+
 def streamed(p, counted, name: str) -> DataFrame:
     """The result of a stream over the events that are there, written through the file sink."""
     kinds = p.table("events").schema
