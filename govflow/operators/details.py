@@ -173,3 +173,8 @@ def parse_statuses(text: str | None) -> list[str]:
 def of_statuses(tasks: DataFrame, text: str | None) -> DataFrame:
     states = parse_statuses(text)
     return tasks.where(F.col("status").isin(*states)) if states else tasks
+
+
+def projects_of(links: DataFrame) -> DataFrame:
+    """contract_id, projects: the ids of all projects of a contract, each once and in ascending order."""
+    return links.groupBy("contract_id").agg(F.array_sort(F.collect_set("project_id")).alias("projects"))

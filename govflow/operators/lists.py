@@ -16,6 +16,11 @@ from .stats import OPEN
 DEFAULT_LIMIT, MOST = 20, 100
 
 
+def under(parent: int | None) -> Column:
+    """The children of a project; without one, the projects at the top."""
+    return F.col("parent_id").isNull() if parent is None else F.col("parent_id") == parent
+
+
 def limit_of(n: int | None, most: int = MOST) -> int:
     """Absent or not positive: the default; at most ``most``."""
     return min(n, most) if n and n > 0 else DEFAULT_LIMIT

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from govflow.functions import checks
-from govflow.operators import chunking, details
+from govflow.functions import text as X
+from govflow.operators import chunking, details, documents, hits, lists, retrieval
+from govflow.operators.durable import new_path
+from govflow.operators.query import intersect
 from govflow.plans import texts
+from govflow.sources import documents as store
 from govflow.views import Portfolio, oracle
 
 QUERIES, ORACLE = {}, {}
@@ -206,3 +210,102 @@ def calculated(p):
     whole = F.concat(F.lit("((1,000 + "), k.cast("string"), F.lit(") * 2e0 + -"), (k % 5).cast("string"), F.lit(") / "), (k % 6).cast("string"))
     result = checks.calculated(whole)
     return p.table("events").select("event_id", result.alias("r")).select("event_id", F.col("r.value").cast("double").alias("value"), F.col("r.error").isNotNull().alias("failed"))
+
+
+LINE_CHUNKS = f"{texts.LINES}, line AS (SELECT doc_id, page_no, line_no, text, concat_ws(':', doc_id, page_no, line_no) AS chunk_key FROM doc_lines)"
+
+
+def line_chunks(p):
+    """Lines of pages as chunks."""
+    lines = chunking.pages_of(p.table("documents")).select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("order_in_page", "text"))
+    named = lambda *names: F.concat_ws(":", *[F.col(n).cast("string") for n in names])
+    return lines.withColumns({"chunk_key": named("doc_id", "page_no", "order_in_page"), "parent_key": named("doc_id", "page_no")})
+
+
+@query(
+    "",
+    """SELECT chunk_key, rank, doc_id, page_no, CASE WHEN length(text) > 40 THEN left(text, 40) || '…' ELSE text END AS snippet, CASE WHEN n > 1 AND clipped <> trim(text, E' \t\r\n') THEN clipped END AS parent_summary
+    FROM (SELECT *, line_no::BIGINT AS rank, CASE WHEN length(whole) > 200 THEN left(whole, 200) || '…' ELSE whole END AS clipped FROM line
+        JOIN (SELECT doc_id, page_no, count(*) AS n, string_agg(text, chr(10) ORDER BY line_no) AS whole FROM line GROUP BY 1, 2) USING (doc_id, page_no)) WHERE line_no % 4 = 0""",
+    LINE_CHUNKS,
+)
+def shaped_hits(p):
+    """Every fourth line as a hit."""
+    rows = line_chunks(p)
+    found = rows.where("order_in_page % 4 = 0").select("chunk_key", F.col("order_in_page").cast("long").alias("rank"))
+    return hits.shaped(found, rows, snippet=40)
+
+
+@query("", "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id % 50 END::INT AS hits, CASE WHEN doc_id % 4 = 0 THEN '关键词 ' || doc_id::VARCHAR END AS note FROM documents")
+def tool_notes(p):
+    k = F.col("doc_id").cast("string")
+    told = F.when(F.col("doc_id") % 3 > 0, F.concat(F.when(F.col("doc_id") % 2 == 0, "命中 ").otherwise("找到"), (F.col("doc_id") % 50).cast("string"), F.lit(" 段"))).otherwise("没有数字")
+    brief = F.concat(told, F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("（关键词 "), k, F.lit("）"))).otherwise("（x）"), F.lit(" "), F.coalesce("text", F.lit("")))
+    return p.table("documents").select("doc_id", documents.tool_counts(brief).alias("hits"), hits.fallback_note(brief).alias("note"))
+
+
+@query("", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE 'at ' || event_id::VARCHAR END AS shown FROM events")
+def iso_times(p):
+    """Times as text, and text that is none."""
+    raw = F.when(F.col("event_id") % 3 > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(F.lit("at "), F.col("event_id").cast("string")))
+    return p.table("events").select("event_id", documents.iso_time(raw).alias("shown"))
+
+
+@query("", "SELECT doc_id, 'd=' || doc_id || ':p=1:h=' || left(sha1(coalesce(text, '')), 12) || ':c=2:k=5' AS chunk_key, doc_id::VARCHAR AS doc, 1 AS page, left(sha1(coalesce(text, '')), 12) AS hash FROM documents")
+def revision_keys(p):
+    """Keys with revisions, and what they say once parsed."""
+    key = X.chunk_key(F.col("doc_id").cast("string"), F.lit(1), F.coalesce("text", F.lit("")), F.lit(2), F.lit(5))
+    rows = p.table("documents").select("doc_id", key.alias("chunk_key")).withColumn("parsed", X.parse_chunk_key(F.col("chunk_key")))
+    return rows.select("doc_id", "chunk_key", "parsed.doc", F.col("parsed.page").cast("int").alias("page"), "parsed.hash")
+
+
+@query("", "SELECT sum(strlen(text) + 1)::BIGINT AS bytes FROM (SELECT coalesce(text, '') AS text FROM documents)")
+def stored_objects(p):
+    """Texts written as files, and the files' sizes as objects."""
+    path = new_path(p.spark, "objects")
+    p.table("documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    return store.read_objects(p.spark, path, "*.txt").agg(F.sum("size").cast("long").alias("bytes"))
+
+
+@query("", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def truth_snapshot(p):
+    """Figures by language, written twice: the second is what the snapshot holds."""
+    path, figures = new_path(p.spark, "truth"), p.table("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    store.write_snapshot(figures.withColumn("n", F.col("n") + 1), path)
+    store.write_snapshot(figures, path)
+    return store.read_snapshot(p.spark, path, "lang string, n long")
+
+
+@query("", "SELECT vec_id, 'both' AS scope FROM embeddings WHERE label IN (3, 4) UNION ALL SELECT vec_id, 'one' FROM embeddings WHERE label IN (1, 3, 4)")
+def scope_intersections(p):
+    """Two scopes together, one with no restriction, and two that contradict each other, which admit nothing."""
+    rows = p.table("embeddings").select("vec_id", F.col("vec_id").alias("doc_id"), F.lit("x").alias("chunk_key"))
+    meta = p.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("project_id"))
+    one, two, other = frozenset([1, 3, 4]), frozenset([3, 4, 9]), frozenset([9])
+    given = {"both": intersect(one, two), "one": intersect(one, None), "none": intersect(one, other)}
+    parts = [retrieval.in_scope(rows, meta, {"project_id": scope}).select("vec_id", F.lit(name).alias("scope")) for name, scope in given.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("", "SELECT what, n FROM (VALUES ('no query', 0::BIGINT), ('no scope', 0), ('nothing asked', 0)) v(what, n) WHERE EXISTS (SELECT 1 FROM embeddings)")
+def empty_searches(p):
+    """Searches without queries, within an empty scope, and for a text without words: no hit, and no error."""
+    vectors = p.table("embeddings").select(F.col("vec_id").alias("chunk_key"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    asked = vectors.where("chunk_key % 20 = 0").select(F.col("chunk_key").alias("query_id"), "vector")
+    closed = retrieval.in_scope(vectors, vectors.select("doc_id", F.col("label").alias("project_id")), {"project_id": set()})
+    texts = p.table("documents").select(F.col("doc_id").alias("chunk_key"), "text")
+    blank = p.table("benchmark").select(F.col("item_id").alias("query_id"), F.lit(" ").alias("text"))
+    found = {"no query": retrieval.vector_top_k(vectors, asked.where(F.lit(False)), 5), "no scope": retrieval.vector_top_k(closed, asked, 5), "nothing asked": retrieval.keyword_scores(texts, blank)}
+    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n") for what, rows in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("links", "SELECT contract_id, string_agg(project_id::VARCHAR, ',' ORDER BY project_id) AS projects FROM (SELECT DISTINCT contract_id, project_id FROM links) GROUP BY 1")
+def contract_projects(p):
+    """All projects of each contract, in order."""
+    return details.projects_of(p.links).select("contract_id", F.array_join("projects", ",").alias("projects"))
+
+
+@query("projects", "SELECT id, name FROM projects WHERE parent_id = 1000003")
+def project_children(p):
+    return p.projects.where(lists.under(1_000_003)).select("id", "name")
