@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,17 +58,25 @@ def build(chunks: DataFrame, key: str = "chunk_key", doc: str = "doc_id", text:
     """The index of ``chunks``. Null texts count as empty; chunks that repeat a key are chunks of their own."""
     spark = chunks.sparkSession
     kept = chunks.select(F.col(key).cast("string").alias("chunk_key"), F.col(doc).alias("doc_id"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    # A few small files would keep most cores idle; a large input has partitions enough and isn't dealt anew.
+    if kept.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        kept = kept.repartition(spark.sparkContext.defaultParallelism)
     numbered = durable(kept.select(F.monotonically_increasing_id().alias("no"), "*"), "bm25-texts")
 
     def run(batches):
         block, held = None, {}
 
         def rows():
-            out = [(t, block, [x[0] for x in p], [x[1] for x in p], [x[2] for x in p], max(x[1] for x in p), min(x[2] for x in p)) for t, p in held.items()]
+            sizes = np.fromiter((len(x[0]) for x in held.values()), np.int64, len(held))
+            ends = np.cumsum(sizes)
+            nos, tfs, lengths = (np.fromiter((v for x in held.values() for v in x[i]), kind, sizes.sum()) for i, kind in ((0, np.int64), (1, np.int32), (2, np.int32)))
+            starts = ends - sizes
+            most, least = (of.reduceat(x, starts) if len(starts) else x for of, x in ((np.maximum, tfs), (np.minimum, lengths)))
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (nos, tfs, lengths)]
+            out = [pa.array(list(held), pa.string()), pa.array(np.full(len(held), block or 0)), *lists, pa.array(most, pa.int32()), pa.array(least, pa.int32())]
             held.clear()
-            types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
-            names = ["term", "block", "nos", "tfs", "lengths", "most", "least"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, types, strict=True)], names)
+            return pa.RecordBatch.from_arrays(out, ["term", "block", "nos", "tfs", "lengths", "most", "least"])
 
         for batch in batches:
             for no, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -77,7 +86,13 @@ def build(chunks: DataFrame, key: str = "chunk_key", doc: str = "doc_id", text:
                 counts = Counter(TERM.findall(low))
                 length = sum(counts.values())
                 for term, n in counts.items():
-                    held.setdefault(term, []).append((no, n, length))
+                    mine = held.get(term)
+                    if mine is None:
+                        held[term] = ([no], [n], [length])
+                    else:
+                        mine[0].append(no)
+                        mine[1].append(n)
+                        mine[2].append(length)
         yield rows()
 
     # Files are read whole rows at a time and in order, so a block is in one task or its parts are rows of their own.
@@ -87,16 +102,19 @@ def build(chunks: DataFrame, key: str = "chunk_key", doc: str = "doc_id", text:
     made.repartition("folder", F.col("block") % 16).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(path)
     postings = _postings(spark, path)
     terms = durable(postings.groupBy("term").agg(F.sum(F.size("nos")).alias("df")), "bm25-terms")
-    lengths = postings.select(F.explode(F.arrays_zip("nos", "tfs")).alias("p")).groupBy(F.col("p.nos").alias("no")).agg(F.sum("p.tfs").alias("length"))
-    known = durable(numbered.drop("low").join(lengths, "no", "left").withColumn("length", F.coalesce("length", F.lit(0))), "bm25-chunks")
+    known = durable(numbered.select("no", "chunk_key", "doc_id", F.size(terms_of(F.col("low"))).cast("long").alias("length")), "bm25-chunks")
     n, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     return Index(path, known, terms, n, total)
 
 
+def terms_of(low: Column) -> Column:
+    """All terms of a text in small letters, in order."""
+    return F.regexp_extract_all(low, F.lit("([一-鿿]|[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F一-鿿]+)"), 1)
+
+
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
     """query_id, term, times: the terms of each query and how often each stands in it."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.regexp_extract_all(low, F.lit("([一-鿿]|[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F一-鿿]+)"), 1)
+    found = terms_of(F.lower(F.coalesce(text, F.lit(""))))
     return queries.select(F.col(query).alias("query_id"), F.explode(found).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
