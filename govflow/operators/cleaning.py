@@ -6,15 +6,15 @@ The lines frame has doc_id, page_no, line_no (from 0), text; rules add ``table``
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from govflow.functions import text as T
 
-# Patterns of page-number lines, full-width marks that stay, characters without width.
+# Patterns of page-number lines, full-width marks that stay, characters without width, hyphens.
 PAGE_NUMBER = (r"^[-—–\s]*\d{1,4}[-—–\s]*$", r"^第\s*(\d+)\s*页(\s*共\s*(\d+)\s*页)?$", r"^(\d+)\s*/\s*(\d+)$", r"(?i)^page\s+(\d+)(\s+of\s+(\d+))?$")
 KEPT_WIDE = "，；：？！（）"
+HYPHENS = ("-", "‐", "‑")
 NO_WIDTH = r"[​-‍﻿⁠]"
 EDGE, LEAST_KEY, LEAST_PARAGRAPH = 2, 4, 20
 
@@ -118,34 +118,36 @@ def white_space(lines: DataFrame) -> DataFrame:
     return rows.withColumn("rule", F.coalesce("rule", F.when(again, "c3"))).drop("_live")
 
 
-def _merged(page: pd.DataFrame) -> pd.DataFrame:
-    """Lines of one page joined to the line before while a sentence goes on; removed lines stay as they are."""
-    page = page.sort_values("line_no").reset_index(drop=True)
-    texts, rules, last = page.text.tolist(), page.rule.tolist(), None
-    for i, (line, table) in enumerate(zip(page.text.tolist(), page.table.tolist(), strict=True)):
-        if rules[i] is not None and rules[i] == rules[i]:
-            continue
-        here = T.Line(line)
-        if last is not None and here.text and texts[last].strip() and not (table or page.table[last]):
-            before = texts[last]
-            if not T.Line(before).ends_sentence and not here.boundary:
-                if before.strip()[-1] in "-‐‑" and here.text[0].isascii() and here.text[0].islower():
-                    texts[last] = before[:-1] + here.text
-                else:
-                    a, b = before[-1], line[0]
-                    apart = a.isascii() and b.isascii() and (a.isalnum() or a in ",.") and b.isalnum()
-                    texts[last] = before + (" " if apart else "") + line
-                rules[i] = "c4"
-                continue
-        last = i
-    return page.assign(text=texts, rule=rules)
-
-
 def merge_lines(lines: DataFrame) -> DataFrame:
-    """Set rule c4 on lines that were joined to the line before them. State runs from line to line of a page."""
-    columns = ["doc_id", "page_no", "line_no", "text", "table", "rule"]
-    kinds = dict(lines.dtypes)
-    return lines.select(columns).groupBy("doc_id", "page_no").applyInPandas(_merged, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    """Set rule c4 on lines that were joined to the line before them, which gets their text.
+
+    A joined line is the end of the text so far, so whether a line goes on depends on the line before it alone, and so do
+    the space between them and the hyphen that falls. No state has to be carried: one window finds the joints, and the
+    lines of a run, which become one line anyway, are gathered by the same partitioning. Removed lines stay as they are.
+    """
+    text, here, before = F.col("text"), F.col("_here"), F.col("_before._here")
+    order = Window.partitionBy("doc_id", "page_no", "_live").orderBy("line_no")
+    rows = lines.withColumns({"_live": F.col("rule").isNull(), "_here": T.strip(text)})
+    rows = rows.withColumn("_before", F.lag(F.struct("_here", "table")).over(order))
+    goes_on = F.col("_live") & (here != "") & (before != "") & ~F.col("table") & ~F.col("_before.table")
+    rows = rows.withColumn("_joined", F.coalesce(goes_on & ~T.ends_sentence(before) & ~T.is_boundary(here), F.lit(False)))
+    broken = F.col("_joined") & F.right(before, F.lit(1)).isin(*HYPHENS) & here.rlike("^[a-z]")
+    rows = rows.withColumn("_broken", broken).withColumn("_piece", F.when(F.col("_broken"), here).otherwise(text))
+    piece = F.col("_piece")
+    met = F.col("_joined") & ~F.col("_broken") & F.right(F.lag(piece).over(order), F.lit(1)).rlike("^[A-Za-z0-9,.]") & text.rlike("^[A-Za-z0-9]")
+    whole = F.when(F.coalesce(F.lead("_broken").over(order), F.lit(False)), F.left(piece, F.char_length(piece) - 1)).otherwise(piece)
+    run = F.when(F.col("_live"), F.sum(F.when(F.col("_joined"), 0).otherwise(1)).over(order)).otherwise(F.col("line_no"))
+    rows = rows.select(*lines.columns, "_live", F.concat(F.when(met, " ").otherwise(""), whole).alias("_part"), run.alias("_run"))
+    rest = [c for c in lines.columns if c not in ("doc_id", "page_no")]
+    runs = rows.groupBy("doc_id", "page_no", "_live", "_run").agg(F.array_sort(F.collect_list(F.struct("line_no", *[c for c in rest if c != "line_no"], "_part"))).alias("_x"))
+    live = F.col("_live")
+
+    def line(x, i):
+        joined = F.array_join(F.transform("_x", lambda y: y["_part"]), "")
+        changed = {"text": F.when(live & (i == 0), joined).otherwise(x["text"]), "rule": F.when(live & (i > 0), "c4").otherwise(x["rule"])}
+        return F.struct(*[changed.get(c, x[c]).alias(c) for c in rest])
+
+    return runs.select("doc_id", "page_no", F.inline(F.transform("_x", line))).select(lines.columns)
 
 
 def table_ranges(cleaned: DataFrame) -> DataFrame:
@@ -163,9 +165,7 @@ def clean(pages: DataFrame, watermark_patterns: tuple[str, ...] = (), merge: boo
         none = {"table": F.lit(False), "rule": F.lit(None).cast("string"), "lost_chars": F.lit(0).cast("long"), "total_pages": F.lit(None).cast("int")}
         return lines_of(pages).withColumns(none)
     rows = watermarks(page_numbers(repeated_edges(tables(encoding(lines_of(pages))))), watermark_patterns)
-    counts = rows.select("doc_id", "page_no", "line_no", "lost_chars", "total_pages")
-    done = white_space(merge_lines(rows) if merge else rows)
-    return done.join(counts, ["doc_id", "page_no", "line_no"]) if merge else done
+    return white_space(merge_lines(rows) if merge else rows)
 
 
 def counters(pages: DataFrame, cleaned: DataFrame) -> DataFrame:

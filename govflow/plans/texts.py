@@ -230,13 +230,43 @@ def clean_disabled(t):
     return rows.where("rule is null and not table").select("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
-@query()
+WIDE, NARROW = ("".join(c for w, c in zip(T.FULL_WIDTH, x, strict=True) if w not in cleaning.KEPT_WIDE).replace("'", "''") for x in (T.FULL_WIDTH, T.HALF_WIDTH))
+ENDS = f"strpos('{T.LINE_ENDS}', right({{0}}, 1)) > 0"
+# The patterns hold braces, so they are set in after formatting.
+BOUNDARY = " OR ".join(f"regexp_matches(here, '{p}')" for p in (T.HEADING, T.CHAPTER, T.SECTION, T.NUMBERED, T.CLAUSE, T.BULLET)) + f" OR length(here) BETWEEN 2 AND {T.SHORT_HEADING} AND NOT {ENDS.format('here')}"
+NUMBER = " OR ".join(f"regexp_matches(v, '{p}')" for p in cleaning.PAGE_NUMBER)
+TOTAL = ", ".join(f"nullif(regexp_extract(v, '{p}', {g}), '')" for p, g in zip(cleaning.PAGE_NUMBER[1:], (3, 2, 3), strict=True))
+CLEANED = f"""{HEADED}, enc AS (SELECT doc_id, page_no, line_no::INTEGER AS line_no, lines, translate(text, '{WIDE}', '{NARROW}') AS text, length(regexp_replace(text, '[^�]', '', 'g')) AS lost_chars FROM hl),
+    tab AS (SELECT *, {STRIP.format("text")} AS v, length(regexp_replace(text, '[^|]', '', 'g')) >= 2 AS pipe FROM enc),
+    runs AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id, page_no, pipe ORDER BY line_no) AS run, pipe AND regexp_matches(regexp_replace(text, '[|\\s]', '', 'g'), '^[-:+]*-[-:+]*$') AS ruled FROM tab),
+    marked AS (SELECT *, pipe AND count(*) OVER p >= CASE WHEN bool_or(ruled) OVER p THEN 2 ELSE 3 END AS tbl, {KEY} AS key, line_no < 2 OR line_no >= lines - 2 AS edge FROM runs WINDOW p AS (PARTITION BY doc_id, page_no, pipe, run)),
+    seen AS (SELECT doc_id, key, count(DISTINCT page_no) AS n FROM marked WHERE edge AND NOT tbl AND length(key) >= 4 GROUP BY 1, 2),
+    total AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM marked WHERE v <> '' GROUP BY 1),
+    numbered AS (SELECT m.*, CASE WHEN edge AND NOT tbl AND seen.n >= greatest(2, ceil(total.n * 0.5)) THEN 'c1' WHEN NOT tbl AND v <> '' AND ({NUMBER}) THEN 'c2' END AS rule, CASE WHEN NOT tbl THEN try_cast(coalesce({TOTAL}) AS INTEGER) END AS total_pages
+        FROM marked m LEFT JOIN seen ON seen.doc_id = m.doc_id AND seen.key = m.key LEFT JOIN total ON total.doc_id = m.doc_id),
+    befores AS (SELECT doc_id, page_no, line_no, text, v AS here, tbl, lag(v) OVER p AS before, lag(tbl) OVER p AS before_tbl FROM numbered WHERE rule IS NULL WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
+    joints AS (SELECT *, before IS NOT NULL AND here <> '' AND before <> '' AND NOT tbl AND NOT before_tbl AND NOT {ENDS.format("before")} AND NOT ({BOUNDARY}) AS joined FROM befores),
+    breaks AS (SELECT *, joined AND right(before, 1) IN ('-', '‐', '‑') AND regexp_matches(here, '^[a-z]') AS broken FROM joints),
+    pieces AS (SELECT *, CASE WHEN broken THEN here ELSE text END AS piece, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER p AS run, coalesce(lead(broken) OVER p, false) AS falls FROM breaks WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
+    parts AS (SELECT *, CASE WHEN joined AND NOT broken AND regexp_matches(right(lag(piece) OVER p, 1), '^[A-Za-z0-9,.]') AND regexp_matches(text, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || CASE WHEN falls THEN left(piece, length(piece) - 1) ELSE piece END AS part FROM pieces WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
+    merged AS (SELECT doc_id, page_no, min(line_no) AS line_no, string_agg(part, '' ORDER BY line_no) AS whole FROM parts GROUP BY doc_id, page_no, run),
+    spaced AS (SELECT n.*, whole IS NOT NULL AS live, {STRIP.format(f"translate(regexp_replace(whole, '{cleaning.NO_WIDTH}', '', 'g'), '{T.IDEOGRAPHIC_SPACE}', ' ')")} AS w FROM numbered n LEFT JOIN merged m ON m.doc_id = n.doc_id AND m.page_no = n.page_no AND m.line_no = n.line_no),
+    squeezed AS (SELECT * EXCLUDE (w), CASE WHEN tbl THEN w ELSE regexp_replace(w, '[ \\t\\x0B\\f]{{3,}}', ' ', 'g') END AS w FROM spaced),
+    cleaned AS (SELECT doc_id, page_no, line_no, CASE WHEN live THEN w ELSE text END AS text, tbl AS "table", lost_chars, total_pages, CASE WHEN live AND w = '' AND lag(w) OVER (PARTITION BY doc_id, page_no, live ORDER BY line_no) = '' THEN 'c3' WHEN live THEN NULL ELSE coalesce(rule, 'c4') END AS rule FROM squeezed)"""
+
+
+@query(f"WITH {CLEANED} SELECT * FROM cleaned")
 def clean_all(t):
-    """All rules, with lines merged; sequential, so rows only."""
+    """All rules, with lines merged."""
     return cleaning.clean(headed(t))
 
 
-@query()
+@query(
+    f"""WITH {CLEANED}, of_page AS (SELECT doc_id, page_no, coalesce(sum(length(text)) FILTER (rule IS NULL), 0) + greatest(count(*) FILTER (rule IS NULL) - 1, 0) AS after, count(*) FILTER (rule IS NOT NULL) AS removed, count(*) FILTER ("table") AS rows, sum(lost_chars) AS lost FROM cleaned GROUP BY 1, 2),
+    sizes AS (SELECT doc_id, sum(length(text))::BIGINT AS chars_before FROM headed GROUP BY 1)
+    SELECT doc_id, chars_before, sum(after)::BIGINT AS chars_after, sum(removed)::BIGINT AS removed_lines, sum(rows)::BIGINT AS table_lines, sum(lost)::BIGINT AS lost_chars, CASE WHEN chars_before = 0 THEN 0.0 ELSE round((chars_before - sum(after)) / chars_before, 4) END::DOUBLE AS removed_ratio
+    FROM of_page JOIN sizes USING (doc_id) GROUP BY doc_id, chars_before"""
+)
 def clean_counters(t):
     pages = headed(t)
     return cleaning.counters(pages, cleaning.clean(pages))
