@@ -1,4 +1,4 @@
-"""Chunks of pages: the plain packer as expressions, the structure-aware one per document, and their counters."""
+"""Chunks of pages: the plain packer as expressions, the structure-aware one page by page, and their counters."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from govflow.functions import text as T
+from govflow.operators.durable import durable
 
 CHUNK_CHARS, MAX_CHARS, PAGE_LINES = 500, 2000, 10
+DEEPEST, PAGES_A_BLOCK = 5, 1024
 
 
 def pages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_lines: int = PAGE_LINES) -> DataFrame:
@@ -62,29 +64,31 @@ class Options:
         object.__setattr__(self, "most", max(self.most, self.chunk))
 
 
-class _Document:
-    """Chunks of one document; the section path runs on over its pages, overlaps don't."""
+def _blocks(text: str):
+    """(is a table, lines) of a page: runs of rows with pipes, three or two with a separator row, and what is between."""
+    lines, at = [T.Line(x) for x in text.split("\n")], 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and lines[end].pipe == lines[at].pipe:
+            end += 1
+        block = lines[at:end]
+        yield block[0].pipe and (len(block) >= 3 or (len(block) == 2 and any(x.separator for x in block))), block
+        at = end
 
-    def __init__(self, options: Options):
-        self.options, self.path, self.out = options, [], []
 
-    def page(self, page_no: int, text: str) -> None:
-        self.page_no, self.order, self.last = page_no, 0, ""
-        lines = [T.Line(x) for x in text.split("\n")]
-        at = 0
-        while at < len(lines):
-            end = at
-            while end < len(lines) and lines[end].pipe == lines[at].pipe:
-                end += 1
-            block = lines[at:end]
-            if block[0].pipe and (len(block) >= 3 or (len(block) == 2 and any(x.separator for x in block))):
+class _Page:
+    """Chunks of one page, from the section path that is open where it begins."""
+
+    def __init__(self, options: Options, path: list[str], text: str):
+        self.options, self.path, self.order, self.last, self.out = options, list(path), 0, "", []
+        for table, block in _blocks(text):
+            if table:
                 self._table([x.text for x in block])
             else:
                 self._prose(block)
-            at = end
 
     def _section(self, line: T.Line) -> None:
-        if 0 < line.level < 6:
+        if 0 < line.level <= DEEPEST:
             del self.path[line.level - 1 :]
             self.path.append(line.text)
 
@@ -161,28 +165,77 @@ class _Document:
         text = text.strip()
         for piece in [text] if len(text) <= self.options.most else self._cut(text):
             if piece:
-                self.out.append((self.page_no, self.order, piece, table_rows > 0, table_rows, section))
+                self.out.append((self.order, piece, table_rows > 0, table_rows, section))
                 self.order, self.last = self.order + 1, piece
 
 
-def structured_chunks(pages: DataFrame, options: Options | None = None) -> DataFrame:
+def _headings(frames):
+    """A row at the begin of each page (place 0, no level) and one for each heading outside of its tables."""
+    for frame in frames:
+        rows = []
+        for doc_id, page_no, text in zip(frame.doc_id, frame.page_no, frame.text, strict=True):
+            rows.append((doc_id, page_no, 0, None, None))
+            lines = (x for table, block in _blocks(text or "") if not table for x in block)
+            rows += [(doc_id, page_no, i, x.level, x.text) for i, x in enumerate(lines, 1) if 0 < x.level <= DEEPEST]
+        yield pd.DataFrame(rows, columns=["doc_id", "page_no", "place", "level", "text"]).astype({"level": "Int32"})
+
+
+def open_sections(pages: DataFrame, pages_a_block: int = PAGES_A_BLOCK) -> DataFrame:
+    """doc_id, page_no, path: the headings that are open where a page begins, outermost first.
+
+    A heading of level L closes those from depth L on, so its depth is min(depth before + 1, L). Unrolled, the depth of
+    the i-th heading of a document is the least of i and L_j + i - j over all j <= i, which is a running minimum, and the
+    path is the last heading of each depth down to the present one. Both are found in blocks of pages first and carried
+    from block to block as one row each, so neither a document nor its headings have to fit a task. Texts stay where they
+    are: only headings are shuffled. A page without text has a path too; rows of one page share it.
+    """
+    kinds = dict(pages.dtypes)
+    found = pages.select("doc_id", "page_no", "text").mapInPandas(_headings, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, place int, level int, text string")
+    rows = durable(found.withColumn("block", F.floor(F.col("page_no") / pages_a_block)), "headings")
+    within = Window.partitionBy("doc_id", "block").orderBy("page_no", "place", "level", "text")
+    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_given(rows: DataFrame, given: DataFrame) -> DataFrame:
+        """Rows with what the blocks before theirs hand on. A null id makes a document too, so structs are compared."""
+        names = [c for c in given.columns if c not in ("doc_id", "block")]
+        return rows.join(given.select(F.struct("doc_id", "block").alias("_block"), *names), F.struct("doc_id", "block") == F.col("_block"), "left").drop("_block")
+
+    i, level = F.col("i"), F.col("level")
+    rows = rows.withColumn("i", F.count("level").over(within)).withColumn("slack", F.min(level - i).over(within))
+    sums = rows.groupBy("doc_id", "block").agg(F.count("level").alias("n"), F.min("slack").alias("least"))
+    sums = sums.withColumn("i_given", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("slack_given", F.min(F.col("least") - F.col("i_given")).over(before))
+    rows = with_given(rows, sums.drop("n", "least"))
+    from_start = F.col("i_given") + i
+    rows = rows.withColumn("depth", F.least(from_start, from_start + F.col("slack_given"), i + F.col("slack")).cast("int"))
+
+    depths = range(1, DEEPEST + 1)
+    here = {d: F.when(level.isNotNull() & (F.col("depth") == d), F.struct("i", "text")) for d in depths}
+    lasts = rows.groupBy("doc_id", "block").agg(*[F.max(here[d]).alias(f"given_{d}") for d in depths])
+    lasts = lasts.withColumns({f"given_{d}": F.last(f"given_{d}", ignorenulls=True).over(before) for d in depths})
+    rows = with_given(rows.withColumns({f"at_{d}": F.last(here[d], ignorenulls=True).over(within) for d in depths}), lasts)
+    path = F.slice(F.array(*[F.coalesce(f"at_{d}.text", f"given_{d}.text") for d in depths]), F.lit(1), F.col("depth"))
+    return rows.where("place = 0").select("doc_id", "page_no", path.alias("path")).dropDuplicates(["doc_id", "page_no"])
+
+
+def structured_chunks(pages: DataFrame, options: Options | None = None, pages_a_block: int = PAGES_A_BLOCK) -> DataFrame:
     """doc_id, page_no, order_in_page, text, is_table, table_rows, section_path.
 
     Headings and clauses begin chunks, tables stay whole, chunks overlap within a page, none is over the hard limit.
-    The state runs from line to line of a document, so a document is one group.
+    What runs on from page to page is the section path alone (``open_sections``), so each page is a row by itself and a
+    document may be of any length. A null text is an empty page; of a page that is there twice, both rows are chunked.
     """
     chosen = options or Options()
 
-    def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        document = _Document(chosen)
-        for page in pdf.sort_values("page_no").itertuples():
-            document.page(page.page_no, page.text or "")
-        out = pd.DataFrame(document.out, columns=["page_no", "order_in_page", "text", "is_table", "table_rows", "section_path"])
-        out.insert(0, "doc_id", pdf.doc_id.iloc[0] if len(pdf) else None)
-        return out
+    def chunk(frames):
+        columns = ["doc_id", "page_no", "order_in_page", "text", "is_table", "table_rows", "section_path"]
+        for frame in frames:
+            rows = zip(frame.doc_id, frame.page_no, frame.text, frame.path, strict=True)
+            yield pd.DataFrame([(doc_id, page_no, *x) for doc_id, page_no, text, path in rows for x in _Page(chosen, path, text or "").out], columns=columns)
 
-    kind = dict(pages.dtypes)["doc_id"]
-    return pages.select("doc_id", "page_no", "text").groupBy("doc_id").applyInPandas(chunk, f"doc_id {kind}, page_no long, order_in_page long, text string, is_table boolean, table_rows long, section_path string")
+    kinds = dict(pages.dtypes)
+    starts = open_sections(pages, pages_a_block).select(F.struct("doc_id", "page_no").alias("_page"), "path")
+    rows = pages.select("doc_id", "page_no", "text").join(starts, F.struct("doc_id", "page_no") == F.col("_page"), "left").drop("_page")
+    return rows.mapInPandas(chunk, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, order_in_page long, text string, is_table boolean, table_rows long, section_path string")
 
 
 def counters(chunks: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:

@@ -291,3 +291,18 @@ def chunk_counters(t):
 @query()
 def chunk_improved(t):
     return chunking.structured_chunks(chunking.pages_of(t("documents")))
+
+
+@query(
+    """WITH RECURSIVE numbers AS (SELECT doc_id, unnest(range(1, (len(string_split(coalesce(text, ''), chr(10))) + 1) // 2 + 1))::BIGINT AS page_no FROM documents),
+    heads AS (SELECT doc_id, page_no, level, repeat('#', level::INTEGER) || ' Part ' || page_no::VARCHAR AS head FROM (SELECT *, (doc_id * 7 + page_no * page_no * 3) % 5 + 1 AS level FROM numbers)),
+    walk AS (SELECT doc_id, 1::BIGINT AS page_no, []::VARCHAR[] AS path FROM documents
+        UNION ALL SELECT w.doc_id, h.page_no + 1, w.path[:h.level - 1] || [h.head] FROM walk w JOIN heads h ON h.doc_id = w.doc_id AND h.page_no = w.page_no)
+    SELECT w.doc_id, w.page_no, array_to_string(path, ' > ') AS path, len(path) AS depth FROM walk w JOIN numbers n ON n.doc_id = w.doc_id AND n.page_no = w.page_no"""
+)
+def section_paths(t):
+    """What is open where a page begins; every page of two lines gets a heading of some level."""
+    pages, k, p = chunking.pages_of(t("documents"), page_lines=2), F.col("doc_id"), F.col("page_no")
+    head = F.concat(F.repeat(F.lit("#"), ((k * 7 + p * p * 3) % 5 + 1).cast("int")), F.lit(" Part "), p.cast("string"))
+    open_ = chunking.open_sections(pages.withColumn("text", F.concat_ws("\n", head, "text")))
+    return open_.select("doc_id", "page_no", F.array_join("path", " > ").alias("path"), F.size("path").cast("long").alias("depth"))
