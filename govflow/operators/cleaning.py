@@ -162,9 +162,11 @@ def clean(pages: DataFrame, watermark_patterns: tuple[str, ...] = (), merge: boo
     """All rules in order; lines with what removed them. Paragraph duplicates are only marked (see ``paragraphs``). Where
     cleaning isn't enabled, all lines come as they are."""
     if not enabled:
-        none = {"table": F.lit(False), "rule": F.lit(None).cast("string"), "lost_chars": F.lit(0).cast("long"), "total_pages": F.lit(None).cast("int")}
+        none = {"table": F.lit(False), "rule": F.lit(None).cast("string"), "lost_chars": F.lit(0).cast("long"), "table_chars": F.lit(None).cast("int"), "total_pages": F.lit(None).cast("int")}
         return lines_of(pages).withColumns(none)
-    rows = watermarks(page_numbers(repeated_edges(tables(encoding(lines_of(pages))))), watermark_patterns)
+    rows = tables(encoding(lines_of(pages)))
+    rows = rows.withColumn("table_chars", F.when(F.col("table"), F.char_length("text")))
+    rows = watermarks(page_numbers(repeated_edges(rows)), watermark_patterns)
     return white_space(merge_lines(rows) if merge else rows)
 
 

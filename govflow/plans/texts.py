@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from govflow.functions import checks
 from govflow.functions import text as T
-from govflow.operators import chunking, cleaning
+from govflow.operators import chunking, cleaning, cleaning_report
 
 QUERIES, ORACLE = {}, {}
 
@@ -139,6 +139,7 @@ def answer_numbers(t):
 
 HEAD = "'Report ' || (doc_id % 5)::VARCHAR || ' page ' || page_no::VARCHAR || chr(10) || text || chr(10) || CASE WHEN page_no % 2 = 0 THEN 'Page ' || page_no::VARCHAR || ' of 9' ELSE '- ' || page_no::VARCHAR || ' -' END"
 HEADED = f"{PAGES}, headed AS (SELECT doc_id, page_no, {HEAD} AS text FROM doc_pages), hl AS (SELECT doc_id, page_no, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, len(string_split(text, chr(10))) AS lines FROM headed)"
+TABLES = "|| chr(10) || 'a | b | c' || chr(10) || '--- | --- | ---' || chr(10) || 'and' || chr(10) || ' 1 | 2 | 3' || chr(10) || '4 | 5 | 6' || chr(10) || '7 | 8 | 9 '"
 KEY = r"lower(regexp_replace(regexp_replace(text, '\s+', '', 'g'), '\d+', '', 'g'))"
 
 
@@ -251,8 +252,8 @@ CLEANED = f"""{HEADED}, enc AS (SELECT doc_id, page_no, line_no::INTEGER AS line
     parts AS (SELECT *, CASE WHEN joined AND NOT broken AND regexp_matches(right(lag(piece) OVER p, 1), '^[A-Za-z0-9,.]') AND regexp_matches(text, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || CASE WHEN falls THEN left(piece, length(piece) - 1) ELSE piece END AS part FROM pieces WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
     merged AS (SELECT doc_id, page_no, min(line_no) AS line_no, string_agg(part, '' ORDER BY line_no) AS whole FROM parts GROUP BY doc_id, page_no, run),
     spaced AS (SELECT n.*, whole IS NOT NULL AS live, {STRIP.format(f"translate(regexp_replace(whole, '{cleaning.NO_WIDTH}', '', 'g'), '{T.IDEOGRAPHIC_SPACE}', ' ')")} AS w FROM numbered n LEFT JOIN merged m ON m.doc_id = n.doc_id AND m.page_no = n.page_no AND m.line_no = n.line_no),
-    squeezed AS (SELECT * EXCLUDE (w), CASE WHEN tbl THEN w ELSE regexp_replace(w, '[ \\t\\x0B\\f]{{3,}}', ' ', 'g') END AS w FROM spaced),
-    cleaned AS (SELECT doc_id, page_no, line_no, CASE WHEN live THEN w ELSE text END AS text, tbl AS "table", lost_chars, total_pages, CASE WHEN live AND w = '' AND lag(w) OVER (PARTITION BY doc_id, page_no, live ORDER BY line_no) = '' THEN 'c3' WHEN live THEN NULL ELSE coalesce(rule, 'c4') END AS rule FROM squeezed)"""
+    squeezed AS (SELECT * EXCLUDE (w), text AS raw, CASE WHEN tbl THEN w ELSE regexp_replace(w, '[ \\t\\x0B\\f]{{3,}}', ' ', 'g') END AS w FROM spaced),
+    cleaned AS (SELECT doc_id, page_no, line_no, CASE WHEN live THEN w ELSE text END AS text, tbl AS "table", lost_chars, CASE WHEN tbl THEN length(raw) END AS table_chars, total_pages, CASE WHEN live AND w = '' AND lag(w) OVER (PARTITION BY doc_id, page_no, live ORDER BY line_no) = '' THEN 'c3' WHEN live THEN NULL ELSE coalesce(rule, 'c4') END AS rule FROM squeezed)"""
 
 
 @query(f"WITH {CLEANED} SELECT * FROM cleaned")
@@ -272,6 +273,45 @@ def clean_counters(t):
     return cleaning.counters(pages, cleaning.clean(pages))
 
 
+# The same pages with two tables each, cleaned but for every fifth page.
+REPORTED = CLEANED.replace(f"{HEAD} AS text", f"{HEAD} {TABLES} AS text").replace("FROM headed)", "FROM headed WHERE page_no % 5 > 0)")
+REPORT = f"""{REPORTED}, of_page AS (SELECT doc_id, page_no, coalesce(sum(length(text)) FILTER (rule IS NULL), 0) + greatest(count(*) FILTER (rule IS NULL) - 1, 0) AS after, bool_or(rule IS NULL AND {STRIP.format("text")} <> '') AS filled, count(*) FILTER (rule IS NOT NULL) AS removed,
+        count(*) FILTER (begins) AS blocks, sum(table_chars) AS chars, sum(lost_chars) AS lost, arg_max(total_pages, line_no) FILTER (total_pages > 0) AS total FROM (SELECT *, "table" AND coalesce(lag("table") OVER (PARTITION BY doc_id, page_no ORDER BY line_no), false) = false AS begins FROM cleaned) GROUP BY 1, 2),
+    paras AS (SELECT *, sum(CASE WHEN {STRIP.format("text")} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS para FROM cleaned WHERE rule IS NULL),
+    keys AS (SELECT doc_id, page_no, para, regexp_replace(string_agg(text, '' ORDER BY line_no), '\\s+', '', 'g') AS key FROM paras WHERE {STRIP.format("text")} <> '' GROUP BY 1, 2, 3),
+    repeats AS (SELECT doc_id, count(*) AS duplicate_paragraphs FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY page_no, para) AS nth FROM keys WHERE length(key) >= 20) WHERE nth > 1 GROUP BY 1),
+    of_doc AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (page_no % 5 > 0) AS pages_cleaned, count(*) FILTER (page_no % 5 = 0) AS pages_skipped, count(*) FILTER (page_no % 5 > 0 AND {STRIP.format("text")} <> '' AND NOT filled) AS pages_all_removed,
+        sum(length(text))::BIGINT AS before_chars, sum(coalesce(after, length(text)))::BIGINT AS after_chars, coalesce(sum(removed), 0)::BIGINT AS removed_lines, coalesce(sum(blocks), 0)::BIGINT AS table_blocks, coalesce(sum(chars), 0)::BIGINT AS table_chars, coalesce(sum(lost), 0)::BIGINT AS replacement_chars, arg_max(total, page_no) AS total_pages
+        FROM headed LEFT JOIN of_page USING (doc_id, page_no) GROUP BY 1)"""
+
+
+def reported(t):
+    """Pages with a header, a page number and two tables, whether they are cleaned, and their cleaned lines."""
+    tables = "\na | b | c\n--- | --- | ---\nand\n 1 | 2 | 3\n4 | 5 | 6\n7 | 8 | 9 "
+    pages, supported = headed(t).withColumn("text", F.concat("text", F.lit(tables))), F.col("page_no") % 5 > 0
+    return pages, cleaning.clean(pages.where(supported)), supported
+
+
+@query(f"""WITH {REPORT} SELECT of_doc.*, coalesce(duplicate_paragraphs, 0) AS duplicate_paragraphs, greatest(before_chars - after_chars, 0) AS removed_chars, CASE WHEN before_chars > 0 THEN floor(greatest(before_chars - after_chars, 0)::DOUBLE / before_chars * 10000 + 0.5) / 10000 ELSE 0 END AS removed_ratio FROM of_doc LEFT JOIN repeats USING (doc_id)""")
+def clean_report(t):
+    return cleaning_report.document_counters(*reported(t))
+
+
+@query(f"WITH {REPORTED} SELECT doc_id, rule, count(*) AS lines FROM cleaned WHERE rule IS NOT NULL GROUP BY 1, 2")
+def clean_rules_fired(t):
+    return cleaning_report.rules_fired(reported(t)[1])
+
+
+@query(f"""WITH {REPORTED}, places AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, line_no) AS place, page_no, rule, text AS line FROM cleaned WHERE rule IS NOT NULL)
+    SELECT d.doc_id, place, page_no, rule, line FROM (SELECT DISTINCT doc_id FROM headed) d JOIN places USING (doc_id) WHERE place <= 3""")
+def clean_diff_samples(t):
+    """The first removed lines as the diff's JSON holds them, read back from it."""
+    diff = cleaning_report.cleaning_diff(*reported(t), samples=3, most=1_000_000)
+    rows = F.from_json("content", "struct<removed_samples:array<struct<page_no:bigint,rule:string,line:string>>>")
+    held = diff.select("doc_id", F.posexplode(rows["removed_samples"]).alias("place", "x"))
+    return held.select("doc_id", (F.col("place") + 1).cast("long").alias("place"), "x.page_no", "x.rule", "x.line")
+
+
 PACKED = f"""{PAGES}, paras AS (SELECT doc_id, page_no, list_filter(list_transform(string_split({STRIP.format("text")}, chr(10)), lambda x: {STRIP.format("x")}), lambda x: x <> '') AS p FROM doc_pages),
     packed AS (SELECT doc_id, page_no, list_reduce(list_transform(p, lambda x: [x]), lambda a, b: CASE WHEN length(a[-1]) + length(b[1]) > 500 THEN a || b ELSE a[:-2] || [a[-1] || chr(10) || b[1]] END) AS c FROM paras WHERE len(p) > 0),
     chunks AS (SELECT doc_id, page_no, unnest(c) AS text, generate_subscripts(c, 1)::BIGINT - 1 AS order_in_page FROM packed)"""
