@@ -251,6 +251,24 @@ def counters(chunks: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
     )
 
 
+def table_counters(chunks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
+    """One row of ``structured_chunks``: chunks, mean length (halves up), longest, over the hard limit, not first on their
+    page, table chunks, their rows and the longest of them, distinct pages; all 0 without chunks."""
+    n, table = F.char_length("text"), F.col("is_table")
+    sums = chunks.agg(
+        F.count(F.lit(1)).alias("chunks"),
+        F.coalesce(F.floor(F.avg(n) + 0.5), F.lit(0)).cast("long").alias("mean_chars"),
+        F.max(n).alias("max_chars"),
+        F.count_if(n > most).alias("over_limit"),
+        F.count_if(F.col("order_in_page") > 0).alias("overlapped"),
+        F.count_if(table).alias("table_chunks"),
+        F.sum(F.when(table, F.col("table_rows"))).alias("table_rows"),
+        F.max(F.when(table, n)).alias("max_table_chars"),
+        F.countDistinct(F.struct("doc_id", "page_no")).alias("parents"),
+    )
+    return sums.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in sums.columns])
+
+
 def parent_summaries(chunks: DataFrame, most: int = 200) -> DataFrame:
     """parent_key, summary: the chunks of a page joined and clipped; pages of one chunk have none."""
     held = chunks.groupBy("parent_key").agg(F.array_sort(F.collect_list(F.struct("order_in_page", "text"))).alias("x")).where(F.size("x") > 1)

@@ -44,3 +44,11 @@ def test_null_ids_repeated_pages_and_no_pages(spark):
     rows = sorted((r.doc_id or "", r.page_no, r.text, r.section_path) for r in chunking.structured_chunks(pages, pages_a_block=1).collect())
     assert rows == [("", 1, f"# A\n{long}", "# A"), ("", 2, long, "# A"), ("d", 1, "# B", "# B"), ("d", 1, "# B", "# B"), ("d", 2, long, "# B")]
     assert chunking.structured_chunks(pages.limit(0)).collect() == []
+
+
+def test_table_counters(spark):
+    long = "words that are too long for a heading of their own, so plain"
+    pages = spark.createDataFrame([("d", 1, f"{long}\n| a | b |\n|---|---|\n| 1 | 2 |"), ("d", 2, long)], SCHEMA)
+    found = chunking.table_counters(chunking.structured_chunks(pages)).collect()[0].asDict()
+    assert found == {"chunks": 3, "mean_chars": round((2 * len(long) + 29) / 3), "max_chars": len(long), "over_limit": 0, "overlapped": 1, "table_chunks": 1, "table_rows": 3, "max_table_chars": 29, "parents": 2}
+    assert set(chunking.table_counters(chunking.structured_chunks(pages.limit(0))).collect()[0]) == {0}
