@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def _terms_of(low: str, vocabulary: dict[str, int], lengths: list[int], known: d
     return counts
 
 
-def _keyword_block(rows: DataFrame, distinct: DataFrame, asked: list, chunks: int, kind: str) -> DataFrame:
+def _keyword_block(rows: DataFrame, distinct: DataFrame, asked: list, chunks: int, kind: str, best: int | None = None, wanted: dict | None = None) -> DataFrame:
     terms = sorted({t for q in asked for t in q.terms})
     vocabulary, lengths = {t: j for j, t in enumerate(terms)}, sorted({len(t) for t in terms})
     ids, raws = [q.query_id for q in asked], [q.raw for q in asked]
@@ -92,8 +93,9 @@ def _keyword_block(rows: DataFrame, distinct: DataFrame, asked: list, chunks: in
     df = {r.term: r.df for r in rows.select("low").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     idf = [math.log(1 + chunks / (1 + df.get(j, 0))) for j in range(len(terms))]
 
-    def score(batches):
-        known, schema = {}, None
+    def scored(batches):
+        """(keys of some texts, places of texts, places of queries, scores) of their pairs with a score."""
+        known = {}
         where, is_word = [np.array(p) for p in places], [bool(WORD.match(t)) for t in terms]
         step = max(1, PAIRS // len(ids))
         for batch in batches:
@@ -114,26 +116,65 @@ def _keyword_block(rows: DataFrame, distinct: DataFrame, asked: list, chunks: in
                     chunk.append(np.full(len(hit), k))
                     query.append(hit)
                     value.append(sums[hit])
-                found = pa.array(ids).take(pa.array(np.concatenate(query)))
-                yield pa.RecordBatch.from_arrays([found, keys.take(pa.array(np.concatenate(chunk))), pa.array(np.concatenate(value))], ["query_id", "chunk_key", "kw_score"])
-
-    return distinct.mapInArrow(score, f"query_id {kind}, chunk_key {dict(rows.dtypes)['chunk_key']}, kw_score double")
+                yield keys, np.concatenate(chunk), np.concatenate(query), np.concatenate(value)
 
+    def rows_of(keys, chunk, query, value):
+        return pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(query)), keys.take(pa.array(chunk)), pa.array(value)], ["query_id", "chunk_key", "kw_score"])
 
-def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    def score(batches):
+        for found in scored(batches):
+            yield rows_of(*found)
+
+    def score_best(batches):
+        held, least, kind_of_key = pd.DataFrame({"query": [], "key": [], "value": []}), np.zeros(len(ids)), None
+        for keys, chunk, query, value in scored(batches):
+            sums, asked_for, names, kind_of_key = np.zeros((len(keys), len(ids))), np.zeros((len(keys), len(ids)), bool), keys.to_pylist(), keys.type
+            sums[chunk, query] = np.round(value, 9)
+            for k, name in enumerate(names):
+                asked_for[k, list(wanted.get(name, ()))] = True
+            at = np.nonzero(asked_for & (sums > 0))
+            yield rows_of(keys, *at, sums[at])
+            # Only scores that reach the last of the best, in these texts and in those before, can be among them.
+            floor = np.maximum(least, np.partition(sums, -best, axis=0)[-best]) if len(keys) >= best else least
+            chunk, query = np.nonzero((sums >= floor) & (sums > 0))
+            new = pd.DataFrame({"query": query, "key": [names[k] for k in chunk], "value": sums[chunk, query]})
+            held = pd.concat([held, new]) if len(held) else new
+            held = held.sort_values(["query", "value", "key"], ascending=[True, False, True]).groupby("query").head(best)
+            full = held.groupby("query")["value"].agg(["size", "min"])
+            full = full[full["size"] == best]
+            least[full.index.to_numpy(int)] = full["min"].to_numpy()
+        if len(held):
+            keys = pa.array(held["key"].tolist(), kind_of_key)
+            yield rows_of(keys, np.arange(len(held)), held["query"].to_numpy(int), held["value"].to_numpy(float))
+
+    return distinct.mapInArrow(score if best is None else score_best, f"query_id {kind}, chunk_key {dict(rows.dtypes)['chunk_key']}, kw_score double")
+
+
+def keyword_scores(chunks: DataFrame, queries: DataFrame, best: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_key, kw_score of chunks with a score: 12 for the whole query, and for each term
     ln(1 + n / (1 + df)) * (1 + 0.25 * min(occurrences, 5)). n and df count every chunk given.
 
     queries: query_id, text; any number of them. Chunks of one key count each for n and df, and have one row.
+    With ``best`` only the rows that may be among the ``best`` of their query are returned, as each task keeps its own
+    best ones, and those of the pairs ``wanted`` (query_id, chunk_key: some for each query).
     """
     asked = queries.select("query_id", T.normal_query(F.col("text")).alias("raw"), T.query_terms(F.col("text")).alias("terms")).where("raw <> '' or size(terms) > 0")
     rows = chunks.select("chunk_key", F.lower(T.fold(F.col("text"))).alias("low"))
     n, distinct, kind = rows.count(), rows.dropDuplicates(["chunk_key"]), dict(queries.dtypes)["query_id"]
-    blocks = [_keyword_block(rows, distinct, block, n, kind) for block in _blocks(asked)]
+    blocks = []
+    for i, block in enumerate(_blocks(asked)):
+        if i == 1:
+            distinct = durable(distinct, "distinct-chunks")  # shuffled once for all blocks behind the first
+        places = {q.query_id: j for j, q in enumerate(block)}
+        pairs: dict = defaultdict(set)
+        for r in wanted.where(F.col("query_id").isin(*places)).collect() if wanted is not None else []:
+            pairs[r.chunk_key].add(places[r.query_id])
+        blocks.append(_keyword_block(rows, distinct, block, n, kind, best, dict(pairs)))
     if not blocks:
         return rows.select(F.lit(None).cast(kind).alias("query_id"), "chunk_key", F.lit(0.0).alias("kw_score")).where(F.lit(False))
+    found = reduce(DataFrame.union, blocks) if best is None else reduce(DataFrame.union, blocks).dropDuplicates(["query_id", "chunk_key"])
     # Rounded, as sums in another order would break ties in their last bits.
-    return reduce(DataFrame.union, blocks).withColumn("kw_score", F.round("kw_score", 9)).where("kw_score > 0")
+    return found.withColumn("kw_score", F.round("kw_score", 9)).where("kw_score > 0")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -216,10 +257,11 @@ def top_k(scores: DataFrame, score: str, k: int) -> DataFrame:
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 5, low: bool = False) -> DataFrame:
     """``fused`` of texts (chunk_key, text) and vectors (chunk_key, vector), for queries (query_id, text) and
-    (query_id, vector). Keyword scores are written once; the cosine is taken of the nearest and of candidates only."""
+    (query_id, vector). Of keyword scores only those of the nearest and each task's best are written; the cosine is taken
+    of the nearest and of candidates only."""
     recall = _recall(k, low)
-    kw = durable(keyword_scores(chunks, queries), "keyword-scores")
     first = vector_top_k(vectors, query_vectors, recall).select("query_id", "chunk_key", F.col("rank").alias("position"))
+    kw = durable(keyword_scores(chunks, queries, max(1, recall // 2), first), "keyword-scores")
     second = _best(kw, "kw_score", max(1, recall // 2)).select("query_id", "chunk_key", (F.col("rank") + recall).alias("position"))
     both = durable(first.union(second).groupBy("query_id", "chunk_key").agg(F.min("position").cast("long").alias("position")), "candidates")
     asked = query_vectors.select("query_id", F.col("vector").alias("asked"))

@@ -46,3 +46,12 @@ def test_keywords_of_whole_texts(spark, monkeypatch):
             if score > 0:
                 want[r.query_id, key] = score
     assert {(r.query_id, r.chunk_key): r.kw_score for r in retrieval.keyword_scores(chunks, queries).collect()} == pytest.approx(want, abs=1e-8)
+    # The best of each query, ties by key, and the pairs that are asked for.
+    order = sorted(want, key=lambda pair: (pair[0], -round(want[pair], 9), pair[1]))
+    best = [pair for pair in order if [p for p in order if p[0] == pair[0]].index(pair) < 3]
+    last = sorted(want)[::7]
+    wanted = spark.createDataFrame([*last, (101, "1"), (0, "no such")], "query_id long, chunk_key string")
+    rows = retrieval.keyword_scores(chunks, queries, 3, wanted)
+    found = {(r.query_id, r.chunk_key): r.kw_score for r in rows.collect()}
+    assert rows.count() == len(found) < len(want) and {*best, *last} <= found.keys() and found == pytest.approx({pair: want[pair] for pair in found}, abs=1e-8)
+    assert [(r.query_id, r.chunk_key) for r in retrieval.top_k(rows, "kw_score", 3).orderBy("query_id", "rank").collect()] == best
