@@ -69,7 +69,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    A null text counts as empty. Rows that repeat both id and text share one decision, so all of them stay or go; null ids
+    lose to any other, and where a text has none but null ids, all its rows stay. An empty table stays empty.
+    """
     keep_name, digest_name = fresh_name("keep"), fresh_name("digest")
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(keep_name), F.unhex("text_sha256").alias(digest_name))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))

@@ -329,7 +329,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows without an id stay, and so do texts that are null or without words unless their id goes with another row. Rows that
+    repeat an id share its decision. An empty table stays empty.
+    """
     name = fresh_name("keep")
     stay = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
