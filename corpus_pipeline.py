@@ -14,17 +14,18 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays; see ``exact_dedup.keep_one`` for null ids and repeated rows."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays; see
+    ``near_dedup.keep_one`` for null ids and repeated rows."""
     return near_dedup.keep_one(docs, k=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document, packed into sequences of at most 2048 tokens."""
+    """The pieces of every document, packed into sequences of at most 2048 tokens. An empty table gives no pieces."""
     return packing.pack_documents(docs)
 
 
