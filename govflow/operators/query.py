@@ -138,8 +138,7 @@ class ControlledQuery:
         return rows.orderBy("id").limit(n)
 
     def contracts(self, projects: DataFrame, checked: dict, n: int) -> DataFrame:
-        up = visible_contracts(self.portfolio.projects, self.portfolio.links)
-        seen = up.join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi").select(F.col("contract_id").alias("id")).distinct()
+        seen = visible_contracts(self.portfolio.projects, self.portfolio.links, of=projects).select(F.col("contract_id").alias("id")).distinct()
         rows = self.portfolio.contracts.join(seen, "id", "left_semi")
         if "contractType" in checked:
             rows = rows.where(F.col("contract_type") == checked["contractType"])
@@ -148,9 +147,8 @@ class ControlledQuery:
         return rows.select("id", "name", "contract_type", "contract_amount", "change_amount").orderBy("id").limit(n)
 
     def payments(self, projects: DataFrame, checked: dict, n: int) -> DataFrame:
-        up = visible_contracts(self.portfolio.projects, self.portfolio.links)
         mine = projects.select(F.col("id").alias("_project"))
-        seen = up.join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi").select(F.col("contract_id").alias("_contract")).distinct()
+        seen = visible_contracts(self.portfolio.projects, self.portfolio.links, of=projects).select(F.col("contract_id").alias("_contract")).distinct()
         rows = self.portfolio.payments.join(mine, F.col("project_id") == F.col("_project"), "left").join(seen, F.col("contract_id") == F.col("_contract"), "left").where("_project is not null or _contract is not null")
         if "status" in checked:
             rows = rows.where(F.col("status") == checked["status"])
