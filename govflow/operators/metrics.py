@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hierarchy import rolled_up, visible_contracts
+from .hierarchy import rolled_up, seen_sums, visible_contracts
 from .stats import RESULT, money
 
 
@@ -61,8 +61,7 @@ def phase_attachments(phases: DataFrame, attachments: DataFrame) -> DataFrame:
 
 def contract_counts(projects: DataFrame, links: DataFrame) -> DataFrame:
     """id, contracts: how many contracts each project sees."""
-    seen = visible_contracts(projects, links).groupBy(F.col("project_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return projects.select("id").join(seen, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("contracts"))
+    return projects.select("id").join(seen_sums(projects, links), "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("contracts"))
 
 
 def fund_summary(projects: DataFrame, contracts: DataFrame, links: DataFrame, payments: DataFrame) -> DataFrame:
