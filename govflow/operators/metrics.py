@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hierarchy import rolled_up, seen_sums, visible_contracts
+from .hierarchy import ancestors, rolled_up, seen_sums
 from .stats import RESULT, money
 
 
@@ -65,16 +65,26 @@ def contract_counts(projects: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def fund_summary(projects: DataFrame, contracts: DataFrame, links: DataFrame, payments: DataFrame) -> DataFrame:
-    """id, contract_total, paid_total, outstanding over visible contracts and their, or the project's, payments."""
-    seen = visible_contracts(projects, links)
-    live = seen.join(contracts.withColumnRenamed("id", "contract_id"), "contract_id")
-    total = live.groupBy("project_id").agg((money("contract_amount") + money("change_amount")).cast(RESULT).alias("contract_total"))
-    # A payment counts once for a project, by its own key or through a contract that the project sees.
-    direct = payments.where("project_id is not null").select("project_id", "paid_amount")
-    through = payments.select(F.col("project_id").alias("_own"), "contract_id", "paid_amount").join(live.select("project_id", "contract_id"), "contract_id").where("_own is null or _own <> project_id").select("project_id", "paid_amount")
-    paid = direct.union(through).groupBy("project_id").agg(money("paid_amount").alias("paid_total"))
+    """id, contract_total, paid_total, outstanding over visible contracts and their, or the project's, payments.
+
+    A payment counts once for a project, by its own key or through a contract that the project sees: what both would count
+    is taken off by looking up the payments' own pairs, so no project's contracts are spread out.
+    """
     zero = F.lit(0).cast(RESULT)
-    rows = projects.select(F.col("id").alias("project_id")).join(total, "project_id", "left").join(paid, "project_id", "left").select(F.col("project_id").alias("id"), F.coalesce("contract_total", zero).alias("contract_total"), F.coalesce("paid_total", zero).alias("paid_total"))
+    amount = F.coalesce("contract_amount", F.lit(0)) + F.coalesce("change_amount", F.lit(0))
+    live = contracts.groupBy(F.col("id").alias("contract_id")).agg(F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("rows"))
+    sums = lambda rows, *keys: rows.groupBy(*keys).agg(money("paid_amount").alias("paid"))
+    by_contract = sums(payments.where("contract_id is not null"), "contract_id")
+    amounts = live.join(by_contract, "contract_id", "left").select("contract_id", F.col("amount").cast(RESULT).alias("amount"), (F.coalesce("paid", zero) * F.col("rows")).cast(RESULT).alias("paid"))
+    seen = seen_sums(projects, links, amounts).select("id", F.col("amount").alias("contract_total"), F.col("paid").alias("_through"))
+    direct = sums(payments.where("project_id is not null"), F.col("project_id").alias("id")).withColumnRenamed("paid", "_direct")
+    pairs = sums(payments.where("project_id is not null and contract_id is not null"), F.col("project_id").alias("id"), "contract_id").join(live.select("contract_id", "rows"), "contract_id")
+    held = links.select(F.col("project_id").alias("ancestor_id"), "contract_id").distinct()
+    both = pairs.join(ancestors(projects), "id").join(held, ["ancestor_id", "contract_id"], "left_semi").dropDuplicates(["id", "contract_id"])
+    both = both.groupBy("id").agg(F.sum(F.col("paid") * F.col("rows")).alias("_both"))
+    rows = projects.select("id").join(seen, "id", "left").join(direct, "id", "left").join(both, "id", "left")
+    paid = F.coalesce("_direct", zero) + F.coalesce("_through", zero) - F.coalesce("_both", zero)
+    rows = rows.select("id", F.coalesce("contract_total", zero).cast(RESULT).alias("contract_total"), paid.cast(RESULT).alias("paid_total"))
     return rows.withColumn("outstanding", F.greatest(F.col("contract_total") - F.col("paid_total"), zero).cast(RESULT))
 
 
