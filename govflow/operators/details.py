@@ -142,8 +142,13 @@ def task_of(run: Column) -> Column:
 
 
 def json_or_text(content: Column) -> Column:
-    """struct(is_json, content): a text that is no JSON stays a text; null stays null."""
-    valid = (F.trim(content) != "") & F.try_parse_json(content).isNotNull()
+    """struct(is_json, content): a text that is no JSON stays a text; null stays null.
+
+    The parser ends with the first value and ignores what follows it, so a text is tried inside a list and inside an object:
+    only a single whole value fits both.
+    """
+    fits = lambda before, behind: F.try_parse_json(F.concat(F.lit(before), content, F.lit(behind))).isNotNull()
+    valid = (F.trim(content) != "") & fits("[", "]") & fits('{"v":', "}")
     return F.when(content.isNotNull(), F.struct(F.coalesce(valid, F.lit(False)).alias("is_json"), content.alias("content")))
 
 

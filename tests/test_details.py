@@ -35,3 +35,8 @@ def test_default_templates(spark):
     frame = spark.createDataFrame(rows, "id long, project_type string, is_default int, enabled int, sort_no int")
     assert {r.project_type: r.template_id for r in details.default_templates(frame).collect()} == {"A": 6, "B": 8}
     assert details.next_sort_no(frame.where("false")).first().sort_no == 1
+
+
+@pytest.mark.parametrize(("text", "valid"), [("4397110767823743 +1 (654)", False), ('{"a": 1} {"b": 2}', False), ("[1] x", False), ("1], [2", False), ('1}, {"a": 2', False), ("1, 2", False), ('1, "b": 2', False), ("]", False), (' [1, {"a": "]"}] ', True), ('"x"', True), (" -1.5e3 ", True), ("null", True)])
+def test_a_value_with_something_behind_it_is_no_json(spark, text, valid):
+    assert spark.createDataFrame([(text,)], "c string").select(details.json_or_text(F.col("c"))["is_json"]).first()[0] is valid
