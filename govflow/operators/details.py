@@ -12,9 +12,21 @@ RUN_PREFIX = "run-"
 EMBED_BATCH, MOST_TASKS = 32, 200
 
 
+def unmatched_apart(rows: DataFrame, key: str) -> Column:
+    """0, but for rows of a null key a number by their values: as a second key of a left join it deals out rows that match
+    nothing anyway, which a join by the key alone sends to one task."""
+    return F.when(rows[key].isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*[rows[c] for c in rows.columns]))
+
+
+def matched_apart(key: str) -> Column:
+    """0, the other side's second key. A plain 0 would be folded into the condition, and be no key of the join."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(1).cast("long"))
+
+
 def _named(rows: DataFrame, key: str, names: DataFrame, id_col: str, name_col: str, as_col: str) -> DataFrame:
     """``rows`` with the name that belongs to ``key``, null where there is none."""
-    return rows.join(names.select(F.col(id_col).alias(key), F.col(name_col).alias(as_col)), key, "left")
+    known = names.select(F.col(id_col).alias(key), matched_apart(id_col).alias("_apart"), F.col(name_col).alias(as_col))
+    return rows.withColumn("_apart", unmatched_apart(rows, key)).join(known, [key, "_apart"], "left").drop("_apart")
 
 
 def with_manager(projects: DataFrame, users: DataFrame) -> DataFrame:
@@ -110,8 +122,9 @@ def keyword_payments(payments: DataFrame, contracts: DataFrame, columns: list[st
     if not word:
         return payments
     hit = lambda names: F.exists(F.array(*[F.lower(F.col(c).cast("string")) for c in names]), lambda x: F.coalesce(x.contains(word), F.lit(False)))
-    found = contracts.where(hit(contract_columns)).select(F.col("id").alias("contract_id"), F.lit(True).alias("_named"))
-    return payments.join(found, "contract_id", "left").where(hit(columns) | F.col("_named").isNotNull()).drop("_named")
+    found = contracts.where(hit(contract_columns)).select(F.col("id").alias("contract_id"), matched_apart("id").alias("_apart"), F.lit(True).alias("_named"))
+    rows = payments.withColumn("_apart", unmatched_apart(payments, "contract_id"))
+    return rows.join(found, ["contract_id", "_apart"], "left").where(hit(columns) | F.col("_named").isNotNull()).drop("_named", "_apart")
 
 
 def next_sort_no(templates: DataFrame) -> DataFrame:

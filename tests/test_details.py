@@ -40,3 +40,19 @@ def test_default_templates(spark):
 @pytest.mark.parametrize(("text", "valid"), [("4397110767823743 +1 (654)", False), ('{"a": 1} {"b": 2}', False), ("[1] x", False), ("1], [2", False), ('1}, {"a": 2', False), ("1, 2", False), ('1, "b": 2', False), ("]", False), (' [1, {"a": "]"}] ', True), ('"x"', True), (" -1.5e3 ", True), ("null", True)])
 def test_a_value_with_something_behind_it_is_no_json(spark, text, valid):
     assert spark.createDataFrame([(text,)], "c string").select(details.json_or_text(F.col("c"))["is_json"]).first()[0] is valid
+
+
+@pytest.mark.parametrize("search", [False, True])
+def test_payments_without_a_contract_are_dealt_out(spark, search):
+    """Rows of a null key match nothing and must not all go to one task."""
+    payments = spark.range(4000).selectExpr("id", "if(id % 2 = 0, id % 7, null) AS contract_id", "if(id % 3 = 0, id % 5, null) AS project_id", "'N7' AS node")
+    names = spark.range(10).selectExpr("id", "concat('name ', id) AS name")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = details.keyword_payments(payments, names, ["node"], ["name"], "n7") if search else details.with_names(payments, names, names)
+        got = rows.withColumn("task", F.spark_partition_id()).where("contract_id is null").groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in got) == 2000 and max(r["count"] for r in got) < 800
