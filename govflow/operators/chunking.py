@@ -17,10 +17,13 @@ DEEPEST, PAGES_A_BLOCK = 5, 1024
 
 
 def pages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_lines: int = PAGE_LINES) -> DataFrame:
-    """doc_id, page_no (from 1), text: blocks of lines stand for the pages of a document."""
+    """doc_id, page_no (from 1), text: blocks of lines stand for the pages of a document.
+
+    There is a block at least, which ``outer`` tells: Spark would else ask for their number first, with the text split anew
+    for every block."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("lines") / page_lines).cast("int") - 1), lambda i: F.array_join(F.slice("lines", i * page_lines + 1, F.lit(page_lines)), "\n"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).select("doc_id", F.posexplode(blocks).alias("page_no", "text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).select("doc_id", F.posexplode_outer(blocks).alias("page_no", "text"))
     return rows.select("doc_id", (F.col("page_no") + 1).cast("long").alias("page_no"), "text")
 
 

@@ -161,7 +161,7 @@ def headed(t):
     WHERE m.edge AND NOT m.tbl AND seen.n >= greatest(2, ceil(total.n * 0.5))"""
 )
 def clean_header_footer(t):
-    rows = cleaning.repeated_edges(cleaning.tables(cleaning.lines_of(headed(t))))
+    rows = cleaning.spread(cleaning.repeated_edges(cleaning.tables(cleaning.held(headed(t)))))
     return rows.where("rule = 'c1'").select("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no"))
 
 
