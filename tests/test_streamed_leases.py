@@ -1,4 +1,5 @@
 import datetime
+from types import SimpleNamespace
 
 from govflow.streaming import leases
 
@@ -55,3 +56,44 @@ def run_with_base(spark, tmp_path, batches, base):
             return real([(*r[:8], r[8] + base, r[9]) for r in rows], schema)
 
     return run(Shifted(), tmp_path, batches)
+
+
+def test_tasks_of_a_bucket_share_state_and_timer():
+    """One read and write of a state for all tasks of a bucket; each is judged by itself and lapses once."""
+
+    class Held:
+        value, calls, timers = None, 0, set()
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value, self.calls = value, self.calls + 1
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    row = lambda i, seq, kind, **more: SimpleNamespace(**dict.fromkeys(("status", "claimed_by", "lease_until", "seconds", "reason")) | {"id": i, "seq": seq, "kind": kind, "at": 50} | more)
+    held, judge = Held(), leases.Leases()
+    judge.init(held)
+    first = [row(i, 0, "task", status="RUNNING", claimed_by="w1", lease_until=100 + (i or 2) % 3) for i in (*range(1, 300), None)]
+    assert list(judge.handleInputRows((7,), iter(first), None)) == [] and held.calls == 1 and held.timers == {100_000}
+    told = list(judge.handleInputRows((7,), iter([row(1, 2, "release"), row(3, 1, "heartbeat", claimed_by="w2"), row(1, 1, "heartbeat", seconds=60), row(999, 1, "release")]), None))
+    assert [(r.id, r.seq, r.outcome, r.lease_until) for r in told] == [(1, 1, "renewed", 110), (1, 2, "released", 110), (3, 1, "other_holder", 100), (999, 1, "refused", None)]
+
+    def lapsed(fired, now):
+        held.timers.remove(fired)
+        at = SimpleNamespace(getExpiryTimeInMs=lambda: fired)
+        return {r.id for r in judge.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), at)}
+
+    assert lapsed(100_000, 100_500) == {i for i in range(1, 300) if i % 3 == 0} and held.timers == {101_000}
+    assert lapsed(101_000, 200_000) == {i for i in range(2, 300) if i % 3} | {None} and held.timers == set()
