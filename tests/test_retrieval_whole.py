@@ -55,3 +55,29 @@ def test_keywords_of_whole_texts(spark, monkeypatch):
     found = {(r.query_id, r.chunk_key): r.kw_score for r in rows.collect()}
     assert rows.count() == len(found) < len(want) and {*best, *last} <= found.keys() and found == pytest.approx({pair: want[pair] for pair in found}, abs=1e-8)
     assert [(r.query_id, r.chunk_key) for r in retrieval.top_k(rows, "kw_score", 3).orderBy("query_id", "rank").collect()] == best
+
+
+def test_keyword_scores_read_each_text_once(spark, monkeypatch):
+    """Texts are read and searched once for df, scores and whole queries; a batch holds several slices of them."""
+    texts = [f"an anan bananan. {'ana ' * (i % 9)}{'big data lake' if i % 4 == 0 else 'data'}" for i in range(60)]
+    read = spark.sparkContext.accumulator(0)
+
+    def marked(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    chunks = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_key string, text string").mapInPandas(marked, "chunk_key string, text string")
+    queries = spark.createDataFrame([(1, "Big data lake"), (2, "anan ana an"), (3, "nowhere")], "query_id long, text string")
+    monkeypatch.setattr(retrieval, "PAIRS", 70)
+    found = {(r.query_id, int(r.chunk_key)): r.kw_score for r in retrieval.keyword_scores(chunks, queries).collect()}
+    # Once to number the texts, once to search them.
+    assert read.value == 2 * len(texts)
+    want = {}
+    for q, words in ((1, ["big", "data", "lake"]), (2, ["anan", "ana", "an"])):
+        df = {w: sum(w in t for t in texts) for w in words}
+        for i, t in enumerate(texts):
+            score = sum(math.log(1 + 60 / (1 + df[w])) * (1 + 0.25 * min(t.count(w), 5)) for w in words if w in t) + 12 * (" ".join(words) in t)
+            if score:
+                want[q, i] = score
+    assert found == pytest.approx(want, abs=1e-8)
