@@ -73,3 +73,19 @@ def test_reads_only_the_folders_and_blocks_it_needs(spark, monkeypatch):
 def test_empty_index(spark):
     index = bm25.build(spark.createDataFrame([], "chunk_key string, doc_id int, text string"))
     assert bm25.search(index, spark.createDataFrame([(1, "a")], "query_id long, text string")).collect() == []
+
+
+def test_a_text_is_searched_for_its_terms_once(spark, monkeypatch):
+    """Lengths and postings come from one pass; blocks are inverted some at a time."""
+    monkeypatch.setattr(bm25, "SPAN", 4)
+    monkeypatch.setattr(bm25, "BLOCKS", 2)
+    monkeypatch.setattr(bm25, "terms_of", None)
+    chunks = [*some(90, 5), ("n", 1, None), ("e", 1, "")]
+    index = bm25.build(spark.createDataFrame(chunks, "chunk_key string, doc_id int, text string").repartition(2))
+    bags = {key: Counter(WORDS.findall((text or "").lower())) for key, _, text in chunks}
+    assert {r.chunk_key: r.length for r in index.chunks.collect()} == {key: bag.total() for key, bag in bags.items()}
+    assert {r.term: r.df for r in index.terms.collect()} == Counter(t for bag in bags.values() for t in bag)
+    names = {r.no: r.chunk_key for r in index.chunks.collect()}
+    rows = spark.read.schema(bm25.POSTINGS).parquet(index.postings).collect()
+    assert sorted((names[no], r.term, tf, n) for r in rows for no, tf, n in zip(r.nos, r.tfs, r.lengths, strict=True)) == sorted((key, t, tf, bag.total()) for key, bag in bags.items() for t, tf in bag.items())
+    assert all(r.most == max(r.tfs) and r.least == min(r.lengths) and {no // 4 for no in r.nos} == {r.block} and r.nos == sorted(r.nos) for r in rows)
