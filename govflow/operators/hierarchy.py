@@ -124,12 +124,12 @@ def on_cycle(projects: DataFrame) -> DataFrame:
         raise ValueError("an id has several parents")
     left = pairs.count()
     while True:
-        reached = kept(pairs.join(pairs.select(F.col("at").alias("id")).distinct(), "id", "left_semi"))
+        reached = kept(pairs.join(pairs.select(F.col("at").alias("id")).distinct().hint("merge"), "id", "left_semi"))
         before, left = left, reached.count()
         if left == before:
             return reached.select("id")
         onward = reached.select(F.col("id").alias("_id"), F.col("at").alias("_at"))
-        pairs = kept(reached.join(onward, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at")))
+        pairs = kept(reached.join(onward.hint("merge"), F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at")))
         left = pairs.count()
 
 
@@ -144,12 +144,12 @@ def rolled_up(rows: DataFrame, amount: str = "amount") -> DataFrame:
     edges = durable(rows.select("id", "parent_id", F.col(amount).alias("own")), "forest")
     inner = edges.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().select("id", F.lit(True).alias("inner"))
     held = F.when(F.col("inner"), F.lit(0)).otherwise(F.coalesce("own", F.lit(0))).cast("decimal(38,2)")
-    start = edges.join(inner, "id", "left").select("id", F.col("parent_id").alias("up"), held.alias("held"), F.lit(False).alias("cyclic"))
+    start = edges.join(inner.hint("merge"), "id", "left").select("id", F.col("parent_id").alias("up"), held.alias("held"), F.lit(False).alias("cyclic"))
     state = _doubled(start, edges.count())
     if state is None:  # there are cycles; their ids pass nothing on
         known = edges.select(F.col("id").alias("parent_id"))
-        cyclic = on_cycle(edges.join(known, "parent_id", "left_semi").select("id", "parent_id")).select("id", F.lit(True).alias("found"))
-        cut = start.join(durable(cyclic, "cyclic"), "id", "left")
+        cyclic = on_cycle(edges.join(known.hint("merge"), "parent_id", "left_semi").select("id", "parent_id")).select("id", F.lit(True).alias("found"))
+        cut = start.join(durable(cyclic, "cyclic").hint("merge"), "id", "left")
         state = _doubled(cut.select("id", F.when(F.col("found").isNull(), F.col("up")).alias("up"), "held", F.coalesce("found", F.lit(False)).alias("cyclic")), edges.count())
     return state.select("id", F.when(~F.col("cyclic"), F.col("held")).alias(amount))
 
@@ -162,7 +162,7 @@ def _doubled(state: DataFrame, rows: int) -> DataFrame | None:
             return state
         arriving = state.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("held").alias("more"))
         onward = state.select(F.col("id").alias("up"), F.col("up").alias("further"))
-        moved = state.join(arriving, "id", "left").join(onward, "up", "left")
+        moved = state.join(arriving.hint("merge"), "id", "left").join(onward.hint("merge"), "up", "left")
         state = durable(moved.select("id", F.col("further").alias("up"), (F.col("held") + F.coalesce("more", F.lit(0))).cast("decimal(38,2)").alias("held"), "cyclic"), "rolled")
     return None if state.where("up is not null").limit(1).count() else state
 

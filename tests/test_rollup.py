@@ -52,3 +52,12 @@ def test_three_levels_with_and_without_changes(spark):
     amounts = lambda **more: {r.id: float(r.contract_amount) for r in metrics.contract_amounts(projects, contracts, **more).collect()}
     assert amounts() == {1: 80.0, 2: 80.0, 3: 75.0, 4: 5.0}
     assert amounts(with_changes=False) == {1: 52.0, 2: 52.0, 3: 50.0, 4: 2.0}
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """A broadcast passes through the driver, in every round; joins of the rollup and of cycles are merges."""
+    plans, real = [], hierarchy.durable
+    monkeypatch.setattr(hierarchy, "durable", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or real(df, name))
+    rows = spark.createDataFrame([(1, None, 1), (2, 1, 2), (3, 2, 4), (4, 5, 8), (5, 4, 16), (6, 4, 32)], "id long, parent_id long, amount int")
+    assert {r.id: r.amount and int(r.amount) for r in hierarchy.rolled_up(rows).collect()} == {1: 4, 2: 4, 3: 4, 4: None, 5: None, 6: 32}
+    assert len(plans) > 6 and not any("Broadcast" in plan for plan in plans)
