@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable, new_path
-from .retrieval import _blocks, _cosines, top_k
+from .retrieval import _blocks, _cosines, _keep_best, top_k
 
 #: Rows of the sample, rounds of the fit, most cells, rows that the number of probed cells is fitted on, and the share of
 #: their neighbours that it has to reach.
@@ -111,17 +111,15 @@ def search(cells: Cells, queries: DataFrame, k: int = 10, where: Column | None =
         rows = rows.where(where) if where is not None else rows
 
         def run(batches, ids=ids, given=given, asked_in=asked_in):
-            best: list[list] = [[] for _ in ids]
+            best, floor = [[] for _ in ids], np.full(len(ids), -np.inf)
+            asked_vectors = [np.array(v, float) for v in given]
             for batch in batches:
                 keys, vectors, where_of = batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.asarray(batch.column(2))
                 for cell in np.unique(where_of).tolist():
                     mine, asked = np.flatnonzero(where_of == cell), asked_in[cell]
-                    scores = _cosines([vectors[i] for i in mine], [given[i] for i in asked])
-                    for column, i in enumerate(asked):
-                        held = best[i]
-                        held += zip((-scores[:, column]).tolist(), [keys[j] for j in mine], strict=True)
-                        held.sort()
-                        del held[k:]
+                    scores, names = _cosines([vectors[i] for i in mine], [asked_vectors[i] for i in asked]), [keys[j] for j in mine]
+                    for column in np.flatnonzero(np.fmax.reduce(scores, axis=0) >= floor[asked]).tolist():
+                        _keep_best(best, floor, asked[column], scores[:, column], names, k)
             found = [(ids[i], key, -score) for i, held in enumerate(best) for score, key in held]
             types = [pa.array(ids).type, key_type, pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 3, types, strict=True)], ["query_id", "chunk_key", "vec_score"])

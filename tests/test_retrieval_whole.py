@@ -81,3 +81,11 @@ def test_keyword_scores_read_each_text_once(spark, monkeypatch):
             if score:
                 want[q, i] = score
     assert found == pytest.approx(want, abs=1e-8)
+
+
+def test_only_scores_that_reach_the_last_of_the_best_are_kept():
+    rng, best, floor = random.Random(2), [[]], retrieval.np.full(1, -retrieval.np.inf)
+    rows = [(rng.choice([0.1, 0.5, 0.7, 0.9, float("nan")]), f"k{i}") for i in range(90)]
+    for at in range(0, 90, 7):
+        retrieval._keep_best(best, floor, 0, retrieval.np.array([s for s, _ in rows[at : at + 7]]), [k for _, k in rows[at : at + 7]], 4)
+    assert best[0] == sorted((-s, k) for s, k in rows if s == s)[:4] and floor[0] == -best[0][-1][0]
