@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from govflow.operators.durable import durable
 
 CHUNK_CHARS, MAX_CHARS, PAGE_LINES = 500, 2000, 10
 DEEPEST, PAGES_A_BLOCK = 5, 1024
+#: Characters and rows that a task's worker collects before it hands them back.
+SLICE_CHARS, SLICE_ROWS = 1 << 20, 2000
 
 
 def pages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_lines: int = PAGE_LINES) -> DataFrame:
@@ -172,15 +175,50 @@ class _Page:
                 self.order, self.last = self.order + 1, piece
 
 
-def _headings(frames):
+def _by_page(batches: Iterator[pa.RecordBatch], of_page: Callable, texts: tuple[str, ...], **others: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """doc_id, page_no and a page's rows, which ``of_page`` gives for its other columns: strings (``texts``) and ``others``.
+
+    Pages are taken out of their batch one by one, and rows go back in slices: besides Spark's batch, which has a bound of
+    its own in rows and bytes, a worker holds the strings of one page and one slice."""
+
+    def made(batch, at, rows, kinds):
+        ids = batch.select(["doc_id", "page_no"]).take(pa.array(at, pa.int32()))
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([*ids.columns, *columns], names=[*ids.schema.names, *kinds])
+
+    for batch in batches:
+        kinds, inputs = dict.fromkeys(texts, batch.schema.field("text").type) | others, batch.columns[2:]
+        at, rows, chars = [], [], 0
+        for i in range(batch.num_rows):
+            for row in of_page(*(x[i].as_py() for x in inputs)):
+                at.append(i)
+                rows.append(row)
+                chars += sum(len(x or "") for x in row[: len(texts)])
+                if chars >= SLICE_CHARS or len(rows) == SLICE_ROWS:
+                    yield made(batch, at, rows, kinds)
+                    at, rows, chars = [], [], 0
+        if rows:
+            yield made(batch, at, rows, kinds)
+
+
+def _headings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row at the begin of each page (place 0, no level) and one for each heading outside of its tables."""
-    for frame in frames:
-        rows = []
-        for doc_id, page_no, text in zip(frame.doc_id, frame.page_no, frame.text, strict=True):
-            rows.append((doc_id, page_no, 0, None, None))
-            lines = (x for table, block in _blocks(text or "") if not table for x in block)
-            rows += [(doc_id, page_no, i, x.level, x.text) for i, x in enumerate(lines, 1) if 0 < x.level <= DEEPEST]
-        yield pd.DataFrame(rows, columns=["doc_id", "page_no", "place", "level", "text"]).astype({"level": "Int32"})
+
+    def of_page(text):
+        yield None, 0, None
+        lines = (x for table, block in _blocks(text or "") if not table for x in block)
+        yield from ((x.text, i, x.level) for i, x in enumerate(lines, 1) if 0 < x.level <= DEEPEST)
+
+    return _by_page(batches, of_page, ("text",), place=pa.int32(), level=pa.int32())
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
+    """The chunks of each page, from its text and the path that is open where it begins."""
+
+    def of_page(text, path):
+        return ((piece, section, order, table, n) for order, piece, table, n, section in _Page(options, path, text or "").out)
+
+    return _by_page(batches, of_page, ("text", "section_path"), order_in_page=pa.int64(), is_table=pa.bool_(), table_rows=pa.int64())
 
 
 def open_sections(pages: DataFrame, pages_a_block: int = PAGES_A_BLOCK) -> DataFrame:
@@ -193,7 +231,7 @@ def open_sections(pages: DataFrame, pages_a_block: int = PAGES_A_BLOCK) -> DataF
     are: only headings are shuffled. A page without text has a path too; rows of one page share it.
     """
     kinds = dict(pages.dtypes)
-    found = pages.select("doc_id", "page_no", "text").mapInPandas(_headings, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, place int, level int, text string")
+    found = pages.select("doc_id", "page_no", "text").mapInArrow(_headings, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, text string, place int, level int")
     rows = durable(found.withColumn("block", F.floor(F.col("page_no") / pages_a_block)), "headings")
     within = Window.partitionBy("doc_id", "block").orderBy("page_no", "place", "level", "text")
     before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -228,17 +266,11 @@ def structured_chunks(pages: DataFrame, options: Options | None = None, pages_a_
     document may be of any length. A null text is an empty page; of a page that is there twice, both rows are chunked.
     """
     chosen = options or Options()
-
-    def chunk(frames):
-        columns = ["doc_id", "page_no", "order_in_page", "text", "is_table", "table_rows", "section_path"]
-        for frame in frames:
-            rows = zip(frame.doc_id, frame.page_no, frame.text, frame.path, strict=True)
-            yield pd.DataFrame([(doc_id, page_no, *x) for doc_id, page_no, text, path in rows for x in _Page(chosen, path, text or "").out], columns=columns)
-
     kinds = dict(pages.dtypes)
     starts = open_sections(pages, pages_a_block).select(F.struct("doc_id", "page_no").alias("_page"), "path")
     rows = pages.select("doc_id", "page_no", "text").join(starts, F.struct("doc_id", "page_no") == F.col("_page"), "left").drop("_page")
-    return rows.mapInPandas(chunk, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, order_in_page long, text string, is_table boolean, table_rows long, section_path string")
+    made = rows.mapInArrow(lambda batches: _chunks(batches, chosen), f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, text string, section_path string, order_in_page long, is_table boolean, table_rows long")
+    return made.select("doc_id", "page_no", "order_in_page", "text", "is_table", "table_rows", "section_path")
 
 
 def counters(chunks: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:

@@ -1,6 +1,9 @@
 """Open sections and chunks page by page, against the plain walk over a whole document."""
 
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from govflow.operators import chunking
 
@@ -52,3 +55,30 @@ def test_table_counters(spark):
     found = chunking.table_counters(chunking.structured_chunks(pages)).collect()[0].asDict()
     assert found == {"chunks": 3, "mean_chars": round((2 * len(long) + 29) / 3), "max_chars": len(long), "over_limit": 0, "overlapped": 1, "table_chunks": 1, "table_rows": 3, "max_table_chars": 29, "parents": 2}
     assert set(chunking.table_counters(chunking.structured_chunks(pages.limit(0))).collect()[0]) == {0}
+
+
+def test_a_worker_holds_one_page_and_one_slice():
+    """Of a batch of 7 million characters the strings of about a million are there at a time."""
+    page = "# head\n" + "\n".join(f"| {i} | words of a row |" for i in range(200)) + "\n" + "words of a line that is too long for a heading\n" * 200
+    n = 500
+    batch = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(n)], "page_no": [1] * n, "text": [page] * (n - 1) + [None], "path": [["# a"]] * n})
+    chunks = len(chunking._Page(chunking.Options(), ["# a"], page).out)
+    steps = (chunking._headings, batch.drop_columns("path"), 2 * n - 1), (lambda x: chunking._chunks(x, chunking.Options()), batch, chunks * (n - 1))
+    for step, given, want in steps:
+        rows, ids = 0, set()
+        tracemalloc.start()
+        for out in step(iter([given])):
+            assert out.num_rows <= chunking.SLICE_ROWS and out.nbytes < 4 * chunking.SLICE_CHARS
+            rows += out.num_rows
+            ids.update(out.column("doc_id").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == want and len(ids) >= n - 1 and peak < 5 << 20
+
+
+def test_ids_of_any_type(spark):
+    long = "words that are too long for a heading of their own, so plain"
+    pages = spark.sql(f"SELECT explode(array(date'2020-01-02', NULL)) AS doc_id, 1.5BD AS page_no, '# A\\n{long}' AS text")
+    rows = chunking.structured_chunks(pages)
+    assert rows.columns == ["doc_id", "page_no", "order_in_page", "text", "is_table", "table_rows", "section_path"]
+    assert sorted((str(r.doc_id), str(r.page_no), r.order_in_page, r.text, r.is_table, r.table_rows, r.section_path) for r in rows.collect()) == [(d, "1.5", 0, f"# A\n{long}", False, 0, "# A") for d in ("2020-01-02", "None")]
