@@ -151,6 +151,12 @@ def headed(t):
     return chunking.pages_of(t("documents")).select("doc_id", "page_no", F.concat_ws("\n", head, "text", foot).alias("text"))
 
 
+def unremoved(pages):
+    """Pages that hold their lines, of which no rule has removed any. As a page stays one row, pages of a null id or of one
+    that comes twice don't mix."""
+    return pages.withColumn("lines", F.transform("lines", lambda x: x.withField("rule", F.lit(None).cast("string"))))
+
+
 @query(
     f"""WITH {HEADED}, tab AS (SELECT *, length(regexp_replace(text, '[^|]', '', 'g')) >= 2 AS pipe FROM hl),
     runs AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id, page_no, pipe ORDER BY line_no) AS run FROM tab),
@@ -180,7 +186,8 @@ def clean_whitespace(t):
     """Over lines that are set apart by wide spaces and doubled blank lines."""
     pages = chunking.pages_of(t("documents")).withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
     pages = pages.withColumn("text", F.concat("text", F.lit("\n")))
-    rows = cleaning.white_space(cleaning.lines_of(pages).withColumns({"table": F.lit(False), "rule": F.lit(None).cast("string")}))
+    held = unremoved(cleaning.held(pages)).withColumn("lines", F.transform("lines", lambda x: x.withField("table", F.lit(False))))
+    rows = cleaning.spread(cleaning.white_space(held))
     return rows.where("rule is null").select("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
@@ -190,7 +197,7 @@ def clean_dedupe(t):
     """Paragraphs that repeat: every third page is written twice."""
     body = F.regexp_replace("text", "\n\\s*(?=\n)", "")
     pages = chunking.pages_of(t("documents")).withColumn("text", F.when(F.col("page_no") % 3 == 0, F.concat(body, F.lit("\n\n"), body)).otherwise(body))
-    found = cleaning.paragraphs(cleaning.lines_of(pages).withColumn("rule", F.lit(None).cast("string")))
+    found = cleaning.paragraphs(unremoved(cleaning.held(pages)))
     return found.where("duplicate").groupBy("doc_id").agg(F.count(F.lit(1)).alias("duplicates"))
 
 
